@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, mixing, quality, warc
+from . import base, mixing, near_dedup, quality, warc
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least 80 % of their 4-word shingles."""
+    return near_dedup.near_duplicates(base.table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +29,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}
