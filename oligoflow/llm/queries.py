@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontam, mixing, near_dedup, quality, secrets, warc, windows
+from . import base, decontam, mixing, near_dedup, quality, secrets, suffixes, warc, windows
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeats(base.table(spark, sf_dir, "documents"), width=35, texts=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without strings of 400 bytes that also start elsewhere."""
+    return suffixes.remove_repeats(base.table(spark, sf_dir, "documents"), width=400, texts=False)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents."""
     return decontam.contamination(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
@@ -44,5 +49,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}

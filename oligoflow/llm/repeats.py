@@ -107,8 +107,8 @@ class Run:
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([self.number] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.binary()), pa.array(known, pa.binary()), pa.array(docs, pa.binary())], ["bucket", "run", "keys", "places", "known", "docs"])
 
 
-def packed(docs: DataFrame, text_col: str, enter: Callable[[Run, pa.RecordBatch], None]) -> DataFrame:
-    """Packed rows of all texts of ``docs``; ``enter`` adds a slice of a few MB of them to a run."""
+def packed(docs: DataFrame, text_col: str, entries: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
+    """Packed rows of all texts of ``docs``; ``entries`` turns a slice of a few MB of them into what :meth:`Run.add` takes."""
     bits = bucket_bits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +117,12 @@ def packed(docs: DataFrame, text_col: str, enter: Callable[[Run, pa.RecordBatch]
         number = TaskContext.get().partitionId() << 24
         now = Run(number, bits)
         for piece in hs.pieces(batches, text_col):
-            enter(now, piece)
-            if now.bytes >= RUN_BYTES:
-                yield from now.rows()
-                number += 1
-                now = Run(number, bits)
+            for entry in entries(piece):
+                now.add(*entry)
+                if now.bytes >= RUN_BYTES:
+                    yield from now.rows()
+                    number += 1
+                    now = Run(number, bits)
         yield from now.rows()
 
     return docs.mapInArrow(run, _PACKED)
@@ -181,9 +182,10 @@ def matched(rows: DataFrame) -> DataFrame:
 
 
 def intervals(hits: DataFrame, before: int, after: int) -> DataFrame:
-    """(key, spans) of each text with repeated places: merged intervals [place - before, place + after) as pairs of int64.
+    """(key, spans) of each text with repeated places: lists of merged intervals [place - before, place + after).
 
-    Intervals start at 0 or later; equal texts have equal spans, so one row stays for each key.
+    Intervals start at 0 or later.  Equal texts give equal lists, which are kept once; a very long text may
+    have several, one for each run that held a part of it.  :func:`spans_of` puts them together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +210,17 @@ def intervals(hits: DataFrame, before: int, after: int) -> DataFrame:
 
     n = partitions(hits.sparkSession)
     found = hits.repartition(n, "run").sortWithinPartitions("run").mapInArrow(run, "key binary, spans binary")
-    return found.groupBy("key").agg(F.first("spans").alias("spans"))
-
-
-def spans_of(data: bytes | None) -> np.ndarray:
-    """(n, 2) array of the intervals of one text."""
-    return np.frombuffer(data or b"", "<i8").reshape(-1, 2)
+    return found.groupBy("key").agg(F.collect_set("spans").alias("spans"))
+
+
+def spans_of(lists: list[bytes] | None) -> np.ndarray:
+    """(n, 2) array of the maximal intervals of one text."""
+    spans = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in lists or [b""]])
+    if len(lists or ()) < 2:
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.ones(len(spans), bool)
+    new[1:] = spans[1:, 0] > reach[:-1]
+    begin = np.flatnonzero(new)
+    return np.stack([spans[begin, 0], reach[np.append(begin[1:], len(spans)) - 1]], axis=1)

@@ -29,13 +29,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_words(docs: DataFrame, width: int) -> DataFrame:
     """(key, spans): maximal intervals of words covered by windows of ``width`` words that start anywhere else too."""
 
-    def enter(run: repeats.Run, piece: pa.RecordBatch) -> None:
+    def entries(piece: pa.RecordBatch) -> Iterator[tuple]:
         raw, offsets = hs.utf8(piece.column(1))
         start, end, rows = hs.words(raw, offsets)
         at, h = hs.windows(hs.word_hashes(raw, start, end), rows, width)
-        run.add(piece.column(0).to_pylist(), rows[:-1], int(rows[-1]), at, h, None, len(raw))
+        yield piece.column(0).to_pylist(), rows[:-1], int(rows[-1]), at, h, None, len(raw)
 
-    return repeats.intervals(repeats.matched(repeats.packed(keyed(docs), "text", enter)), 0, width)
+    return repeats.intervals(repeats.matched(repeats.packed(keyed(docs), "text", entries)), 0, width)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, texts: bool = True) -> DataFrame:
