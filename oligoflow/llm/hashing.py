@@ -81,12 +81,12 @@ def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> n
     return mix((sums[end] - sums[start]) * inverse[start] + length * np.uint64(0xA0761D6478BD642F))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and the index of each row's first word (with an end mark).
 
     A word is a maximal run of bytes that are no separators; rows never share a word.
     """
-    letter = ~IS_SPACE[raw]
+    letter = ~separator[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offsets] = True
     first = letter.copy()

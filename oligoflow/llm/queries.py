@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontam, mixing, near_dedup, quality, secrets, suffixes, warc, windows
+from . import base, decontam, mixing, near_dedup, quality, secrets, suffixes, toxicity, warc, windows
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_toxicity(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +54,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}
