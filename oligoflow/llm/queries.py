@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontam, mixing, near_dedup, quality, secrets, suffixes, toxicity, warc, windows
+from . import base, decontam, mixing, near_dedup, quality, secrets, suffixes, token_counts, toxicity, warc, windows
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(base.table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length histogram of all documents with suffix sums."""
+    return token_counts.with_sums(token_counts.length_histogram(base.table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without windows of 35 words that also start elsewhere."""
     return windows.remove_repeats(base.table(spark, sf_dir, "documents"), width=35, texts=False)
@@ -54,5 +59,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op4_substring_dedup": op4_substring_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_token_counts": op3_token_counts, "op4_substring_dedup": op4_substring_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {}
