@@ -4,10 +4,12 @@ MinHash samples of a document's word shingles give band keys, which propose cand
 into a parity bitmap (odd sketch).  The XOR population count of two bitmaps estimates a high similarity
 precisely and drops candidates far below the threshold; the rest are confirmed on their full sets.
 
-Large groups never become all pairs.  Documents with equal sets are one class.  Two passes compare the
-members of a band bucket with one hub each (the member that shares most buckets with others), which joins
-almost every group; only what is then still apart from others in one of its buckets is compared with all
-of that bucket's members outside its own component.
+Large groups never become all pairs.  Documents with equal sets are one class.  First the
+members of a band bucket are compared with one hub each (the member that shares most buckets with others),
+which joins the most of every group.  Buckets that still hold several components are put together to groups; the members
+outside a group's main component are its query set, compared with the whole group in blocks of bounded
+size, each pair of blocks in a task of its own.  Odd sketches sieve, full sets decide, and a task returns
+one link for each member and foreign component, so the links stay few however alike a group is.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing as hs
-from .base import stored
+from .base import partitions, stored
 from .graph import components
 
 BANDS, ROWS, SAMPLES, BITS = 32, 4, 192, 512
+#: Text of a block that a group's members are compared in.
+BLOCK_BYTES = 2 << 20
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(71)).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS = BITS // 64
 
@@ -129,12 +134,108 @@ def _alike(percent: int) -> Column:
     return (100 * small >= percent * large) & (apart <= sketch_limit(percent / 100))
 
 
+def _hubs(bands: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, hub) of each bucket with several components: its member that shares most buckets with others."""
+    b = bands.select("key", "id").join(nodes.select("id", "component", "score"), "id")
+    found = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("score", "id")).alias("hub"))
+    return stored(found.where("lo <> hi").select("key", F.col("hub.id").alias("hub")), "hubs")
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` in the components of ``labels`` (id, component)."""
+    found = labels.select(F.col("id").alias("v"), F.col("component").alias("label"))
+    moved = nodes.join(found, nodes.id == found.v, "left").withColumn("component", F.coalesce("label", "component"))
+    return stored(moved.select(nodes.columns), "nodes")
+
+
+def _hub_pairs(bands: DataFrame, nodes: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of split buckets and the hubs of these, where they may be linked and aren't yet."""
+    pairs = bands.join(hubs, "key").where("id <> hub").select("id", "hub").distinct().alias("p")
+    x, y = nodes.alias("x"), nodes.alias("y")
+    found = pairs.join(x, F.col("p.id") == F.col("x.id")).join(y, F.col("p.hub") == F.col("y.id"))
+    return found.where((F.col("x.component") != F.col("y.component")) & _alike(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _block_links(block: pa.Table, n: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the queries and the other rows of a block; one for each query and component."""
+    query = block.column("query").to_numpy()
+    ids, component, size = (block.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+    sketch = np.stack([block.column(f"s{k}").to_numpy() for k in range(_WORDS)], axis=1).view(np.uint64)
+    bounds, h, _ = _sets(block.column("text"), n)
+    mine, other = np.flatnonzero(query), np.flatnonzero(~query)
+    owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
+    theirs = ~query[owner]
+    place = np.cumsum(~query) - 1  # among the others
+    order = np.argsort(h[theirs], kind="stable")
+    keys, owners = h[theirs][order], place[owner[theirs]][order]
+    sizes, components_, sketches, limit, out = size[other], component[other], sketch[other], sketch_limit(percent / 100), []
+    for q in mine:
+        maybe = (components_ != component[q]) & (100 * np.minimum(sizes, size[q]) >= percent * np.maximum(sizes, size[q]))
+        maybe &= np.bitwise_count(sketches ^ sketch[q]).sum(axis=1) <= limit
+        if not maybe.any():
+            continue
+        own = h[bounds[q] : bounds[q + 1]]
+        lo = np.searchsorted(keys, own, "left")
+        times = np.searchsorted(keys, own, "right") - lo
+        at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        both = np.bincount(owners[at], minlength=len(other))
+        linked = np.flatnonzero(maybe & (100 * both >= percent * (sizes + size[q] - both)))
+        _, first = np.unique(components_[linked], return_index=True)
+        out += [(int(ids[q]), int(ids[other[k]])) for k in linked[first]]
+    return out
+
+
+def _group_links(bands: DataFrame, nodes: DataFrame, hubs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between the components of groups of split buckets (the queries of a group against all of it)."""
+    # a member's buckets are linked by its smallest hub: at most one edge for each band, few of them different
+    mine = bands.join(hubs, "key").groupBy("id").agg(F.collect_set("hub").alias("hubs")).select("id", "hubs", F.array_min("hubs").alias("b"))
+    edges = mine.select(F.explode(F.array_union("hubs", F.array("id"))).alias("a"), "b").where("a <> b").distinct()
+    groups = components(edges).withColumnRenamed("component", "group")
+    members = stored(groups.join(nodes.drop("score", "rep"), "id").join(texts, "id"), "members")
+    size = F.octet_length("text")
+    parts = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(size).alias("bytes"))
+    plan = parts.groupBy("group").agg(F.max(F.struct("m", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
+    blocks = lambda x: F.ceil(x / BLOCK_BYTES).cast("int")
+    plan = stored(plan.select("group", F.col("main.component").alias("main"), blocks(F.col("bytes") + 1).alias("n_other"), blocks(F.col("bytes") - F.col("main.bytes") + 1).alias("n_query")), "plan")
+    all_ = members.join(plan, "group").withColumn("h", F.xxhash64("id"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    other = all_.select("*", F.lit(False).alias("query"), F.pmod("h", "n_other").cast("int").alias("y")).withColumn("x", every("n_query"))
+    query = all_.where("component <> main").select("*", F.lit(True).alias("query"), F.pmod("h", "n_query").cast("int").alias("x")).withColumn("y", every("n_other"))
+    names = ["group", "x", "y", "query", "id", "component", "n_shingles", *[f"s{k}" for k in range(_WORDS)], "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def links() -> pa.RecordBatch:
+            found = _block_links(pa.Table.from_batches(held).combine_chunks(), n, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(unit[lo]) != last:
+                    yield links()
+                    held = []
+                last = tuple(unit[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield links()
+
+    dealt = other.select(names).union(query.select(names)).repartition(partitions(bands.sparkSession), "group", "x", "y")
+    return dealt.sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, set_id, set_component, kept) for each row of ``docs``.
 
     Words are runs without white space, A-Z lower-cased; a text's set holds its distinct shingles of ``n``
     words (with fewer words: the whole sequence).  component_id is the smallest id reachable through links;
-    kept marks rows that have it.  Null, empty and blank texts have no set and stand alone.  Rows that
+    kept marks rows that have it.  set_id is a digest of the set (null for an empty one) and set_component
+    one of those in the component.  Null, empty and blank texts have no set and stand alone.  Rows that
     repeat an id are rows of their own, each in the component of its text.  Rows with a null id are linked
     like others but never name a component that has an id; a null component means there is none.
     Other columns are not read; an empty table gives an empty result.
@@ -154,43 +255,48 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bands = stored(bands.join(shared, "key"), "bands")
     nodes = bands.groupBy("id").agg(F.sum("n").alias("score")).join(classes.drop("bands"), "id")
-    nodes = stored(nodes.withColumn("component", F.col("id")).withColumn("was_hub", F.lit(False)), "nodes")
-    named = rows.alias("r").join(nodes.select("rep").distinct().alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("doc_id", "text")
+    nodes = stored(nodes.withColumn("component", F.col("id")), "nodes")
+    # by sorting at every size: the members grow with the documents
+    named = rows.alias("r").join(nodes.select("rep").distinct().hint("merge").alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("doc_id", "text")
     texts = with_ids(named, n).join(nodes.select("id"), "id", "left_semi").select("id", "text")
     texts = stored(texts.dropDuplicates(["id"]), "texts")
 
-    links = labels = None
-    for step in ("hub", "hub", "rest"):
-        b = bands.select("key", "id").join(nodes, "id")
-        hub = F.max(F.struct(~F.col("was_hub"), "score", "id"))
-        split = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub.alias("hub")).where("lo <> hi").select("key", F.col("hub.id").alias("hub"))
-        split = stored(split, "hubs")
-        if step == "hub":
-            pairs = bands.join(split, "key").where("id <> hub").select("id", "hub").distinct().alias("p")
-            x, y = nodes.alias("x"), nodes.alias("y")
-            found = pairs.join(x, F.col("p.id") == F.col("x.id")).join(y, F.col("p.hub") == F.col("y.id")).where((F.col("x.component") != F.col("y.component")) & _alike(percent))
-            found = found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            b = b.join(split.select("key"), "key")
-            sizes = b.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("main")).select("key", F.col("main.component").alias("main"))
-            b = stored(b.join(main, "key"), "buckets")
-            x, y = b.where("component <> main").alias("x"), b.alias("y")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _alike(percent))
-            found = found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        new = stored(confirm(found, texts, n, percent), "links")
-        links = new if links is None else links.union(new)
-        labels = components(links).select(F.col("id").alias("v"), F.col("component").alias("label"))
-        if step == "hub":
-            hubs = split.select(F.col("hub").alias("h")).distinct()
-            moved = nodes.join(labels, nodes.id == labels.v, "left").join(hubs, nodes.id == hubs.h, "left")
-            moved = moved.withColumn("component", F.coalesce("label", "component")).withColumn("was_hub", F.col("was_hub") | F.col("h").isNotNull())
-            nodes = stored(moved.select(nodes.columns), "nodes")
-
+    links = stored(confirm(_hub_pairs(bands, nodes, _hubs(bands, nodes), percent), texts, n, percent), "links")
+    nodes = _labelled(nodes, components(links, passes=2))
+    links = links.union(stored(_group_links(bands, nodes, _hubs(bands, nodes), texts, n, percent), "links"))
+    labels = components(links).select(F.col("id").alias("v"), F.col("component").alias("label"))
     named = labels.join(first, labels.v == first.id).select("v", "label", "rep")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    final = named.select("v", "label").join(least, "label").select("v", "component_id").alias("c")
+    final = named.select("v", "label").join(least, "label").select("v", "label", "component_id").alias("c")
     alone = F.when(F.col("s.id").isNull(), F.col("s.doc_id")).otherwise(F.col("f.rep"))
     out = s.join(f, F.col("s.id") == F.col("f.id"), "left").join(final, F.col("s.id") == F.col("c.v"), "left")
-    out = out.select("s.doc_id", "s.n_shingles", F.coalesce("c.component_id", alone).alias("component_id"))
+    out = out.select("s.doc_id", "s.n_shingles", F.coalesce("c.component_id", alone).alias("component_id"), F.col("s.id").alias("set_id"), F.coalesce("c.label", "s.id").alias("set_component"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when each component keeps one row.
+
+    That is a row with the component's smallest id (a null id is the largest); of several such rows, one
+    with the smallest set_id, and of rows that repeat id and set, any one.  Texts without words all stay.
+    """
+    report = stored(near_duplicates(docs, n, percent, id_col, text_col), "report")
+    mine = report.where("kept AND set_id IS NOT NULL").groupBy("set_component", "doc_id", "set_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = stored(mine.groupBy("set_component").agg(F.min(F.struct("set_id", "doc_id", "n")).alias("x")).select("x.*"), "chosen")
+    name = "_set"
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in hs.pieces(batches, text_col):
+            at = piece.schema.get_field_index(text_col)
+            yield pa.RecordBatch.from_arrays([*piece.columns, _sets(piece.column(at), n)[2]], [*piece.schema.names, name])
+
+    held = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    c = chosen.alias("c")
+    held = held.alias("d").join(c, (F.col(f"d.{name}") == F.col("c.set_id")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("c.doc_id")), "left")
+    columns = [F.col(f"d.`{x}`") for x in docs.columns]
+    out = held.where(F.col(f"d.{name}").isNull() | (F.col("c.n") == 1)).select(columns)
+    if chosen.where("n > 1").isEmpty():
+        return out
+    return out.union(held.where("c.n > 1").dropDuplicates([name]).select(columns))

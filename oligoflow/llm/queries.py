@@ -14,7 +14,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 80 % of their 4-word shingles."""
-    return near_dedup.near_duplicates(base.table(spark, sf_dir, "documents"), n=4, percent=80)
+    return near_dedup.near_duplicates(base.table(spark, sf_dir, "documents"), n=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
