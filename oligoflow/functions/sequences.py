@@ -96,8 +96,11 @@ def cut_3p(seq: Column, const: str, error_rate: float = 0.1) -> Column:
     return F.when(best["d"] <= errors, F.least(best["k"], F.length(seq))).otherwise(0) if const else F.lit(0)
 
 
-def excised(seq: Column, region: str, error_rate: float = 0.1) -> Column:
-    """``seq`` without the first stretch within floor(rate * length) + 1 edits of ``region``; of the stretches that begin there the nearest."""
+def interior_match(seq: Column, region: str, error_rate: float = 0.1) -> Column:
+    """struct(s, k): start and length of the first stretch within floor(rate * length) + 1 edits of ``region``, else null.
+
+    Of the stretches that begin at the first such place it is the nearest one.
+    """
     n = len(region)
     errors = int(n * error_rate) + 1
 
@@ -108,9 +111,7 @@ def excised(seq: Column, region: str, error_rate: float = 0.1) -> Column:
         return F.array_min(F.transform(F.sequence(F.lit(max(1, n - errors)), F.lit(n + errors)), candidate))
 
     starts = F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq))).otherwise(F.array().cast("array<int>"))
-    hit = F.try_element_at(F.filter(F.transform(starts, at), lambda c: c["d"] <= errors), F.lit(1))
-    cut = F.concat(F.substring(seq, F.lit(1), hit["s"] - 1), F.substring(seq, hit["s"] + hit["k"], F.length(seq)))
-    return F.when(hit.isNull(), seq).otherwise(cut) if region else seq
+    return F.try_element_at(F.filter(F.transform(starts, at), lambda c: c["d"] <= errors), F.lit(1))
 
 
 def contains_text(x: Column, text: str) -> Column:

@@ -37,8 +37,13 @@ def quality_filter(df: DataFrame, max_error: float = 0.005) -> DataFrame:
 
 
 def excise_region(df: DataFrame, region: str, error_rate: float = 0.1) -> DataFrame:
-    """Cut the first interior match of ``region`` and join the flanks (sequences only)."""
-    return df.withColumn("sequences", sq.excised(F.col("sequences"), region, error_rate))
+    """Cut the first interior match of ``region`` and join the flanks; the quality goes with the sequence."""
+    if not region:
+        return df
+    df = sq.computed_once(df, _hit=sq.interior_match(F.col("sequences"), region, error_rate))
+    start, end = F.col("_hit.s"), F.col("_hit.s") + F.col("_hit.k")
+    out = {c: F.when(F.col("_hit").isNull(), F.col(c)).otherwise(F.concat(F.substring(F.col(c), F.lit(1), start - 1), F.substring(F.col(c), end, F.length(c)))) for c in ("sequences", "quality") if c in df.columns}
+    return df.withColumns(out).drop("_hit")
 
 
 def preprocess(df: DataFrame, const5p: str = "", const3p: str = "", least: int = 10, most: int = 100, max_error: float = 0.005, error_rate: float = 0.1, ends: str = "both") -> DataFrame:

@@ -89,7 +89,7 @@ def read_counts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_counts_csv(spark, path)
 
 
-@query("SELECT sequences, length(sequences) AS length, count(*) AS n FROM reads GROUP BY ALL")
+@query("SELECT sequences, CAST(length(sequences) AS INT) AS length, count(*) AS n FROM reads GROUP BY ALL")
 def convert_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTQ to FASTA: reads written as FASTQ, read, written as FASTA, read again, and counted."""
     fastq, fasta = new_path(spark, "fastq"), new_path(spark, "fasta")
