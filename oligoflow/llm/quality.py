@@ -19,8 +19,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Largest share of the word characters that may lie inside n-grams of this many words found twice or
 #: more in the text (all places counted), and inside lines that occur twice or more.
-NGRAM_SHARES = {5: 0.30, 8: 0.25, 12: 0.20}
-LINE_SHARE = 0.30
+NGRAM_SHARES = {5: 0.50, 8: 0.45, 12: 0.40}
+LINE_SHARE = 0.50
 #: Largest share of symbol characters to word characters.
 SYMBOL_SHARE = 0.10
 
