@@ -20,7 +20,7 @@ from . import hashing as hs
 from .base import partitions
 
 #: Text (or other input) that one run covers, in bytes.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 _PACKED = "bucket int, run long, keys binary, places binary, known binary, docs binary"
 _MATCHED = "run long, places binary, docs binary"
 
@@ -31,14 +31,18 @@ def bucket_bits(spark) -> int:
 
 
 def _pack_places(places: np.ndarray) -> bytes:
-    """Ascending places as differences, byte plane by byte plane, so that block compression finds the zeros."""
+    """Ascending places as differences of as few bytes as they need, byte plane by byte plane for block compression."""
     steps = np.diff(places, prepend=0).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpack_places(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel()).astype(np.int64)
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes.T
+    return np.cumsum(wide.view("<u8").ravel()).astype(np.int64)
 
 
 def pack_docs(keys: list[bytes], starts: np.ndarray) -> bytes:
@@ -107,8 +111,8 @@ class Run:
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([self.number] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.binary()), pa.array(known, pa.binary()), pa.array(docs, pa.binary())], ["bucket", "run", "keys", "places", "known", "docs"])
 
 
-def packed(docs: DataFrame, text_col: str, entries: Callable[[pa.RecordBatch], Iterator[tuple]]) -> DataFrame:
-    """Packed rows of all texts of ``docs``; ``entries`` turns a slice of a few MB of them into what :meth:`Run.add` takes."""
+def packed(docs: DataFrame, text_col: str, entries: Callable[[pa.RecordBatch], Iterator[tuple]], piece_bytes: int = 4 << 20) -> DataFrame:
+    """Packed rows of all texts of ``docs``; ``entries`` turns a slice of about ``piece_bytes`` of them into what :meth:`Run.add` takes."""
     bits = bucket_bits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +120,7 @@ def packed(docs: DataFrame, text_col: str, entries: Callable[[pa.RecordBatch], I
 
         number = TaskContext.get().partitionId() << 24
         now = Run(number, bits)
-        for piece in hs.pieces(batches, text_col):
+        for piece in hs.pieces(batches, text_col, piece_bytes):
             for entry in entries(piece):
                 now.add(*entry)
                 if now.bytes >= RUN_BYTES:
@@ -144,41 +148,48 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def matched(rows: DataFrame) -> DataFrame:
-    """For each run: its directory, and the places whose fingerprint is repeated (in other runs, or known before)."""
+    """For each run: its directory, and the places whose fingerprint is repeated (in other runs, or known before).
+
+    A task holds a few buckets; there are as many tasks as keep them at some MB each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for _, group in _grouped(batches):
-            out += [(r["run"], r["places"], r["docs"]) for r in group if r["docs"] is not None]
-            group = [r for r in group if r["docs"] is None]
+        buckets: dict[int, list[dict]] = {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["docs"] is not None:
+                    out.append((r["run"], r["places"], r["docs"]))
+                else:
+                    buckets.setdefault(r["bucket"], []).append(r)
+            if out:
+                yield _rows(out)
+        while buckets:
+            _, group = buckets.popitem()
             sizes = np.array([len(r["keys"]) // 7 for r in group], np.int64)
-            if sizes.sum():
-                wide = np.zeros((sizes.sum(), 8), np.uint8)
-                wide[:, :7] = np.frombuffer(b"".join(r["keys"] for r in group), np.uint8).reshape(-1, 7)
-                keys = wide.view("<u8").ravel()
-                known = np.concatenate([np.unpackbits(np.frombuffer(r["known"], np.uint8), count=n) for r, n in zip(group, sizes, strict=True)]).astype(bool)
-                order = np.argsort(keys, kind="stable")
-                equal = keys[order[1:]] == keys[order[:-1]]
-                twice = np.zeros(len(keys), bool)
-                twice[order[1:][equal]] = True
-                twice[order[:-1][equal]] = True
-                twice &= ~known
-                at = 0
-                for r, n in zip(group, sizes.tolist(), strict=True):
-                    if (mine := twice[at : at + n]).any():
-                        out.append((r["run"], _pack_places(_unpack_places(r["places"])[mine]), None))
-                    at += n
-            if len(out) > 200:
+            wide = np.zeros((sizes.sum(), 8), np.uint8)
+            wide[:, :7] = np.frombuffer(b"".join(r["keys"] for r in group), np.uint8).reshape(-1, 7)
+            keys = wide.view("<u8").ravel()
+            known = np.concatenate([np.unpackbits(np.frombuffer(r["known"], np.uint8), count=n) for r, n in zip(group, sizes, strict=True)]).astype(bool)
+            order = np.argsort(keys, kind="stable")
+            equal = keys[order[1:]] == keys[order[:-1]]
+            twice = np.zeros(len(keys), bool)
+            twice[order[1:][equal]] = True
+            twice[order[:-1][equal]] = True
+            twice &= ~known
+            at, out = 0, []
+            for r, n in zip(group, sizes.tolist(), strict=True):
+                if (mine := twice[at : at + n]).any():
+                    out.append((r["run"], _pack_places(_unpack_places(r["places"])[mine]), None))
+                at += n
+            if out:
                 yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["run", "places", "docs"])
 
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MATCHED)
+    n = (1 << bucket_bits(rows.sparkSession)) // 4
+    return rows.repartition(n, "bucket").mapInArrow(run, _MATCHED)
 
 
 def intervals(hits: DataFrame, before: int, after: int) -> DataFrame:

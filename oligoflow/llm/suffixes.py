@@ -29,20 +29,20 @@ from . import hashing as hs
 from . import repeats
 from .base import stored
 
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 @lru_cache
 def difference_cover(width: int) -> tuple[int, tuple[int, ...]]:
-    """(v, D) of the largest perfect cover with v = q*q + q + 1 (q prime) that leaves tuples of a fifth of ``width``.
+    """(v, D) of the largest perfect cover with v = q*q + q + 1 (q prime) that leaves tuples of half of ``width``.
 
     D has q + 1 remainders and every difference modulo v comes up exactly once (Singer): the powers of a
     generator of GF(q**3) that lie in the plane spanned by 1 and x.  Widths under 10 take {0, 1} modulo 3.
     """
     best = 0
     for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47):
-        if q * q + q + 1 <= width * 4 // 5:
+        if q * q + q + 1 <= width // 2:
             best = q
     if not best:
         return 3, (0, 1)
@@ -90,7 +90,7 @@ def _tuple_entries(width: int):
             at, inside = _starts(rows, size)
             at = at[sampled[(inside + base) % v]]
             keys = hs.ranges(hs.prefix(hs.BYTE_VALUE[part], "byte"), at, at + size, "byte")
-            yield piece.column(0).to_pylist(), offsets[:-1], int(offsets[-1]), at + base, keys, None, len(part) // 3
+            yield piece.column(0).to_pylist(), offsets[:-1], int(offsets[-1]), at + base, keys, None, len(part) // 2
 
     return entries
 
@@ -101,15 +101,15 @@ def _candidate_entries(width: int):
         for key, packed, spans, copies in zip(*(piece.column(k) for k in range(4)), strict=True):
             raw = np.frombuffer(z.decompress(packed.as_py()), np.uint8)
             places, keys, size = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-            parts = [(at, min(at + _SLICE // 4, hi, len(raw) - width + 1)) for lo, hi in repeats.spans_of(spans.as_py()).tolist() for at in range(lo, min(hi, len(raw) - width + 1), _SLICE // 4)]
+            parts = [(at, min(at + _SLICE, hi, len(raw) - width + 1)) for lo, hi in repeats.spans_of(spans.as_py()).tolist() for at in range(lo, min(hi, len(raw) - width + 1), _SLICE)]
             for at, stop in parts:
                 here = np.arange(stop - at)
                 keys.append(hs.ranges(hs.prefix(hs.BYTE_VALUE[raw[at : stop + width - 1]], "byte"), here, here + width, "byte"))
                 places.append(here + at)
                 size += len(here)
-                if size > _SLICE // 4 or (at, stop) == parts[-1]:
+                if size > _SLICE or (at, stop) == parts[-1]:
                     found = np.concatenate(keys)
-                    yield [key.as_py()], np.zeros(1, np.int64), len(raw), np.concatenate(places), found, np.full(len(found), copies.as_py() > 1), 6 * size
+                    yield [key.as_py()], np.zeros(1, np.int64), len(raw), np.concatenate(places), found, np.full(len(found), copies.as_py() > 1), 8 * size
                     places, keys, size = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
 
     return entries
@@ -136,11 +136,11 @@ def remove_repeats(docs: DataFrame, width: int = 400, texts: bool = True) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for piece in hs.pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([z.compress(x.as_buffer()) for x in piece.column(2)], pa.binary())], ["doc_id", "key", "z"])
 
-    tuples = repeats.matched(repeats.packed(rows.select("key", "text"), "text", _tuple_entries(width)))
+    tuples = repeats.matched(repeats.packed(rows.select("key", "text"), "text", _tuple_entries(width), 1 << 20))
     near = repeats.intervals(tuples, v - 1, 1).withColumnRenamed("key", "near_key")
     copies = rows.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnRenamed("key", "copy_key")
     small = rows.mapInArrow(squeeze, "doc_id long, key binary, z binary")
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, texts: bool = True) -> Dat
     settled = small.select("doc_id", "key", "z", "spans", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(settle, "doc_id long, key binary, n_bytes long, sha string, whole binary, z binary, near array<binary>, copies long")
     settled = stored(settled, "settled")
     open_ = settled.where("z IS NOT NULL").select("key", "z", "near", "copies")
-    spans = repeats.intervals(repeats.matched(repeats.packed(open_, "z", _candidate_entries(width))), 0, width).withColumnRenamed("key", "span_key")
+    spans = repeats.intervals(repeats.matched(repeats.packed(open_, "z", _candidate_entries(width), 1 << 20)), 0, width).withColumnRenamed("key", "span_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
