@@ -24,6 +24,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "([A-Za-z0-9+/_=-]{%d,})"
 #: Shortest token that the models judge, and shortest ordinary identifier they are trained on.
 TOKEN_CHARS, IDENTIFIER_CHARS = 20, 12
+#: Long words count as ordinary identifiers unless they have digits, signs or capitals close together (unknown secrets do).
+NOT_ORDINARY = "[0-9+/=]|[A-Z].?[A-Z]"
 #: A token is a span if its log-likelihood ratio is at least this in all, and at least this for each step.
 LEAST_RATIO, LEAST_MEAN_RATIO = 12.0, 0.5
 
@@ -60,23 +62,26 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratios (random over ordinary) of all character pairs, counted over all of ``docs``.
 
     What comes to the driver is at most one count for each pair and class.  Both models are smoothed by
-    one pseudo-count for each character; without samples of either class all ratios are 0.
+    the frequencies of single characters, these by a pseudo-count; without samples of either class all
+    ratios are 0.
     """
     n = len(ALPHABET)
     spans = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).select("t", base_spans("t").alias("b"))
     rest = _redacted("t", "b", " ")
-    words = f"regexp_extract_all({rest}, r'{TOKEN % IDENTIFIER_CHARS}', 1)"
-    secret = f"transform(b, s -> regexp_replace(substring(t, s.end - s.value + 1, s.value), '[^A-Za-z0-9+/_=-]', ''))"
+    words = f"filter(regexp_extract_all({rest}, r'{TOKEN % IDENTIFIER_CHARS}', 1), w -> NOT w RLIKE '{NOT_ORDINARY}')"
+    secret = "transform(b, s -> regexp_replace(substring(t, s.end - s.value + 1, s.value), '[^A-Za-z0-9+/_=-]', ''))"
     samples = spans.select(F.expr(f"concat(transform({secret}, x -> named_struct('y', 1, 'w', x)), transform({words}, x -> named_struct('y', 0, 'w', x)))").alias("x")).where("size(x) > 0").select(F.explode("x").alias("x"))
     samples = samples.where("length(x.w) >= 2").select("x.y", F.explode(F.expr(_pairs("x.w"))).alias("pair"))
     counts = {(r["y"], r["pair"]): r["n"] for r in samples.groupBy("y", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not {0, 1} <= {y for y, _ in counts}:
         return [0.0] * (n * n)
     out = []
+    after = [[sum(counts.get((y, a * n + b), 0) for a in range(n)) for b in range(1, n + 1)] for y in (0, 1)]
+    alone = [[(x + 1) / (sum(after[y]) + n) for x in after[y]] for y in (0, 1)]
     for a in range(n):
         total = [sum(counts.get((y, a * n + b), 0) for b in range(1, n + 1)) for y in (0, 1)]
         for b in range(1, n + 1):
-            p = [(counts.get((y, a * n + b), 0) + 1) / (total[y] + n) for y in (0, 1)]
+            p = [(counts.get((y, a * n + b), 0) + n * alone[y][b - 1]) / (total[y] + n) for y in (0, 1)]
             out.append(math.log(p[1] / p[0]))
     return out
 
