@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontam, mixing, near_dedup, quality, secrets, suffixes, token_counts, toxicity, warc, windows
+from . import base, decontam, mixing, near_dedup, oracles, quality, secrets, suffixes, token_counts, toxicity, warc, windows
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_token_counts": op3_token_counts, "op4_substring_dedup": op4_substring_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_decontaminate": op6_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_mix_sources": op9_mix_sources, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_near_duplicates, op3_token_counts, op4_substring_dedup, op5_suffix_dedup,
+    op6_decontaminate, op7_secret_scan, op8_quality_rules, op9_mix_sources, op10_warc,
+)}
+ORACLES = {
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_decontaminate": oracles.DECONTAMINATE,
+    "op8_quality_rules": oracles.QUALITY, "op9_mix_sources": oracles.MIX_SOURCES, "op10_warc": oracles.WARC,
+}
