@@ -118,7 +118,9 @@ def secret_report(docs: DataFrame, model: list[float] | None = None) -> DataFram
 
 def redact(docs: DataFrame, model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; all columns stay, n_chars (if any) is counted anew.  Null texts stay null."""
-    names = ("__base", "__spans")
+    names = ["_base", "_spans"]
+    while set(names) & set(docs.columns):
+        names = [f"{x}_" for x in names]
     found = scan(docs, train(docs) if model is None else model, base_col=names[0], spans_col=names[1])
     found = found.withColumn("text", F.expr(f"CASE WHEN text IS NULL OR size({names[1]}) = 0 THEN text ELSE {_redacted('text', names[1], mark)} END")).drop(*names)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
