@@ -9,7 +9,7 @@ members of a band bucket are compared with one hub each (the member that shares
 which joins the most of every group.  Buckets that still hold several components are put together to groups; the members
 outside a group's main component are its query set, compared with the whole group in blocks of bounded
 size, each pair of blocks in a task of its own.  Odd sketches sieve, full sets decide, and a task returns
-one link for each member and foreign component, so the links stay few however alike a group is.
+no more links than join its components, however alike a group is.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def _hub_pairs(bands: DataFrame, nodes: DataFrame, hubs: DataFrame, percent: int
 
 
 def _block_links(block: pa.Table, n: int, percent: int) -> list[tuple[int, int]]:
-    """Links between the queries and the other rows of a block; one for each query and component."""
+    """Links between the queries and the other rows of a block, as many as join its components: a spanning forest."""
     query = block.column("query").to_numpy()
     ids, component, size = (block.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
     sketch = np.stack([block.column(f"s{k}").to_numpy() for k in range(_WORDS)], axis=1).view(np.uint64)
@@ -169,6 +169,14 @@ def _block_links(block: pa.Table, n: int, percent: int) -> list[tuple[int, int]]
     order = np.argsort(h[theirs], kind="stable")
     keys, owners = h[theirs][order], place[owner[theirs]][order]
     sizes, components_, sketches, limit, out = size[other], component[other], sketch[other], sketch_limit(percent / 100), []
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
     for q in mine:
         maybe = (components_ != component[q]) & (100 * np.minimum(sizes, size[q]) >= percent * np.maximum(sizes, size[q]))
         maybe &= np.bitwise_count(sketches ^ sketch[q]).sum(axis=1) <= limit
@@ -181,7 +189,11 @@ def _block_links(block: pa.Table, n: int, percent: int) -> list[tuple[int, int]]
         both = np.bincount(owners[at], minlength=len(other))
         linked = np.flatnonzero(maybe & (100 * both >= percent * (sizes + size[q] - both)))
         _, first = np.unique(components_[linked], return_index=True)
-        out += [(int(ids[q]), int(ids[other[k]])) for k in linked[first]]
+        for k in linked[first].tolist():
+            a, b = root(int(component[q])), root(int(components_[k]))
+            if a != b:
+                parent[a] = b
+                out.append((int(ids[q]), int(ids[other[k]])))
     return out
 
 
