@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,30 +15,36 @@ EDGES_A_TASK = 50_000
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a batch as stars: each node with the smallest it is connected to by them."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """The edges of a task as stars: each node with the smallest it is connected to by them; a bounded number of edges at a time."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
 
-        def root(x: int, parent: dict[int, int] = parent) -> int:
-            top = x
-            while parent.setdefault(top, top) != top:
-                top = parent[top]
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
+    def stars() -> pa.RecordBatch:
+        nodes = [x for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             p, q = root(a), root(b)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-        nodes = [x for x in parent if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array([root(x) for x in nodes], np.int64))], ["a", "b"])
+        if len(parent) > 2 * EDGES_A_TASK:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     """(id, component) for every id in ``edges`` (columns a, b; ids not equal); component is the smallest id reachable.
 
-    Tasks first contract their own edges to stars.  Each pass takes the smallest label among neighbours and
+    Tasks first contract their own edges to stars, and once more what is left, in tasks of EDGES_A_TASK.  Each pass takes the smallest label among neighbours and
     then the label of that label, so paths halve; passes are cut by tables in the shared folder.  A hub's
     edges are one key of a join that Spark can split and of an aggregate with partial sums, never a group in
     one task.  With ``passes`` it stops after so many: labels are then of nodes that are connected, but
@@ -47,6 +52,7 @@ def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     """
     stars = stored(edges.select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
     tasks = min(partitions(edges.sparkSession), 1 + stars.count() // EDGES_A_TASK)
+    stars = stored(stars.coalesce(tasks).mapInArrow(_contracted, "a long, b long"), "edges")
     both = stored(stars.union(stars.select("b", "a")).coalesce(tasks), "edges")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")).coalesce(tasks), "labels")
     done = 0
