@@ -9,8 +9,8 @@ counts that both classes share, in the Pitman-Yor form of interpolated Kneser-Ne
 where p(x | h) comes from the counts of both classes, t_c(h) is how many different x follow h in class c,
 and the strength s lends every expression m counts of the shared backoff: what one class has hardly seen
 costs it no more than that.  The log-likelihoods of a text are compared word by word, less the text's own
-median word (which takes out what language or topic alone add to every word) and a margin, and normalised
-by length.  A logistic curve, fitted on labelled texts that the counts left out, makes a score of it.
+median word (which takes out what language or topic alone add to every word; no more than a margin, so that a
+text of slurs alone keeps its own) and the margin, and normalised by length.  A logistic curve, fitted on labelled texts that the counts left out, makes a score of it.
 
 Counts are made by Spark over every labelled text.  Words and stems are hashed into tables whose size
 follows the number of distinct ones up to a documented bound; only these bounded tables are broadcast.
@@ -137,7 +137,7 @@ class Model:
         some = np.flatnonzero(n)
         middle = np.zeros(len(texts))
         middle[some] = (ordered[(end - n + (n - 1) // 2)[some]] + ordered[(end - n + n // 2)[some]]) / 2
-        return np.bincount(row, weights=np.maximum(step - middle[row] - MARGIN, 0), minlength=len(texts)) / np.maximum(n, 1)
+        return np.bincount(row, weights=np.maximum(step - np.clip(middle, -MARGIN, MARGIN)[row] - MARGIN, 0), minlength=len(texts)) / np.maximum(n, 1)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability that a text is toxic."""
@@ -176,14 +176,16 @@ def calibrate(model: Model, frame: pd.DataFrame) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A calibrated model.  Labels of held-out ids are never read; null texts and null labels are left out.
+    """A calibrated model.  Labels of held-out ids are never read; null texts and null labels are left out;
+    of several labels of one id the larger counts.
 
     Ids whose remainder is 4 fit the logistic curve (CALIBRATION_ROWS of them at most, those with the
     smallest crc32), those with 1 to 3 are counted, all of them.
     """
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("long").alias("toxic")).withColumn("fold", remainder).where("fold <> 0").dropDuplicates(["doc_id"])
-    labelled = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").withColumn("fold", remainder).where("fold <> 0").groupBy("doc_id", "fold").agg(F.max("toxic").cast("long").alias("toxic"))
+    # by sorting at every size: labels grow with the documents
+    labelled = docs.select("doc_id", "text").where("text IS NOT NULL").join(known.hint("merge"), "doc_id")
     labelled = stored(labelled, "labelled")
     model = fit_counts(labelled.where("fold <> 4"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
