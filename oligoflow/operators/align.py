@@ -118,7 +118,7 @@ def column_mutual_info(df: DataFrame) -> DataFrame:
                         joint[a, b] = joint[a, b] + part if (a, b) in joint else part
         for (a, b), n in joint.items():
             i, j = np.nonzero(np.triu(n))
-            yield pa.RecordBatch.from_arrays([pa.array(i + 1), pa.array(j + 1), pa.array([chr(a)] * len(i)), pa.array([chr(b)] * len(i)), pa.array(n[i, j])], ["i", "j", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(i + 1), pa.array(j + 1), pa.array([chr(a)] * len(i), pa.string()), pa.array([chr(b)] * len(i), pa.string()), pa.array(n[i, j])], ["i", "j", "a", "b", "n"])
 
     joint = require_aligned(df).select("sequences").mapInArrow(run, "i long, j long, a string, b string, n long")
     joint = stored(joint.groupBy("i", "j", "a", "b").agg(F.sum("n").cast("double").alias("n")), "joint")
