@@ -14,6 +14,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Copies of a document are made in runs of so many, since a run is an array in memory.
+RUN = 1 << 12
+
 
 def hashed_uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) with 52 random bits, the same for the same parts on every engine with md5."""
@@ -21,20 +24,37 @@ def hashed_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
+def poisson_start(rate: float) -> int:
+    """The count at which the thresholds of :func:`poisson_steps` begin: 0 up to a rate of 1600, and beyond it one that
+    is undershot with a chance below 1e-300."""
+    return max(0, math.floor(rate - 40 * math.sqrt(rate)))
+
+
 def poisson_steps(rate: float) -> list[float]:
-    """P(count <= k) for k = 0, 1, ... as far as a 52-bit uniform number can tell apart from 1."""
+    """P(count <= k) for k = start, start + 1, ... as far as a 52-bit uniform number can tell apart from 1.
+
+    Terms are taken relative to the largest one, so any rate needs O(sqrt(rate)) of them and none overflows.
+    """
     if rate <= 0:
         return [1.0]
-    if rate > 700:
-        raise ValueError(f"a source would repeat {rate:.0f} times; at most 700 is supported")
-    out, term, total, k = [], math.exp(-rate), 0.0, 0
-    while True:
-        total += term
-        out.append(min(total, 1.0))
-        if k > rate and 1.0 - total < 2.0**-53 or k > rate + 60 * math.sqrt(rate) + 60:
-            return [*out[:-1], 1.0]
+    top = math.floor(rate)
+    below, above, term = [], [1.0], 1.0
+    for k in range(top, poisson_start(rate), -1):
+        term *= k / rate
+        below.append(term)
+    term, k = 1.0, top
+    while term > 2.0**-80:
         k += 1
         term *= rate / k
+        above.append(term)
+    terms = below[::-1] + above
+    whole, total, out = math.fsum(terms), 0.0, []
+    for k, term in enumerate(terms, poisson_start(rate)):
+        total += term
+        if k >= rate and 1.0 - total / whole < 2.0**-53:
+            break
+        out.append(min(total / whole, 1.0))
+    return [*out, 1.0]
 
 
 def repetition_rates(docs: DataFrame, weights: Mapping[str | None, float], default_weight: float, source_col: str) -> list[tuple[str | None, int, float]]:
@@ -61,7 +81,8 @@ def mix_sources(
     Adds ``copy_no`` (0, 1, ...) and ``shuffle_key`` and orders by the latter; columns of ``docs`` with
     these names are replaced.  Rows that repeat an id draw the same count; rows with a null id draw one
     count together.  Texts are never looked at, so null, empty and long ones are alike.  An empty table
-    stays empty.  The number of sources must fit on the driver; rows of one source never meet in one
+    stays empty.  A source may be as rare as one row of any number; its documents then repeat that often
+    (``copy_no`` is an int).  The number of sources must fit on the driver; rows of one source never meet in one
     task, since counts are drawn row by row and the order is by a hash.
     """
     rates = repetition_rates(docs, weights or {}, default_weight, source_col)
@@ -69,7 +90,11 @@ def mix_sources(
     copies = F.lit(0)
     for name, _, rate in rates:
         steps = poisson_steps(rate)
-        drawn = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: x <= u))
+        limits = F.split(F.lit(",".join(map(repr, steps))), ",").cast("array<double>")  # one literal, folded by the planner
+        drawn = F.size(F.filter(limits, lambda x: x <= u)) + poisson_start(rate)
         copies = F.when(source.eqNullSafe(F.lit(name)), drawn).otherwise(copies)
-    out = docs.drop(copy_col, key_col).withColumn(copy_col, F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
+    out = docs.drop(copy_col, key_col).withColumn(copy_col, copies)
+    last, none = F.col(copy_col) - 1, F.array().cast("array<int>")
+    out = out.withColumn(key_col, F.explode(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(RUN))).otherwise(none)))  # first copy of each run
+    out = out.withColumn(copy_col, F.explode(F.sequence(F.col(key_col), F.least(last, F.col(key_col) + (RUN - 1)))))
     return out.withColumn(key_col, hashed_uniform(str(seed), "order", F.col(f"`{id_col}`"), F.col(copy_col))).orderBy(key_col, id_col, copy_col)

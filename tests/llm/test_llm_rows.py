@@ -265,6 +265,23 @@ def test_poisson_steps(rate):
     assert mean == pytest.approx(rate, abs=1e-6)
 
 
+@pytest.mark.parametrize("rate", [701.0, 1599.5, 2442.0, 50_000.0, 5e6])
+def test_poisson_steps_of_rare_sources(rate):
+    start, steps = mixing.poisson_start(rate), mixing.poisson_steps(rate)
+    assert steps == sorted(steps) and steps[-1] == 1.0 and len(steps) < 60 * rate**0.5
+    over = [1 - s for s in steps]  # P(count > k)
+    mean = start + sum(over)
+    assert mean == pytest.approx(rate, rel=1e-9)
+    assert sum((2 * (k - mean) + 1) * x for k, x in enumerate(over, start)) + (start - mean) ** 2 == pytest.approx(rate, rel=1e-4)  # the variance
+
+
+def test_mix_with_one_row_of_a_source(spark):
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") != 77_777, F.lit("a")).alias("source"))
+    got = {r.source: r for r in mixing.mix_sources(df).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("copies"), F.min("copy_no").alias("first"), F.max("copy_no").alias("last")).collect()}
+    assert all(abs(got[s].n - 50_000) < 6 * 50_000**0.5 for s in ("a", None))
+    assert (got[None].copies, got[None].first, got[None].last) == (got[None].n, 0, got[None].n - 1)
+
+
 # archives
 
 
