@@ -12,8 +12,10 @@ costs it no more than that.  The log-likelihoods of a text are compared word by
 median word (which takes out what language or topic alone add to every word; no more than a margin, so that a
 text of slurs alone keeps its own) and the margin, and normalised by length.  A logistic curve, fitted on labelled texts that the counts left out, makes a score of it.
 
-Counts are made by Spark over every labelled text.  Words and stems are hashed into tables whose size
-follows the number of distinct ones up to a documented bound; only these bounded tables are broadcast.
+Counts are made by Spark over labelled texts and kept as tables keyed by the full 64-bit hash of the word or
+stem, so no two share an entry however many there are.  Each word's difference is computed there once.  Up to
+HELD entries the differences are broadcast; beyond, the words of the texts are joined with them.  Both ways
+give the same result.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import hashing as hs
-from .base import partitions, stored
+from .base import stored
 
-#: Bits of the tables of words and of stems, at least and at most (the broadcast is 12 bytes for each slot).
-WORD_BITS, STEM_BITS = (12, 22), (10, 20)
+#: Words and stems, together, whose differences are broadcast (12 bytes each) and not joined.
+HELD = 8_000_000
 STEM_BYTES = 6
 #: D, m, and the part of a word's difference that counts as noise.
 DISCOUNT, LENT, MARGIN = 0.75, 3.0, 1.0
@@ -79,81 +83,128 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.min("stem").alias("stem"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _dense(df: DataFrame, bits: int, names: list[str]) -> np.ndarray:
-    """Sums of ``names`` by slot (0 .. 2**bits - 1), added up in blocks on the executors; (len(names), 2**bits)."""
-    width = min(bits, 14)
+def _step(count: list, before: list, kinds: list) -> Column:
+    """Toxic less ordinary log(p_c(x | h) / p(x | h)) from the classes' n(hx), n(h) and t(h); what neither has seen says nothing."""
+    shared = F.least((count[0] + count[1]) / F.greatest(before[0] + before[1], F.lit(1)), F.lit(1.0))  # p(x | h)
+    ratio = [(F.greatest(n - DISCOUNT, F.lit(0.0)) + LENT + DISCOUNT * t * shared) / (h * shared + LENT) for n, h, t in zip(count, before, kinds, strict=True)]
+    return F.when(count[0] + count[1] > 0, F.log(ratio[1]) - F.log(ratio[0])).otherwise(0.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            values = [batch.column(k + 1).to_numpy() for k in range(len(names))]
-            for b in np.unique(slot >> width).tolist():
-                mine = (slot >> width) == b
-                block = blocks.setdefault(b, np.zeros((len(names), 1 << width)))
-                for k, x in enumerate(values):
-                    block[k] += np.bincount(slot[mine] & ((1 << width) - 1), weights=x[mine], minlength=1 << width)
-        for b, block in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
-
-    spread = df.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).withColumn("block", F.shiftright("slot", width))
-    rows = spread.repartition(partitions(df.sparkSession), "block").select("slot", *names).mapInArrow(run, "block int, sums binary").collect()
-    out = np.zeros((len(names), 1 << bits), np.float32)
-    for r in rows:
-        out[:, r["block"] << width : (r["block"] + 1) << width] = np.frombuffer(r["sums"], np.float32).reshape(len(names), -1)
-    return out
+
+class Held:
+    """Differences by hash, in memory: those of words, and those of stems for words that were not counted."""
+
+    def __init__(self, words: DataFrame, stems: DataFrame):
+        self.tables = []
+        for df in (words, stems):
+            found = df.toArrow()
+            key, step = (found.column(k).to_numpy() for k in (0, 1))
+            order = np.argsort(key)
+            self.tables.append((key[order], step[order]))
+
+    def steps(self, stem: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Toxic less ordinary log-probability of each word."""
+        words, at, back = np.unique(word, return_index=True, return_inverse=True)
+        out, open_ = np.zeros(len(words), np.float32), np.arange(len(words))
+        for (key, step), sought in zip(self.tables, (words, stem[at]), strict=True):
+            if len(key) == 0 or len(open_) == 0:
+                continue
+            wanted = sought[open_].view(np.int64)
+            place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            same = key[place] == wanted
+            out[open_[same]] = step[place[same]]
+            open_ = open_[~same]
+        return out[back].astype(np.float64)
 
 
 @dataclass
 class Model:
-    """Bounded tables of both models; class 0 is ordinary, 1 toxic."""
+    """Differences of all words (word, step) and stems (stem, step), and the logistic curve."""
 
-    words: np.ndarray  # (2, slots) counts
-    stems: np.ndarray  # (2, slots) counts
-    kinds: np.ndarray  # (2, slots) different words of a stem
+    words: DataFrame
+    stems: DataFrame
+    held: Broadcast | None  # of Held; None if there are too many
     slope: float = 1.0
     middle: float = 0.0
 
-    def _steps(self, stem: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Toxic less ordinary log-probability of each word."""
-        i = (stem >> np.uint64(65 - len(self.stems[0]).bit_length())).astype(np.int64)
-        j = (word >> np.uint64(65 - len(self.words[0]).bit_length())).astype(np.int64)
-        total, stem_kinds = self.stems.sum(axis=1, dtype=np.float64), (self.stems > 0).sum(axis=1)
-        out = np.zeros(len(stem))
-        for count, before, kinds in ((self.stems[:, i], total[:, None], stem_kinds[:, None]), (self.words[:, j], self.stems[:, i], self.kinds[:, i])):
-            both = count.sum(axis=0)
-            shared = np.minimum(both / np.maximum(before.sum(axis=0), 1), 1)  # p(x | h)
-            ratio = (np.maximum(count - DISCOUNT, 0) + LENT + DISCOUNT * kinds * shared) / (before * shared + LENT)  # p_c(x | h) / p(x | h)
-            out += np.where(both > 0, np.log(ratio[1]) - np.log(ratio[0]), 0)  # what neither has seen says nothing
-        return out
-
-    def difference(self, texts: pa.Array) -> np.ndarray:
-        """Length-normalised difference of the two log-likelihoods of each text (0 without words)."""
-        row, stem, word = _words(texts)
-        step = self._steps(stem, word)
-        n = np.bincount(row, minlength=len(texts))
-        end = np.cumsum(n)
-        ordered = step[np.lexsort((step, row))]
-        some = np.flatnonzero(n)
-        middle = np.zeros(len(texts))
-        middle[some] = (ordered[(end - n + (n - 1) // 2)[some]] + ordered[(end - n + n // 2)[some]]) / 2
-        return np.bincount(row, weights=np.maximum(step - np.clip(middle, -MARGIN, MARGIN)[row] - MARGIN, 0), minlength=len(texts)) / np.maximum(n, 1)
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """Probability that a text is toxic."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * (self.difference(texts) - self.middle), -30, 30)))
+
+def _normalised(row: np.ndarray, step: np.ndarray, texts: int) -> np.ndarray:
+    """Length-normalised difference of each of so many texts (0 without words) from the steps of its words; ``row`` ascends."""
+    n = np.bincount(row, minlength=texts)
+    end = np.cumsum(n)
+    ordered = step[np.lexsort((step, row))]
+    some = np.flatnonzero(n)
+    middle = np.zeros(texts)
+    middle[some] = (ordered[(end - n + (n - 1) // 2)[some]] + ordered[(end - n + n // 2)[some]]) / 2
+    return np.bincount(row, weights=np.maximum(step - np.clip(middle, -MARGIN, MARGIN)[row] - MARGIN, 0), minlength=texts) / np.maximum(n, 1)
+
+
+def differences(docs: DataFrame, model: Model) -> DataFrame:
+    """``difference`` of the text of each row of ``docs`` in place of its last column, ``text``."""
+    kept = docs.drop("text")
+    schema = StructType([*kept.schema, StructField("difference", DoubleType())])
+    held = model.held
+    if held is None:
+        return _joined_differences(docs, model, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in hs.pieces(batches, "text"):
+            row, stem, word = _words(piece.column(piece.num_columns - 1))
+            found = _normalised(row, held.value.steps(stem, word), piece.num_rows)
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _joined_differences(docs: DataFrame, model: Model, schema: StructType) -> DataFrame:
+    """:func:`differences` by joining the distinct words of each text with the tables and gathering them by text."""
+    names = schema.names[:-1]
+    marked = docs.select(*names, F.monotonically_increasing_id().alias("_row"), "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in hs.pieces(batches, "text"):
+            row, stem, word = _words(piece.column(piece.num_columns - 1))
+            bare = np.setdiff1d(np.arange(piece.num_rows), row)  # texts without words stay by an entry that counts 0 times
+            order = np.lexsort((word, row))
+            row, stem, word = row[order], stem[order], word[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1]))[: len(row)])
+            times = np.append(np.diff(np.append(first, len(row))), np.zeros(len(bare), np.int64))
+            spread = hs.mix(bare.astype(np.uint64))
+            key = [pa.array(np.append(x[first], spread).view(np.int64)) for x in (stem, word)]
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(np.append(row[first], bare))) for c in piece.columns[:-1]], *key, pa.array(times)], [*names, "_row", "_stem", "_word", "_times"])
+
+    found = marked.mapInArrow(words, StructType([*marked.schema[:-1], *[StructField(x, LongType()) for x in ("_stem", "_word", "_times")]]))
+    by_word, by_stem = model.words.toDF("_word", "_of_word").hint("merge"), model.stems.toDF("_stem", "_of_stem").hint("merge")
+    found = found.join(by_word, "_word", "left").join(by_stem, "_stem", "left")
+    steps = F.struct(F.coalesce("_of_word", "_of_stem", F.lit(0.0).cast("float")).alias("step"), F.col("_times").alias("times"))
+    texts = found.groupBy(*names, "_row").agg(F.collect_list(steps).alias("steps")).select(*names, "steps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            step, times = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            found = _normalised(np.repeat(row, times), np.repeat(step.astype(np.float64), times), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], schema.names)
+
+    return texts.mapInArrow(run, schema)
 
 
 def fit_counts(labelled: DataFrame) -> Model:
     """Both models from all rows of ``labelled`` (text, toxic 0 or 1)."""
     counts = stored(count_words(labelled), "words")
-    distinct = counts.count()
-    bits = lambda bound: int(np.clip(np.ceil(np.log2(max(distinct, 1))) + 1, *bound))
-    slot = lambda name, b: F.shiftrightunsigned(F.col(name), 64 - b).alias("slot")
-    kinds = [F.expr(f"cast(n{c} > 0 AS long)").alias(f"t{c}") for c in (0, 1)]
-    words = _dense(counts.select(slot("word", bits(WORD_BITS)), "n0", "n1"), bits(WORD_BITS), ["n0", "n1"])
-    stems = _dense(counts.select(slot("stem", bits(STEM_BITS)), "n0", "n1", *kinds), bits(STEM_BITS), ["n0", "n1", "t0", "t1"])
-    return Model(words, stems[:2], stems[2:])
+    kinds = [F.sum(F.expr(f"cast(n{c} > 0 AS long)")).alias(f"t{c}") for c in (0, 1)]
+    stems = stored(counts.groupBy("stem").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), *kinds), "stems")
+    sums = [F.coalesce(F.sum(F.expr(x)), F.lit(0)) for x in ("s0", "s1", "cast(s0 > 0 AS long)", "cast(s1 > 0 AS long)")]
+    *total, distinct = stems.agg(*sums, F.count("*")).first()
+    total = [F.lit(float(x)) for x in total]
+    n, s, t = ([F.col(f"{x}{c}") for c in (0, 1)] for x in "nst")
+    of_stem = _step(s, total[:2], total[2:])
+    words = counts.join(stems.hint("merge"), "stem").select("word", (of_stem + _step(n, s, t)).cast("float").alias("step"))
+    words, stems = stored(words, "word-steps"), stems.select("stem", of_stem.cast("float").alias("step"))
+    held = None
+    if distinct + counts.count() <= HELD:
+        held = labelled.sparkSession.sparkContext.broadcast(Held(words, stems))
+    return Model(words, stems, held)
 
 
 def calibrate(model: Model, frame: pd.DataFrame) -> None:
@@ -188,13 +239,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     labelled = docs.select("doc_id", "text").where("text IS NOT NULL").join(known.hint("merge"), "doc_id")
     labelled = stored(labelled, "labelled")
     model = fit_counts(labelled.where("fold <> 4"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(shared.value.difference(piece.column(2)))], ["doc_id", "toxic", "difference"])
-
-    judged = labelled.where("fold = 4").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic long, difference double")
+    judged = differences(labelled.where("fold = 4").select("doc_id", "toxic", "text"), model)
     frame = judged.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(CALIBRATION_ROWS).toPandas()
     calibrate(model, frame)
     return model
@@ -206,15 +251,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null, empty and wordless texts have no likelihoods; their score is that of a difference of 0.  A null
     id is not held out; rows that repeat an id are scored by their own texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
-            s = shared.value.score(piece.column(2))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    found = differences(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model)
+    x = model.slope * (F.col("difference") - model.middle)
+    found = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

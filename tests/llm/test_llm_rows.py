@@ -239,6 +239,31 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(df.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_of_joined_words(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(d, " ".join(rng.choice(("vileword", "grimslur") if d % 4 == 0 and k % 9 == 0 else ("plain", "words", "of", "texts", f"rare{d}x{k}")) for k in range(40 + d % 30))) for d in range(300)]
+    rows += [(None, "vileword " * 3), (2000, None), (2001, ""), (2001, "..."), (2002, "grimslur " * 500), (2002, "grimslur " * 500)]
+    df, labels = frame(spark, rows), spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(300)], "doc_id long, toxic int")
+    found = []
+    for held in (toxicity.HELD, 0):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        found.append(sorted((tuple(r) for r in toxicity.score_toxicity(df, labels).collect()), key=str))
+    for a, b in zip(*found, strict=True):
+        assert (a[0], a[1], a[3]) == (b[0], b[1], b[3]) and a[2] == pytest.approx(b[2], abs=1e-9)
+
+
+def test_toxicity_counts_each_word_apart(spark):
+    seen = 6_000_000  # more words than the tables once had slots
+    many = spark.range(seen // 1000).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("w"), F.hex(F.col("id") * 1000 + k)))).alias("text"), F.lit(0).alias("toxic"))
+    slurs = spark.createDataFrame([(f"slur{k}x " * 20, 1) for k in range(100, 300)], "text string, toxic int")
+    model = toxicity.fit_counts(many.union(slurs))
+    assert model.words.count() == seen + 200
+    texts = spark.createDataFrame([(k, f"slur{k}x") for k in range(100, 300)], "doc_id long, text string")
+    _, stem, word = toxicity._words(texts.select("text").toArrow().column(0).combine_chunks())
+    steps = model.held.value.steps(stem, word)
+    assert len(set(steps.round(4).tolist())) == 1 and steps[0] > 1  # equal counts, equal differences
+
+
 # mixing
 
 
