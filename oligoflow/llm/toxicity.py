@@ -230,17 +230,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A calibrated model.  Labels of held-out ids are never read; null texts and null labels are left out;
     of several labels of one id the larger counts.
 
-    Ids whose remainder is 4 fit the logistic curve (CALIBRATION_ROWS of them at most, those with the
-    smallest crc32), those with 1 to 3 are counted, all of them.
+    Of the ids whose remainder is 4, those with the smallest crc32 fit the logistic curve (CALIBRATION_ROWS
+    rows at most); all other ids are counted.
     """
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").withColumn("fold", remainder).where("fold <> 0").groupBy("doc_id", "fold").agg(F.max("toxic").cast("long").alias("toxic"))
     # by sorting at every size: labels grow with the documents
     labelled = docs.select("doc_id", "text").where("text IS NOT NULL").join(known.hint("merge"), "doc_id")
     labelled = stored(labelled, "labelled")
-    model = fit_counts(labelled.where("fold <> 4"))
-    judged = differences(labelled.where("fold = 4").select("doc_id", "toxic", "text"), model)
-    frame = judged.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(CALIBRATION_ROWS).toPandas()
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    first = labelled.where("fold = 4").select(hashed.alias("hash"), "doc_id").orderBy("hash", "doc_id").limit(CALIBRATION_ROWS)
+    last = first.agg(F.max(F.struct("hash", "doc_id"))).first()[0]
+    aside = (F.col("fold") == 4) & ((hashed < last[0]) | (hashed == last[0]) & (F.col("doc_id") <= last[1])) if last else F.lit(False)
+    model = fit_counts(labelled.where(~aside))
+    judged = differences(labelled.where(aside).select("doc_id", "toxic", "text"), model)
+    frame = judged.orderBy(hashed, "doc_id").limit(CALIBRATION_ROWS).toPandas()
     calibrate(model, frame)
     return model
 

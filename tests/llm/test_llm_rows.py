@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,16 @@ def test_toxicity_counts_each_word_apart(spark):
     assert len(set(steps.round(4).tolist())) == 1 and steps[0] > 1  # equal counts, equal differences
 
 
+def test_toxicity_counts_all_but_calibration_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    rows = [(d, f"common own{d}") for d in range(200)]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame([(d, d % 2) for d in range(200)], "doc_id long, toxic int"))
+    aside = sorted((d for d in range(200) if fold(d) == 4), key=lambda d: zlib.crc32(str(d).encode()))[:10]
+    _, _, word = toxicity._words(pa.array([f"own{d}" for d in range(200) if fold(d) and d not in aside] + ["common"]))
+    assert {r.word for r in model.words.collect()} == set(word.view(np.int64).tolist())
+
+
 # mixing
 
 
