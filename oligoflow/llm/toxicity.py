@@ -1,16 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 1).
 
 Two models, one of toxic and one of ordinary labelled texts, give the probability of a word as that of its
-stem (its first bytes) times that of the word after the stem.  Counts are discounted and backed off to the
-counts that both classes share, in the Pitman-Yor form of interpolated Kneser-Ney smoothing,
+stem (its first bytes) times that of the word after the stem.  As in Kneser-Ney smoothing, what is counted is
+not how often an expression occurs but in how many different contexts: here, texts.  A word that one text
+repeats a hundred times is a word of one context.  Counts are discounted and backed off to the
+continuation counts that both classes share, in the Pitman-Yor form of interpolated smoothing,
 
     p_c(x | h) = (max(n_c(hx) - D, 0) + (s + D t_c(h)) p(x | h)) / (n_c(h) + s),    s = m / p(x | h),
 
-where p(x | h) comes from the counts of both classes, t_c(h) is how many different x follow h in class c,
-and the strength s lends every expression m counts of the shared backoff: what one class has hardly seen
-costs it no more than that.  The log-likelihoods of a text are compared word by word, less the text's own
-median word (which takes out what language or topic alone add to every word; no more than a margin, so that a
-text of slurs alone keeps its own) and the margin, and normalised by length.  A logistic curve, fitted on labelled texts that the counts left out, makes a score of it.
+where n_c(hx) is the number of texts of class c with x after h, p(x | h) comes from the counts of both classes,
+t_c(h) is how many different x follow h in class c, and the strength s lends every expression m counts of the
+shared backoff: what one class has hardly seen costs it no more than that.
+
+A text's score compares its two mean log-likelihoods, toxic less ordinary, over all its words; evidence for either
+class counts.  Of each word's difference the first MARGIN nats are taken off (towards 0), which is about what chance
+and a text's language alone bring about.  A logistic curve, fitted on labelled texts that the counts left out,
+makes a score of the mean difference.
 
 Counts are made by Spark over labelled texts and kept as tables keyed by the full 64-bit hash of the word or
 stem, so no two share an entry however many there are.  Each word's difference is computed there once.  Up to
@@ -37,8 +42,8 @@ from .base import stored
 #: Words and stems, together, whose differences are broadcast (12 bytes each) and not joined.
 HELD = 8_000_000
 STEM_BYTES = 6
-#: D, m, and the part of a word's difference that counts as noise.
-DISCOUNT, LENT, MARGIN = 0.75, 3.0, 1.0
+#: D, m, and the part of a word's difference that is taken off.
+DISCOUNT, LENT, MARGIN = 0.75, 3.0, 0.75
 #: Labelled texts used to fit the logistic curve (two numbers), at most.
 CALIBRATION_ROWS = 20_000
 
@@ -55,32 +60,41 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
-    """(stem, word, n0, n1): hashes of each distinct word and its stem, and its counts by class."""
+    """(whole, key, stem, n0, n1): for each distinct word (whole) and each stem, its hash, the stem's, and how many texts of either class have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def rows() -> pa.RecordBatch:
-            stem, word, y = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(word, kind="stable")
-            first = np.flatnonzero(np.append(True, word[order[1:]] != word[order[:-1]]))
-            n1 = np.add.reduceat(y[order], first)
-            n = np.diff(np.append(first, len(word)))
-            at = order[first]
-            return pa.RecordBatch.from_arrays([pa.array(stem[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(n - n1), pa.array(n1)], ["stem", "word", "n0", "n1"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            for whole in (True, False):
+                key, stem, y = (np.concatenate(x) for x in zip(*[h[1:] for h in held if h[0] == whole], strict=True))
+                first, n = _runs(order := np.argsort(key, kind="stable"), key)
+                n1 = np.add.reduceat(y[order], first)
+                at = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array([whole] * len(at)), pa.array(key[at].view(np.int64)), pa.array(stem[at].view(np.int64)), pa.array(n - n1), pa.array(n1)], ["whole", "key", "stem", "n0", "n1"])
 
         for piece in hs.pieces(batches, "text"):
             row, stem, word = _words(piece.column(0))
-            held.append((stem, word, piece.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[row]))
-            size += len(row)
+            y = piece.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for whole, key in ((True, word), (False, stem)):  # once for each text
+                order = np.lexsort((key, row))
+                at = order[np.append(True, (row[order[1:]] != row[order[:-1]]) | (key[order[1:]] != key[order[:-1]]))[: len(order)]]
+                held.append((whole, key[at], stem[at], y[row[at]]))
+                size += len(at)
             if size > 2_000_000:
-                yield rows()
+                yield from rows()
                 held, size = [], 0
         if size:
-            yield rows()
+            yield from rows()
+
+    found = labelled.select("text", "toxic").mapInArrow(run, "whole boolean, key long, stem long, n0 long, n1 long")
+    return found.groupBy("whole", "key").agg(F.min("stem").alias("stem"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    found = labelled.select("text", "toxic").mapInArrow(run, "stem long, word long, n0 long, n1 long")
-    return found.groupBy("word").agg(F.min("stem").alias("stem"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+def _runs(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal keys in sorted order."""
+    first = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]])[: len(key)])
+    return first, np.diff(np.append(first, len(key)))
 
 
 def _step(count: list, before: list, kinds: list) -> Column:
@@ -90,6 +104,11 @@ def _step(count: list, before: list, kinds: list) -> Column:
     return F.when(count[0] + count[1] > 0, F.log(ratio[1]) - F.log(ratio[0])).otherwise(0.0)
 
 
+def _shrunk(step: Column) -> Column:
+    """A difference without its first MARGIN nats."""
+    return (F.signum(step) * F.greatest(F.abs(step) - MARGIN, F.lit(0.0))).cast("float")
+
+
 class Held:
     """Differences by hash, in memory: those of words, and those of stems for words that were not counted."""
 
@@ -127,15 +146,9 @@ class Model:
     middle: float = 0.0
 
 
-def _normalised(row: np.ndarray, step: np.ndarray, texts: int) -> np.ndarray:
-    """Length-normalised difference of each of so many texts (0 without words) from the steps of its words; ``row`` ascends."""
-    n = np.bincount(row, minlength=texts)
-    end = np.cumsum(n)
-    ordered = step[np.lexsort((step, row))]
-    some = np.flatnonzero(n)
-    middle = np.zeros(texts)
-    middle[some] = (ordered[(end - n + (n - 1) // 2)[some]] + ordered[(end - n + n // 2)[some]]) / 2
-    return np.bincount(row, weights=np.maximum(step - np.clip(middle, -MARGIN, MARGIN)[row] - MARGIN, 0), minlength=texts) / np.maximum(n, 1)
+def _mean(row: np.ndarray, step: np.ndarray, texts: int) -> np.ndarray:
+    """Mean difference of the words of each of so many texts (0 without words)."""
+    return np.bincount(row, weights=step, minlength=texts) / np.maximum(np.bincount(row, minlength=texts), 1)
 
 
 def differences(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,7 +162,7 @@ def differences(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in hs.pieces(batches, "text"):
             row, stem, word = _words(piece.column(piece.num_columns - 1))
-            found = _normalised(row, held.value.steps(stem, word), piece.num_rows)
+            found = _mean(row, held.value.steps(stem, word), piece.num_rows)
             yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found)], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -175,34 +188,27 @@ def _joined_differences(docs: DataFrame, model: Model, schema: StructType) -> Da
     found = marked.mapInArrow(words, StructType([*marked.schema[:-1], *[StructField(x, LongType()) for x in ("_stem", "_word", "_times")]]))
     by_word, by_stem = model.words.toDF("_word", "_of_word").hint("merge"), model.stems.toDF("_stem", "_of_stem").hint("merge")
     found = found.join(by_word, "_word", "left").join(by_stem, "_stem", "left")
-    steps = F.struct(F.coalesce("_of_word", "_of_stem", F.lit(0.0).cast("float")).alias("step"), F.col("_times").alias("times"))
-    texts = found.groupBy(*names, "_row").agg(F.collect_list(steps).alias("steps")).select(*names, "steps")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            step, times = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            found = _normalised(np.repeat(row, times), np.repeat(step.astype(np.float64), times), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], schema.names)
-
-    return texts.mapInArrow(run, schema)
+    step = F.coalesce("_of_word", "_of_stem", F.lit(0.0).cast("float")).cast("double")
+    mean = F.sum(step * F.col("_times")) / F.greatest(F.sum("_times"), F.lit(1))
+    return found.groupBy(*names, "_row").agg(mean.alias("difference")).select(*schema.names)
 
 
 def fit_counts(labelled: DataFrame) -> Model:
     """Both models from all rows of ``labelled`` (text, toxic 0 or 1)."""
-    counts = stored(count_words(labelled), "words")
+    found = stored(count_words(labelled), "words")
+    counts = found.where("whole").select(F.col("key").alias("word"), "stem", "n0", "n1")
     kinds = [F.sum(F.expr(f"cast(n{c} > 0 AS long)")).alias(f"t{c}") for c in (0, 1)]
-    stems = stored(counts.groupBy("stem").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), *kinds), "stems")
+    after = counts.groupBy("stem").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"), *kinds)
+    stems = stored(found.where("NOT whole").select("stem", F.col("n0").alias("s0"), F.col("n1").alias("s1")).join(after.hint("merge"), "stem"), "stems")
     sums = [F.coalesce(F.sum(F.expr(x)), F.lit(0)) for x in ("s0", "s1", "cast(s0 > 0 AS long)", "cast(s1 > 0 AS long)")]
     *total, distinct = stems.agg(*sums, F.count("*")).first()
     total = [F.lit(float(x)) for x in total]
-    n, s, t = ([F.col(f"{x}{c}") for c in (0, 1)] for x in "nst")
+    n, s, h, t = ([F.col(f"{x}{c}") for c in (0, 1)] for x in "nsht")
     of_stem = _step(s, total[:2], total[2:])
-    words = counts.join(stems.hint("merge"), "stem").select("word", (of_stem + _step(n, s, t)).cast("float").alias("step"))
-    words, stems = stored(words, "word-steps"), stems.select("stem", of_stem.cast("float").alias("step"))
+    words = counts.join(stems.hint("merge"), "stem").select("word", _shrunk(of_stem + _step(n, h, t)).alias("step"))
+    words, stems = stored(words, "word-steps"), stems.select("stem", _shrunk(of_stem).alias("step"))
     held = None
-    if distinct + counts.count() <= HELD:
+    if distinct + words.count() <= HELD:
         held = labelled.sparkSession.sparkContext.broadcast(Held(words, stems))
     return Model(words, stems, held)
 
@@ -253,7 +259,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text; other columns are not read).
 
     Null, empty and wordless texts have no likelihoods; their score is that of a difference of 0.  A null
-    id is not held out; rows that repeat an id are scored by their own texts.
+    id is not held out; rows that repeat an id are scored by their own texts.  An empty table gives an empty
+    result.  A text of any length is scored whole, by a task that holds it; a score of exactly 0.5 predicts 1.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     found = differences(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), model)
