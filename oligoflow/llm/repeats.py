@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 from . import hashing as hs
 from .base import partitions
 
-#: Text (or other input) that one run covers, in bytes.
-RUN_BYTES = 8 << 20
+#: Text (or other input) that one run covers, in bytes; text behind one bucket; text behind one task.
+RUN_BYTES, BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20, 64 << 20
 _PACKED = "bucket int, run long, keys binary, places binary, known binary, docs binary"
 _MATCHED = "run long, places binary, docs binary"
 
 
-def bucket_bits(spark) -> int:
-    """Buckets as a power of two: several for each shuffle partition, 256 at least (8 bits are not stored)."""
-    return max(8, int(np.ceil(np.log2(8 * partitions(spark)))))
+def bucket_bits(n_bytes: int) -> int:
+    """Buckets for so much text as a power of two: one for each BUCKET_BYTES, 256 at least (8 bits are not stored)."""
+    return max(8, (max(n_bytes, 1) // BUCKET_BYTES).bit_length())
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def _pack_places(places: np.ndarray) -> bytes:
@@ -111,9 +116,9 @@ class Run:
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([self.number] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.binary()), pa.array(known, pa.binary()), pa.array(docs, pa.binary())], ["bucket", "run", "keys", "places", "known", "docs"])
 
 
-def packed(docs: DataFrame, text_col: str, entries: Callable[[pa.RecordBatch], Iterator[tuple]], piece_bytes: int = 4 << 20) -> DataFrame:
-    """Packed rows of all texts of ``docs``; ``entries`` turns a slice of about ``piece_bytes`` of them into what :meth:`Run.add` takes."""
-    bits = bucket_bits(docs.sparkSession)
+def packed(docs: DataFrame, text_col: str, entries: Callable[[pa.RecordBatch], Iterator[tuple]], n_bytes: int, piece_bytes: int = 4 << 20) -> DataFrame:
+    """Packed rows of all texts of ``docs``, ``n_bytes`` in all; ``entries`` turns a slice of about ``piece_bytes`` of them into what :meth:`Run.add` takes."""
+    bits = bucket_bits(n_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,39 +152,30 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield value, held
 
 
-def matched(rows: DataFrame) -> DataFrame:
+def matched(rows: DataFrame, n_bytes: int) -> DataFrame:
     """For each run: its directory, and the places whose fingerprint is repeated (in other runs, or known before).
 
-    A task holds a few buckets; there are as many tasks as keep them at some MB each.
+    Tasks and buckets both follow ``n_bytes``, the text behind ``rows``.  A task's rows are sorted by bucket (by Spark, which
+    spills) and it holds one bucket at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets: dict[int, list[dict]] = {}
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["docs"] is not None:
-                    out.append((r["run"], r["places"], r["docs"]))
-                else:
-                    buckets.setdefault(r["bucket"], []).append(r)
-            if out:
-                yield _rows(out)
-        while buckets:
-            _, group = buckets.popitem()
+        for _, group in _grouped(batches):
+            out = [(r["run"], r["places"], r["docs"]) for r in group if r["docs"] is not None]
+            group = [r for r in group if r["docs"] is None]
             sizes = np.array([len(r["keys"]) // 7 for r in group], np.int64)
             wide = np.zeros((sizes.sum(), 8), np.uint8)
             wide[:, :7] = np.frombuffer(b"".join(r["keys"] for r in group), np.uint8).reshape(-1, 7)
             keys = wide.view("<u8").ravel()
-            known = np.concatenate([np.unpackbits(np.frombuffer(r["known"], np.uint8), count=n) for r, n in zip(group, sizes, strict=True)]).astype(bool)
             order = np.argsort(keys, kind="stable")
             equal = keys[order[1:]] == keys[order[:-1]]
             twice = np.zeros(len(keys), bool)
             twice[order[1:][equal]] = True
             twice[order[:-1][equal]] = True
-            twice &= ~known
-            at, out = 0, []
+            at = 0
             for r, n in zip(group, sizes.tolist(), strict=True):
-                if (mine := twice[at : at + n]).any():
+                mine = twice[at : at + n] & ~np.unpackbits(np.frombuffer(r["known"], np.uint8), count=n).astype(bool)
+                if mine.any():
                     out.append((r["run"], _pack_places(_unpack_places(r["places"])[mine]), None))
                 at += n
             if out:
@@ -188,15 +184,15 @@ def matched(rows: DataFrame) -> DataFrame:
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["run", "places", "docs"])
 
-    n = (1 << bucket_bits(rows.sparkSession)) // 4
-    return rows.repartition(n, "bucket").mapInArrow(run, _MATCHED)
+    n = max(partitions(rows.sparkSession), n_bytes // TASK_BYTES)
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MATCHED)
 
 
 def intervals(hits: DataFrame, before: int, after: int) -> DataFrame:
     """(key, spans) of each text with repeated places: lists of merged intervals [place - before, place + after).
 
-    Intervals start at 0 or later.  Equal texts give equal lists, which are kept once; a very long text may
-    have several, one for each run that held a part of it.  :func:`spans_of` puts them together.
+    Intervals start at 0 or later.  A very long text may have several lists, one for each run that held a part
+    of it.  :func:`spans_of` puts them together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import hashing as hs
 from . import repeats
 from .base import stored
+from .windows import keyed
 
 _SLICE = 1 << 20
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -129,51 +130,56 @@ def remove_repeats(docs: DataFrame, width: int = 400, texts: bool = True) -> Dat
     split a character).  Texts are UTF-8 bytes; matches never cross texts; everything is judged on the input.
     Null and empty texts have no bytes.  Rows that repeat an id or have a null one are rows of their own;
     equal texts of ``width`` bytes or more vanish all together.  Other columns are not read; an empty table
-    gives an empty result.  Different strings are taken for equal with a chance of 2**-64 for each pair.
+    gives an empty result.  A long text is hashed in slices; it is read, packed and cut whole, by a task that holds it.  Different strings are taken for equal with a chance of 2**-64 for each pair.
     """
     v, _ = difference_cover(width)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    rows = keyed(docs).withColumn("digest", F.unhex(F.md5("text")))
+    row_key = F.unhex(F.md5(F.concat(F.hex("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    rows = rows.withColumn("key", row_key)
+    # of equal texts, the row (or rows) with the smallest id stands for all
+    texts_ = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("text")).alias("bytes"))
+    texts_ = stored(texts_.select(row_key.alias("first_key"), "copies", "bytes"), "texts")
+    n_bytes = texts_.agg(F.sum("bytes")).first()[0] or 0
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for piece in hs.pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([z.compress(x.as_buffer()) for x in piece.column(2)], pa.binary())], ["doc_id", "key", "z"])
 
-    tuples = repeats.matched(repeats.packed(rows.select("key", "text"), "text", _tuple_entries(width), 1 << 20))
+    tuples = repeats.matched(repeats.packed(rows.select("key", "text"), "text", _tuple_entries(width), n_bytes, 1 << 20), n_bytes)
     near = repeats.intervals(tuples, v - 1, 1).withColumnRenamed("key", "near_key")
-    copies = rows.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnRenamed("key", "copy_key")
-    small = rows.mapInArrow(squeeze, "doc_id long, key binary, z binary")
-    small = small.join(near, small.key == near.near_key, "left").join(copies, small.key == copies.copy_key, "left")
+    small = rows.select("doc_id", "key", "text").mapInArrow(squeeze, "doc_id long, key binary, z binary")
+    small = small.join(near, small.key == near.near_key, "left").join(texts_, small.key == texts_.first_key, "left")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts without candidates are done; of the others one copy in a task keeps its bytes."""
-        z, last = zstandard.ZstdDecompressor(), None
+        """Done are texts without candidates and all copies but the first; first copies and texts with candidates keep their bytes."""
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for doc_id, key, packed, spans, n in zip(*(batch.column(k) for k in range(5)), strict=True):
-                key, spans = key.as_py(), spans.as_py()
-                plain = b"" if spans is not None and key == last else z.decompress(packed.as_py())
-                row = [doc_id.as_py(), key, None, None, None, None, None, n.as_py()]
-                if spans is None:
-                    row[2:5] = len(plain), hashlib.sha256(plain).hexdigest(), packed.as_py() if texts else None
-                elif key != last:
-                    row[5:7] = packed.as_py(), spans
-                    last = key
+                spans, n, plain = spans.as_py(), n.as_py(), z.decompress(packed.as_py())
+                row = [doc_id.as_py(), key.as_py(), len(plain), None, None, None, None, None, n]
+                if n is None and len(plain) >= width:  # a copy: all its windows start elsewhere
+                    row[3:6] = len(plain), _sha([]), z_empty if texts else None
+                elif n is None or spans is None:
+                    row[3:6] = 0, hashlib.sha256(plain).hexdigest(), packed.as_py() if texts else None
+                else:
+                    row[6:8] = packed.as_py(), spans
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "key", "n_bytes", "sha", "whole", "z", "near", "copies"])
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "key", "n_bytes", "gone", "sha", "whole", "z", "near", "copies"])
 
-    settled = small.select("doc_id", "key", "z", "spans", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(settle, "doc_id long, key binary, n_bytes long, sha string, whole binary, z binary, near array<binary>, copies long")
+    z_empty = zstandard.ZstdCompressor(level=3).compress(b"")
+    settled = small.select("doc_id", "key", "z", "spans", "copies").mapInArrow(settle, "doc_id long, key binary, n_bytes long, gone long, sha string, whole binary, z binary, near array<binary>, copies long")
     settled = stored(settled, "settled")
     open_ = settled.where("z IS NOT NULL").select("key", "z", "near", "copies")
-    spans = repeats.intervals(repeats.matched(repeats.packed(open_, "z", _candidate_entries(width), 1 << 20)), 0, width).withColumnRenamed("key", "span_key")
+    spans = repeats.intervals(repeats.matched(repeats.packed(open_, "z", _candidate_entries(width), n_bytes, 1 << 20), n_bytes), 0, width).withColumnRenamed("key", "span_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for key, packed, found in zip(*(batch.column(k) for k in range(3)), strict=True):
                 raw, parts, at = z.decompress(packed.as_py()), [], 0
                 found = repeats.spans_of(found.as_py())
@@ -181,16 +187,17 @@ def remove_repeats(docs: DataFrame, width: int = 400, texts: bool = True) -> Dat
                     parts.append(raw[at:lo])
                     at = hi
                 parts.append(raw[at:])
-                for column, x in zip(out, (key.as_py(), len(raw), int((found[:, 1] - found[:, 0]).sum()), len(found), _sha(parts), b"".join(parts) if texts else None), strict=True):
+                for column, x in zip(out, (key.as_py(), int((found[:, 1] - found[:, 0]).sum()), len(found), _sha(parts), b"".join(parts) if texts else None), strict=True):
                     column.append(x)
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["of", "bytes", "removed", "spans", "kept_sha", "kept"])
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["of", "removed", "spans", "kept_sha", "kept"])
 
     one = open_.select("key", "z").dropDuplicates(["key"])
-    done = one.join(spans, one.key == spans.span_key, "left").select("key", "z", "spans").mapInArrow(cut, "of binary, bytes long, removed long, spans long, kept_sha string, kept binary")
+    done = one.join(spans, one.key == spans.span_key, "left").select("key", "z", "spans").mapInArrow(cut, "of binary, removed long, spans long, kept_sha string, kept binary")
     out = settled.drop("z", "near", "copies").join(done, settled.key == done.of, "left")
-    zero = F.lit(0).cast("long")
-    out = out.select("doc_id", F.coalesce("n_bytes", "bytes").alias("n_bytes"), F.coalesce("removed", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("sha", "kept_sha").alias("kept_sha256"), "whole", "kept")
+    removed = F.coalesce("gone", "removed", F.lit(0).cast("long"))
+    n_spans = F.coalesce("spans", F.when(removed > 0, 1).otherwise(0).cast("long"))
+    out = out.select("doc_id", "n_bytes", removed.alias("n_removed"), n_spans.alias("n_spans"), F.coalesce("sha", "kept_sha").alias("kept_sha256"), "whole", "kept")
     if not texts:
         return out.drop("whole", "kept")
 

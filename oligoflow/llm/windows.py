@@ -21,13 +21,15 @@ _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, text) of ``docs``: the text's 16-byte MD5, null texts as empty ones."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    """(doc_id, key, text) of ``docs``, null texts as empty ones.  The 16-byte key is a digest of id and text, so that copies of a
+    text have keys of their own and no join by key has a hot one; rows that are equal in both share a key and a result.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), text))).alias("key"), text.alias("text"))
 
 
-def repeated_words(docs: DataFrame, width: int) -> DataFrame:
-    """(key, spans): maximal intervals of words covered by windows of ``width`` words that start anywhere else too."""
+def repeated_words(rows: DataFrame, width: int) -> DataFrame:
+    """(key, spans) of :func:`keyed` rows: maximal intervals of words covered by windows of ``width`` words that start anywhere else too."""
 
     def entries(piece: pa.RecordBatch) -> Iterator[tuple]:
         raw, offsets = hs.utf8(piece.column(1))
@@ -35,7 +37,8 @@ def repeated_words(docs: DataFrame, width: int) -> DataFrame:
         at, h = hs.windows(hs.word_hashes(raw, start, end), rows, width)
         yield piece.column(0).to_pylist(), rows[:-1], int(rows[-1]), at, h, None, len(raw)
 
-    return repeats.intervals(repeats.matched(repeats.packed(keyed(docs), "text", entries)), 0, width)
+    n_bytes = repeats.text_bytes(rows)
+    return repeats.intervals(repeats.matched(repeats.packed(rows.select("key", "text"), "text", entries, n_bytes), n_bytes), 0, width)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, texts: bool = True) -> DataFrame:
@@ -45,8 +48,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, texts: bool = True) -> Data
     one space.  Words are runs without white space, taken as they are.  All rows are judged on the input.
     Null, empty, blank texts and texts of fewer than ``width`` words keep all they have.  Rows that repeat an
     id or have a null one are rows of their own; equal texts of ``width`` words or more vanish all together.
-    Other columns are not read; an empty table gives an empty result.
-    Two different windows are taken for equal with a chance of 2**-64 for each pair.
+    Other columns are not read; an empty table gives an empty result.  A text of any length is hashed and cut whole, by a
+    task that holds it.  Two different windows are taken for equal with a chance of 2**-64 for each pair.
     """
     names = [x.split()[0] for x in _DIGEST.split(", ")] + ["kept_text"] * texts
 
@@ -54,7 +57,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, texts: bool = True) -> Data
         for piece in hs.pieces(batches, "text"):
             out: list[list] = [[] for _ in names]
             for doc_id, text, spans in zip(piece.column(0), piece.column(1), piece.column(2), strict=True):
-                words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()  # the six ASCII separators
+                words = text.as_buffer().to_pybytes().split()  # the six ASCII separators
                 kept, at = [], 0
                 for lo, hi in repeats.spans_of(spans.as_py()).tolist():
                     kept += words[at:lo]
@@ -67,6 +70,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, texts: bool = True) -> Data
             columns = [pa.array(x, t) for x, t in zip(out, types, strict=False)]
             yield pa.RecordBatch.from_arrays([*columns[:4], *(x.cast(pa.string()) for x in columns[4:])], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"))
-    joined = rows.join(repeated_words(docs, width), "key", "left").select("doc_id", "text", "spans")
+    rows = keyed(docs)
+    joined = rows.join(repeated_words(rows, width), "key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, _DIGEST + ", kept_text string" * texts)
