@@ -34,6 +34,19 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI
 n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+#: Bytes are pairs of hexadecimal digits here.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, at, substring(h, 2 * at + 1, 2798) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399, 1000)) AS at FROM d)),
+win AS (SELECT doc_id, at + i AS i, md5(substring(h, 2 * i + 1, 800)) AS key FROM (SELECT doc_id, at, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM part)),
+twice AS (SELECT key FROM win GROUP BY key HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS new FROM win JOIN twice USING (key)),
+run AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS lo, max(i) + 400 AS hi FROM run GROUP BY ALL),
+cut AS (SELECT doc_id, h, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM span JOIN d USING (doc_id)),
+left_ AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed, concat(string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo), substring(any_value(h), 2 * max(hi) + 1)) AS kept FROM cut GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN left_ USING (doc_id)"""
+
 DECONTAMINATE = f"""
 WITH d AS (SELECT doc_id, unnest({_shingles('ws', 5)}) AS shingle FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents)),
 i AS (SELECT item_id, unnest({_shingles('ws', 5)}) AS shingle FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM benchmark)),

@@ -64,6 +64,6 @@ QUERIES = {f.__name__: f for f in (
     op6_decontaminate, op7_secret_scan, op8_quality_rules, op9_mix_sources, op10_warc,
 )}
 ORACLES = {
-    "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_decontaminate": oracles.DECONTAMINATE,
+    "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_decontaminate": oracles.DECONTAMINATE,
     "op8_quality_rules": oracles.QUALITY, "op9_mix_sources": oracles.MIX_SOURCES, "op10_warc": oracles.WARC,
 }
