@@ -20,14 +20,14 @@ from . import hashing as hs
 from .base import partitions
 
 #: Text (or other input) that one run covers, in bytes; text behind one bucket; text behind one task.
-RUN_BYTES, BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20, 64 << 20
+RUN_BYTES, BUCKET_BYTES, TASK_BYTES = 8 << 20, 4 << 20, 256 << 20
 _PACKED = "bucket int, run long, keys binary, places binary, known binary, docs binary"
 _MATCHED = "run long, places binary, docs binary"
 
 
 def bucket_bits(n_bytes: int) -> int:
-    """Buckets for so much text as a power of two: one for each BUCKET_BYTES, 256 at least (8 bits are not stored)."""
-    return max(8, (max(n_bytes, 1) // BUCKET_BYTES).bit_length())
+    """Buckets for so much text as a power of two: one for each BUCKET_BYTES (8 bits are not stored), and enough to spread evenly over tasks."""
+    return max(10, (max(n_bytes, 1) // BUCKET_BYTES).bit_length())
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
