@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as hs
+from . import sieve
 from .base import partitions, stored
 from .graph import components
 
@@ -269,6 +270,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     nodes = bands.groupBy("id").agg(F.sum("n").alias("score")).join(classes.drop("bands"), "id")
     nodes = stored(nodes.withColumn("component", F.col("id")), "nodes")
     # by sorting at every size: the members grow with the documents
+    rows = sieve.sieved(rows, F.col("doc_id"), sieve.sieve(nodes.select("rep")))
     named = rows.alias("r").join(nodes.select("rep").distinct().hint("merge").alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("doc_id", "text")
     texts = with_ids(named, n).join(nodes.select("id"), "id", "left_semi").select("id", "text")
     texts = stored(texts.dropDuplicates(["id"]), "texts")

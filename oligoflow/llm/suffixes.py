@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as hs
-from . import repeats
+from . import repeats, sieve
 from .base import stored
 from .windows import keyed
 
@@ -141,14 +141,21 @@ def remove_repeats(docs: DataFrame, width: int = 400, texts: bool = True) -> Dat
     texts_ = stored(texts_.select(row_key.alias("first_key"), "copies", "bytes"), "texts")
     n_bytes = texts_.agg(F.sum("bytes")).first()[0] or 0
 
+    tuples = repeats.matched(repeats.packed(rows.select("key", "text"), "text", _tuple_entries(width), n_bytes, 1 << 20), n_bytes)
+    near = stored(repeats.intervals(tuples, v - 1, 1).withColumnRenamed("key", "near_key"), "near")
+    known = sieve.sieve(near.select("near_key"))
+
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Done are texts that are surely without candidates; of the others the bytes go on."""
         z = zstandard.ZstdCompressor(level=3)
         for piece in hs.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([z.compress(x.as_buffer()) for x in piece.column(2)], pa.binary())], ["doc_id", "key", "z"])
+            maybe = sieve.passes(known.value, piece.column(3), piece.column(4))
+            plain = [x.as_buffer() for x in piece.column(2)]
+            packed = [z.compress(x) if texts or m else None for x, m in zip(plain, maybe, strict=True)]
+            sha = [None if m else hashlib.sha256(x).hexdigest() for x, m in zip(plain, maybe, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([x.size for x in plain], pa.int64()), pa.array(sha, pa.string()), pa.array(packed, pa.binary())], ["doc_id", "key", "n_bytes", "sha", "z"])
 
-    tuples = repeats.matched(repeats.packed(rows.select("key", "text"), "text", _tuple_entries(width), n_bytes, 1 << 20), n_bytes)
-    near = repeats.intervals(tuples, v - 1, 1).withColumnRenamed("key", "near_key")
-    small = rows.select("doc_id", "key", "text").mapInArrow(squeeze, "doc_id long, key binary, z binary")
+    small = rows.select("doc_id", "key", "text", *sieve.places(F.col("key"))).mapInArrow(squeeze, "doc_id long, key binary, n_bytes long, sha string, z binary")
     small = small.join(near, small.key == near.near_key, "left").join(texts_, small.key == texts_.first_key, "left")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,22 +163,21 @@ def remove_repeats(docs: DataFrame, width: int = 400, texts: bool = True) -> Dat
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
-            for doc_id, key, packed, spans, n in zip(*(batch.column(k) for k in range(5)), strict=True):
-                spans, n, plain = spans.as_py(), n.as_py(), z.decompress(packed.as_py())
-                row = [doc_id.as_py(), key.as_py(), len(plain), None, None, None, None, None, n]
-                if n is None and len(plain) >= width:  # a copy: all its windows start elsewhere
-                    row[3:6] = len(plain), _sha([]), z_empty if texts else None
+            for doc_id, key, size, sha, packed, spans, n in zip(*([x.as_py() for x in batch.column(k)] for k in range(7)), strict=True):
+                row = [doc_id, key, size, None, None, None, None, None, n]
+                if n is None and size >= width:  # a copy: all its windows start elsewhere
+                    row[3:6] = size, _sha([]), z_empty if texts else None
                 elif n is None or spans is None:
-                    row[3:6] = 0, hashlib.sha256(plain).hexdigest(), packed.as_py() if texts else None
+                    row[3:6] = 0, sha or hashlib.sha256(z.decompress(packed)).hexdigest(), packed if texts else None
                 else:
-                    row[6:8] = packed.as_py(), spans
+                    row[6:8] = packed, spans
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "key", "n_bytes", "gone", "sha", "whole", "z", "near", "copies"])
 
     z_empty = zstandard.ZstdCompressor(level=3).compress(b"")
-    settled = small.select("doc_id", "key", "z", "spans", "copies").mapInArrow(settle, "doc_id long, key binary, n_bytes long, gone long, sha string, whole binary, z binary, near array<binary>, copies long")
+    settled = small.select("doc_id", "key", "n_bytes", "sha", "z", "spans", "copies").mapInArrow(settle, "doc_id long, key binary, n_bytes long, gone long, sha string, whole binary, z binary, near array<binary>, copies long")
     settled = stored(settled, "settled")
     open_ = settled.where("z IS NOT NULL").select("key", "z", "near", "copies")
     spans = repeats.intervals(repeats.matched(repeats.packed(open_, "z", _candidate_entries(width), n_bytes, 1 << 20), n_bytes), 0, width).withColumnRenamed("key", "span_key")

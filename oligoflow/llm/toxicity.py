@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import hashing as hs
+from . import sieve
 from .base import stored
 
 #: Words and stems, together, whose differences are broadcast (12 bytes each) and not joined.
@@ -241,8 +242,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").withColumn("fold", remainder).where("fold <> 0").groupBy("doc_id", "fold").agg(F.max("toxic").cast("long").alias("toxic"))
+    known = stored(known, "labels")
     # by sorting at every size: labels grow with the documents
-    labelled = docs.select("doc_id", "text").where("text IS NOT NULL").join(known.hint("merge"), "doc_id")
+    texts = sieve.sieved(docs.select("doc_id", "text").where("text IS NOT NULL"), F.col("doc_id").cast("long"), sieve.sieve(known.select(F.col("doc_id").cast("long"))))
+    labelled = texts.join(known.hint("merge"), "doc_id")
     labelled = stored(labelled, "labelled")
     hashed = F.crc32(F.col("doc_id").cast("string"))
     first = labelled.where("fold = 4").select(hashed.alias("hash"), "doc_id").orderBy("hash", "doc_id").limit(CALIBRATION_ROWS)
