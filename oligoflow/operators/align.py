@@ -131,20 +131,19 @@ def column_mutual_info(df: DataFrame) -> DataFrame:
     return mi.union(mi.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "mi"))
 
 
-def position_enrichment(df: DataFrame, cluster: int, seq_type: str = "dna", max_sequences: int = 500) -> DataFrame:
+def position_enrichment(df: DataFrame, cluster: int, seq_type: str = "dna", max_sequences: int | None = None) -> DataFrame:
     """(Residue, Position, AvEnrich): mean Enrichment of the sequences with a residue at a position, to 3 decimals, null if none has it.
 
-    Takes one cluster's sequences over the alphabet with a finite Enrichment; those of several lengths are
-    cut to the ``max_sequences`` of largest Enrichment and aligned first.
+    Takes one cluster's sequences over the alphabet with a finite Enrichment, with ``max_sequences`` only so many of largest
+    Enrichment; if they have several lengths they are aligned first.
     """
     seq = sq.u_to_t(F.col("sequences")) if seq_type == "dna" else F.col("sequences")
     x = df.withColumn("sequences", seq).where((F.col("Cluster") == cluster) & sq.only_alphabet(F.col("sequences"), seq_type) & F.col("Enrichment").isNotNull())
-    x = stored(x, "positions")
+    x = stored(x if max_sequences is None else top_enriched(x, max_sequences), "positions")
     lengths = x.agg(F.min(F.length("sequences")).alias("lo"), F.max(F.length("sequences")).alias("hi")).first()
     if lengths["lo"] is None:
         raise ValueError(f"no valid sequences in cluster {cluster}")
     if lengths["lo"] != lengths["hi"]:
-        x = stored(top_enriched(x, max_sequences), "top")
         first = x.agg(F.min_by("sequences", F.struct((-F.col("Enrichment")).alias("e"), "sequences")).alias("s")).first()["s"]
         ranked = x.withColumn("RankInCluster", F.when(F.col("sequences") == first, 1).otherwise(2)).dropDuplicates(["sequences"])
         x = cluster_align(ranked.withColumn("Rank", F.lit(1)))

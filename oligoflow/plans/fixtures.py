@@ -38,13 +38,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(READS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def population(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
-    """Counts table of population 0 or 1."""
-    return counts.count(reads(spark, sf_dir).where(F.col("population") == number).select("sequences"))
+def population(spark: SparkSession, sf_dir: str, number: int | None = None) -> DataFrame:
+    """Counts table of population 0 or 1, or of all reads."""
+    mine = F.lit(True) if number is None else F.col("population") == number
+    return counts.count(reads(spark, sf_dir).where(mine).select("sequences"))
 
 
-def clustered(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
-    """The population in 16 clusters by the third and fifth base (a quick stand-in for clustering), ranked, with distances to the seeds."""
+def clustered(spark: SparkSession, sf_dir: str, number: int | None = None) -> DataFrame:
+    """The population (or all reads) in 16 clusters by the third and fifth base (a quick stand-in for clustering), ranked, with distances to the seeds."""
     base = lambda k: F.expr(f"instr('ACGT', substring(sequences, {k}, 1))")
     ranked = cluster.rank_in_cluster(population(spark, sf_dir, number).withColumn("Cluster", (4 * (base(3) - 1) + base(5)).cast("int")))
     seeds = ranked.where("RankInCluster = 1").select(F.col("Cluster").alias("_c"), F.col("sequences").alias("_s"))
@@ -52,10 +53,10 @@ def clustered(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
 
 
 def prelude(recursive: bool = False) -> str:
-    """The same tables as DuckDB CTEs: reads, count0/count1 (populations), cluster0/cluster1."""
+    """The same tables as DuckDB CTEs: reads, count0/count1/counta (populations, all reads), cluster0/cluster1/clustera."""
     out = [f"WITH {'RECURSIVE ' if recursive else ''}reads AS ({READS.format(lineitem='lineitem')})"]
-    for p in (0, 1):
-        out.append(f"u{p} AS (SELECT sequences, count(*) AS Reads FROM reads WHERE population = {p} GROUP BY sequences)")
+    for p in (0, 1, "a"):
+        out.append(f"u{p} AS (SELECT sequences, count(*) AS Reads FROM reads WHERE {'true' if p == 'a' else f'population = {p}'} GROUP BY sequences)")
         out.append(finished_sql(f"u{p}", f"count{p}"))
         out.append(
             f"r{p} AS (SELECT *, CAST(row_number() OVER (PARTITION BY Cluster ORDER BY RPU DESC, Rank, sequences) AS INT) AS RankInCluster FROM ("

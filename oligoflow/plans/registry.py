@@ -56,20 +56,20 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources and sinks
 
 
-@query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, length, sequences FROM count0")
+@query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, length, sequences FROM counta")
 def read_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counts table written as FASTA and read back."""
     path = new_path(spark, "fasta")
-    files.write_fasta(fx.population(spark, sf_dir, 0), path)
+    files.write_fasta(fx.population(spark, sf_dir), path)
     return files.read_fasta(spark, path).select("ID", "Rank", "Reads", "RPU", "length", "sequences")
 
 
 @query("SELECT concat(l_orderkey, '-', l_linenumber) AS id, sequences, quality FROM reads")
 def read_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All reads written as FASTQ and read back in byte ranges."""
+    """All reads written as FASTQ and read back."""
     path = new_path(spark, "fastq")
     files.write_fastq(fx.reads(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "sequences", "quality"), path)
-    return files.read_fastq(spark, path, split_bytes=1 << 20)
+    return files.read_fastq(spark, path)
 
 
 @query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, length, sequences FROM count1")
@@ -81,11 +81,11 @@ def read_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_fasta(spark, path).select("ID", "Rank", "Reads", "RPU", "length", "sequences")
 
 
-@query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, Cluster, RankInCluster, LED, CAST(length(sequences) AS INT) AS length, sequences FROM cluster0")
+@query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, Cluster, RankInCluster, LED, CAST(length(sequences) AS INT) AS length, sequences FROM clustera")
 def read_counts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clustered table written as CSV and read back."""
     path = new_path(spark, "csv")
-    files.write_csv(fx.clustered(spark, sf_dir, 0), path)
+    files.write_csv(fx.clustered(spark, sf_dir), path)
     return files.read_counts_csv(spark, path)
 
 
@@ -123,9 +123,9 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT sequences AS original, CASE WHEN hit IS NULL THEN sequences ELSE concat(substring(sequences, 1, hit // 1000000 - 1), substring(sequences, hit // 1000000 + hit % 1000)) END AS sequences
 FROM (SELECT sequences, [x FOR x IN [s * 1000000 + (list_min([levenshtein(substring(sequences, s, k), 'ACGTTGCA') * 1000000 + abs(k - 8) * 1000 + k FOR k IN range(7, 10)]) % 1000)
-  + CASE WHEN list_min([levenshtein(substring(sequences, s, k), 'ACGTTGCA') FOR k IN range(7, 10)]) <= 1 THEN 0 ELSE -1000000000 END FOR s IN range(1, length(sequences) + 1)] IF x > 0][1] AS hit FROM u0)""")
+  + CASE WHEN list_min([levenshtein(substring(sequences, s, k), 'ACGTTGCA') FOR k IN range(7, 10)]) <= 1 THEN 0 ELSE -1000000000 END FOR s IN range(1, length(sequences) + 1)] IF x > 0][1] AS hit FROM ua)""")
 def excise_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = counts.count_unique(fx.reads(spark, sf_dir).where("population = 0")).select(F.col("sequences").alias("original"), "sequences")
+    unique = counts.count_unique(fx.reads(spark, sf_dir)).select(F.col("sequences").alias("original"), "sequences")
     return preprocess.excise_region(unique, "ACGTTGCA")
 
 
@@ -140,16 +140,16 @@ def preprocess_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess(_raw(spark, sf_dir), fx.CONST_5P, fx.CONST_3P)
 
 
-@query("SELECT sequences, reverse(translate(sequences, 'ACGT', 'TGCA')) AS complement, length(sequences) AS length FROM u0")
+@query("SELECT sequences, reverse(translate(sequences, 'ACGT', 'TGCA')) AS complement, length(sequences) AS length FROM ua")
 def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = counts.count_unique(fx.reads(spark, sf_dir).where("population = 0"))
+    unique = counts.count_unique(fx.reads(spark, sf_dir))
     return unique.select("sequences", sq.reverse_complement(F.col("sequences")).alias("complement"), F.length("sequences").cast("long").alias("length"))
 
 
-@query("SELECT concat('Rank=', Rank, ';Reads=', Reads, ';RPU=', RPU) AS ID, replace(sequences, 'T', 'U') AS rna, sequences AS dna FROM count0")
+@query("SELECT concat('Rank=', Rank, ';Reads=', Reads, ';RPU=', RPU) AS ID, replace(sequences, 'T', 'U') AS rna, sequences AS dna FROM counta")
 def compose_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed identifiers, and U to T on RNA letters."""
-    df = fx.population(spark, sf_dir, 0).withColumn("rna", F.translate("sequences", "T", "U"))
+    df = fx.population(spark, sf_dir).withColumn("rna", F.translate("sequences", "T", "U"))
     return df.select(sq.compose_id("Rank", "Reads", "RPU").alias("ID"), "rna", sq.u_to_t(F.col("rna")).alias("dna"))
 
 
@@ -159,10 +159,10 @@ def alphabet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where(sq.only_alphabet(F.col("aligned"), "dna")).groupBy("aligned").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT sequences, CAST(levenshtein(sequences, aligned) AS INT) AS led, CAST(CASE WHEN levenshtein(sequences, ragged) <= 0 THEN levenshtein(sequences, ragged) ELSE -1 END AS INT) AS bounded FROM reads")
+@query("SELECT sequences, CAST(levenshtein(sequences, aligned) AS INT) AS led, CAST(CASE WHEN levenshtein(aligned, ragged) <= 2 THEN levenshtein(aligned, ragged) ELSE -1 END AS INT) AS bounded FROM reads")
 def levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.reads(spark, sf_dir)
-    return df.select("sequences", sq.edit_distance(F.col("sequences"), F.col("aligned")).alias("led"), sq.edit_distance(F.col("sequences"), F.col("ragged"), 0).alias("bounded"))
+    return df.select("sequences", sq.edit_distance(F.col("sequences"), F.col("aligned")).alias("led"), sq.edit_distance(F.col("aligned"), F.col("ragged"), 2).alias("bounded"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS value FROM lineitem", plain=True)
@@ -180,24 +180,24 @@ def count_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_unique(fx.reads(spark, sf_dir))
 
 
-@query("SELECT sequences, Reads, row_number() OVER (ORDER BY Reads DESC, sequences) AS Rank FROM u0")
+@query("SELECT sequences, Reads, row_number() OVER (ORDER BY Reads DESC, sequences) AS Rank FROM ua")
 def count_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_rank(counts.count_unique(fx.reads(spark, sf_dir).where("population = 0")))
+    return counts.count_rank(counts.count_unique(fx.reads(spark, sf_dir)))
 
 
-@query("SELECT sequences, Reads, CAST(round_even(Reads / ((SELECT CAST(sum(Reads) AS DOUBLE) FROM u0) / 1e6), 0) AS BIGINT) AS RPU FROM u0")
+@query("SELECT sequences, Reads, CAST(round_even(Reads / ((SELECT CAST(sum(Reads) AS DOUBLE) FROM ua) / 1e6), 0) AS BIGINT) AS RPU FROM ua")
 def count_rpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_rpu(counts.count_unique(fx.reads(spark, sf_dir).where("population = 0")))
+    return counts.count_rpu(counts.count_unique(fx.reads(spark, sf_dir)))
 
 
-@query(", ua AS (SELECT sequences, count(*) AS Reads FROM reads GROUP BY sequences), " + fx.finished_sql("ua", "counta") + " SELECT * FROM counta")
+@query("SELECT * FROM counta")
 def count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count(fx.reads(spark, sf_dir).select("sequences"))
 
 
-@query("SELECT count(*) AS unique_sequences, CAST(sum(Reads) AS BIGINT) AS total_reads FROM u0")
+@query("SELECT count(*) AS unique_sequences, CAST(sum(Reads) AS BIGINT) AS total_reads FROM ua")
 def population_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.population_totals(fx.population(spark, sf_dir, 0))
+    return counts.population_totals(fx.population(spark, sf_dir))
 
 
 @query(", um AS (SELECT sequences, CAST(sum(Reads) AS BIGINT) AS Reads FROM (SELECT * FROM u0 UNION ALL SELECT * FROM u1) GROUP BY sequences), " + fx.finished_sql("um", "merged") + " SELECT * FROM merged")
@@ -205,9 +205,9 @@ def recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.recount(fx.population(spark, sf_dir, 0), fx.population(spark, sf_dir, 1))
 
 
-@query("SELECT Rank, Reads FROM count0 WHERE Reads >= 10 AND Rank <= 1000")
+@query("SELECT Rank, Reads FROM counta WHERE Reads >= 10 AND Rank <= 1000")
 def reads_per_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.reads_per_rank(fx.population(spark, sf_dir, 0))
+    return counts.reads_per_rank(fx.population(spark, sf_dir))
 
 
 @query(", l AS (SELECT ragged AS sequences, count(*) AS Reads FROM reads GROUP BY ragged) SELECT CAST(length(sequences) AS INT) AS length, count(*) AS unique_count, CAST(sum(Reads) AS BIGINT) AS total_reads FROM l GROUP BY 1")
@@ -215,52 +215,52 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.length_histogram(counts.count_unique(fx.reads(spark, sf_dir).select(F.col("ragged").alias("sequences"))))
 
 
-@query("""SELECT bin, sum(Reads)::DOUBLE / (SELECT sum(Reads) FROM u0)::DOUBLE AS fraction, count(*) AS unique_count FROM (
-SELECT Reads, CASE WHEN Reads = 1 THEN 'Singleton' WHEN Reads < 10 THEN '1 < Reads < 10' WHEN Reads < 100 THEN '10 ≤ Reads < 100' WHEN Reads < 1000 THEN '100 ≤ Reads < 1000' ELSE '1000 ≤ Reads' END AS bin FROM u0) GROUP BY bin""")
+@query("""SELECT bin, sum(Reads)::DOUBLE / (SELECT sum(Reads) FROM ua)::DOUBLE AS fraction, count(*) AS unique_count FROM (
+SELECT Reads, CASE WHEN Reads = 1 THEN 'Singleton' WHEN Reads < 10 THEN '1 < Reads < 10' WHEN Reads < 100 THEN '10 ≤ Reads < 100' WHEN Reads < 1000 THEN '100 ≤ Reads < 1000' ELSE '1000 ≤ Reads' END AS bin FROM ua) GROUP BY bin""")
 def abundance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.abundance_bins(fx.population(spark, sf_dir, 0))
+    return counts.abundance_bins(fx.population(spark, sf_dir))
 
 
 # browsing
 
 
-@query("SELECT * FROM count0 WHERE concat_ws(' ', lower(ID), Rank, Reads, RPU, length) LIKE '%acgt%' OR lower(sequences) LIKE '%acgt%'")
+@query("SELECT * FROM counta WHERE concat_ws(' ', lower(ID), Rank, Reads, RPU, length) LIKE '%acgt%' OR lower(sequences) LIKE '%acgt%'")
 def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.search_any(fx.population(spark, sf_dir, 0), "acgt")
+    return browse.search_any(fx.population(spark, sf_dir), "acgt")
 
 
-@query("SELECT * FROM count0 WHERE lower(sequences) LIKE '%gat%' AND Reads = 3")
+@query("SELECT * FROM counta WHERE lower(sequences) LIKE '%gat%' AND Reads = 3")
 def search_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.search_columns(fx.population(spark, sf_dir, 0), {"sequences": "GAT"}, {"Reads": 3})
+    return browse.search_columns(fx.population(spark, sf_dir), {"sequences": "GAT"}, {"Reads": 3})
 
 
-@query("SELECT *, (SELECT CAST(ceil(count(*) / 25) AS BIGINT) FROM count0) AS total_pages FROM count0 WHERE Rank BETWEEN 51 AND 75")
+@query("SELECT *, (SELECT CAST(ceil(count(*) / 25) AS BIGINT) FROM counta) AS total_pages FROM counta WHERE Rank BETWEEN 51 AND 75")
 def page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.page(fx.population(spark, sf_dir, 0), ["Rank"], number=3, size=25)
+    return browse.page(fx.population(spark, sf_dir), ["Rank"], number=3, size=25)
 
 
-@query("SELECT DISTINCT Cluster FROM cluster0")
+@query("SELECT DISTINCT Cluster FROM clustera")
 def cluster_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.cluster_list(fx.clustered(spark, sf_dir, 0))
+    return browse.cluster_list(fx.clustered(spark, sf_dir))
 
 
-@query("SELECT * FROM cluster0 WHERE Cluster IN (2, 7)")
+@query("SELECT * FROM clustera WHERE Cluster IN (2, 7)")
 def cluster_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.cluster_filter(fx.clustered(spark, sf_dir, 0), [2, 7])
+    return browse.cluster_filter(fx.clustered(spark, sf_dir), [2, 7])
 
 
 # clustering and diversity
 
 
-@query("SELECT ID, Rank, Reads, RPU, length, sequences, row_number() OVER (ORDER BY RPU DESC, Rank, sequences) AS place FROM count0 WHERE Reads >= 3")
+@query("SELECT ID, Rank, Reads, RPU, length, sequences, row_number() OVER (ORDER BY RPU DESC, Rank, sequences) AS place FROM counta WHERE Reads >= 3")
 def cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_input(fx.population(spark, sf_dir, 0), 3).withColumnRenamed("_pos", "place")
+    return cluster.cluster_input(fx.population(spark, sf_dir), 3).withColumnRenamed("_pos", "place")
 
 
-def greedy_sql(total: int, keep_nc: bool) -> str:
+def greedy_sql(total: int, keep_nc: bool, table: str = "counta") -> str:
     """Greedy clustering as a recursive CTE: seeds one after the other, then the first seed in reach of each sequence."""
     rest = "UNION ALL SELECT Rank, Reads, RPU, 0 AS Cluster, CAST(levenshtein(sequences, (SELECT min_by(sequences, pos) FROM found WHERE k IS NULL)) AS INT) AS LED, sequences, pos FROM found WHERE k IS NULL" if keep_nc else ""
-    return f""", input AS (SELECT *, row_number() OVER (ORDER BY RPU DESC, Rank, sequences) AS pos FROM count0 WHERE Reads >= 10),
+    return f""", input AS (SELECT *, row_number() OVER (ORDER BY RPU DESC, Rank, sequences) AS pos FROM {table} WHERE Reads >= 10),
 seeds AS (
   SELECT 1 AS k, pos, [sequences] AS seen FROM input WHERE pos = 1
   UNION ALL
@@ -276,73 +276,79 @@ SELECT concat('Rank=', Rank, ';Reads=', Reads, ';RPU=', RPU, ';Cluster=', Cluste
 
 @query(greedy_sql(20, False), recursive=True)
 def cluster_led(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_led(fx.population(spark, sf_dir, 0), min_reads=10, total_clusters=20, keep_nc=False)
+    return cluster.cluster_led(fx.population(spark, sf_dir), min_reads=10, total_clusters=20, keep_nc=False)
 
 
 @query(greedy_sql(8, True), recursive=True)
 def cluster_keep_nc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_led(fx.population(spark, sf_dir, 0), min_reads=10, total_clusters=8, keep_nc=True)
+    return cluster.cluster_led(fx.population(spark, sf_dir), min_reads=10, total_clusters=8, keep_nc=True)
 
 
-@query("SELECT sequences, Cluster, RankInCluster FROM cluster0")
+@query("SELECT sequences, Cluster, RankInCluster FROM clustera")
 def rank_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.clustered(spark, sf_dir, 0).select("sequences", "Cluster", "RankInCluster")
+    return fx.clustered(spark, sf_dir).select("sequences", "Cluster", "RankInCluster")
 
 
 _SID = "CASE WHEN sum(Reads) <= 1 THEN 0.0 ELSE round_even((1 - sum(Reads::DOUBLE * (Reads - 1)) / (sum(Reads)::DOUBLE * (sum(Reads)::DOUBLE - 1))) * 100, 0) / 100 END"
 _DIVERSITY = f"""SELECT Cluster, count(*) AS TotalSequences, CAST(sum(Reads) AS BIGINT) AS TotalReads, CAST(sum(RPU) AS BIGINT) AS TotalRPU, round_even(avg(LED) * 100, 0) / 100 AS AverageLED, {_SID} AS SID,
-max(CASE WHEN RankInCluster = 1 THEN ID END) AS ID, max(CASE WHEN RankInCluster = 1 THEN sequences END) AS sequences FROM cluster0 GROUP BY Cluster"""
+max(CASE WHEN RankInCluster = 1 THEN ID END) AS ID, max(CASE WHEN RankInCluster = 1 THEN sequences END) AS sequences FROM clustera GROUP BY Cluster"""
 
 
 @query(_DIVERSITY)
 def cluster_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diversity.cluster_diversity(fx.clustered(spark, sf_dir, 0))
+    return diversity.cluster_diversity(fx.clustered(spark, sf_dir))
 
 
-@query(f"SELECT Cluster, {_SID} AS SID FROM cluster1 GROUP BY Cluster")
+@query(f"SELECT Cluster, {_SID} AS SID FROM clustera GROUP BY Cluster")
 def simpson_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.clustered(spark, sf_dir, 1).groupBy("Cluster").agg(diversity.simpson_index(F.col("Reads")).alias("SID"))
+    return fx.clustered(spark, sf_dir).groupBy("Cluster").agg(diversity.simpson_index(F.col("Reads")).alias("SID"))
 
 
-@query("SELECT Cluster, ID, sequences FROM cluster0 WHERE RankInCluster = 1")
+@query("SELECT Cluster, ID, sequences FROM clustera WHERE RankInCluster = 1")
 def cluster_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_seeds(fx.clustered(spark, sf_dir, 0))
+    return cluster.cluster_seeds(fx.clustered(spark, sf_dir))
 
 
 @query(f"SELECT Cluster, TotalSequences, TotalReads, AverageLED FROM ({_DIVERSITY})")
 def cluster_metaplot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diversity.cluster_metaplot(fx.clustered(spark, sf_dir, 0))
+    return diversity.cluster_metaplot(fx.clustered(spark, sf_dir))
 
 
-@query("SELECT sequences, kmer, count(*) AS n FROM (SELECT sequences, unnest([substring(sequences, i, 4) FOR i IN range(1, length(sequences) - 2)]) AS kmer FROM u0) GROUP BY ALL")
+@query("SELECT sequences, kmer, count(*) AS n FROM (SELECT sequences, unnest([substring(sequences, i, 4) FOR i IN range(1, length(sequences) - 2)]) AS kmer FROM ua) GROUP BY ALL")
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer.kmer_counts(counts.count_unique(fx.reads(spark, sf_dir).where("population = 0")), 4)
+    return kmer.kmer_counts(counts.count_unique(fx.reads(spark, sf_dir)), 4)
 
 
-@query("SELECT sequences, 64 AS size, CAST(length(sequences) - 2 AS DOUBLE) AS total FROM u0")
+@query("""SELECT sequences, place, count(*)::DOUBLE AS n FROM (SELECT sequences, CAST(16 * (instr('ATGC', substring(sequences, i, 1)) - 1) + 4 * (instr('ATGC', substring(sequences, i + 1, 1)) - 1) + instr('ATGC', substring(sequences, i + 2, 1)) - 1 AS INT) AS place
+FROM (SELECT sequences, unnest(range(1, length(sequences) - 1)) AS i FROM ua)) GROUP BY ALL""")
 def kmer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and sum of each sparse vector of 3-mers."""
+    """The entries of each sparse vector of 3-mers that are not 0, by their place in it."""
     from pyspark.ml.functions import vector_to_array
 
-    v = kmer.kmer_vectors(counts.count_unique(fx.reads(spark, sf_dir).where("population = 0")), 3).withColumn("a", vector_to_array("features"))
-    return v.select("sequences", F.size("a").alias("size"), F.aggregate("a", F.lit(0.0), lambda x, y: x + y).alias("total"))
+    v = kmer.kmer_vectors(counts.count_unique(fx.reads(spark, sf_dir)), 3)
+    return v.select("sequences", F.posexplode(vector_to_array("features")).alias("place", "n")).where("n <> 0")
 
 
 @query()
 def kmer_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer.kmer_pca(fx.population(spark, sf_dir, 0), 3)
+    return kmer.kmer_pca(fx.population(spark, sf_dir), 3)
 
 
-@query()
+@query(""", words AS (SELECT concat(a, b, c) AS kmer FROM (SELECT unnest(['A', 'T', 'G', 'C']) AS a), (SELECT unnest(['A', 'T', 'G', 'C']) AS b), (SELECT unnest(['A', 'T', 'G', 'C']) AS c)),
+n AS (SELECT sequences, kmer, count(*)::DOUBLE AS n FROM (SELECT sequences, unnest([substring(sequences, i, 3) FOR i IN range(1, length(sequences) - 1)]) AS kmer FROM counta) GROUP BY ALL),
+spread AS (SELECT kmer, sqrt((sum(n * n) - sum(n) * sum(n) / (SELECT count(*) FROM counta)) / ((SELECT count(*) FROM counta) - 1)) AS s FROM n GROUP BY kmer),
+vec AS (SELECT sequences, Rank, list(coalesce(n.n / nullif(s, 0), 0) ORDER BY kmer)::DOUBLE[64] AS v FROM counta CROSS JOIN words LEFT JOIN n USING (sequences, kmer) LEFT JOIN spread USING (kmer) GROUP BY ALL),
+pairs AS (SELECT q.sequences AS query, d.sequences AS neighbor, round_even(array_distance(q.v, d.v) * 1e6, 0) / 1e6 AS distance FROM vec q JOIN vec d ON q.sequences <> d.sequences WHERE q.Rank % 100 = 0)
+SELECT query, neighbor, distance, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbor) AS place FROM pairs) WHERE place <= 15""")
 def kmer_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of every hundredth sequence by rank among all sequences."""
-    df = fx.population(spark, sf_dir, 0)
-    return kmer.kmer_neighbors(df.where("Rank % 100 = 0"), df)
+    """Neighbours of every hundredth sequence by rank among all sequences, exactly."""
+    df = fx.population(spark, sf_dir)
+    return kmer.kmer_neighbors(df.where("Rank % 100 = 0"), df, exact=True)
 
 
-@query("SELECT Cluster, count(*) AS count FROM cluster0 WHERE Cluster IN (1, 2, 3) GROUP BY Cluster")
+@query("SELECT Cluster, count(*) AS count FROM clustera WHERE Cluster IN (1, 2, 3) GROUP BY Cluster")
 def kmer_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer.kmer_cluster_summary(fx.clustered(spark, sf_dir, 0), [1, 2, 3])
+    return kmer.kmer_cluster_summary(fx.clustered(spark, sf_dir), [1, 2, 3])
 
 
 # two populations
@@ -443,17 +449,19 @@ def recluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.reads(spark, sf_dir).where("population = 0").select(F.col("aligned").alias("sequences"))
+    return fx.reads(spark, sf_dir).select(F.col("aligned").alias("sequences"))
 
 
-_LONG = "(SELECT seq, p AS Position, substring(seq, p, 1) AS Residue FROM (SELECT aligned AS seq, unnest(range(1, length(aligned) + 1)) AS p FROM reads WHERE population = 0))"
+_LONG = "(SELECT seq, p AS Position, substring(seq, p, 1) AS Residue FROM (SELECT aligned AS seq, unnest(range(1, length(aligned) + 1)) AS p FROM reads))"
 
 
-@query()
+@query(", ur AS (SELECT ragged AS sequences, count(*) AS Reads FROM reads GROUP BY ragged), " + fx.finished_sql("ur", "countr") + greedy_sql(20, False, "countr").replace("SELECT concat('Rank='", ", g AS (SELECT concat('Rank='") + ") SELECT ID, Cluster, Rank, sequences, 1::BIGINT AS lengths FROM g", recursive=True)
 def cluster_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ragged sequences of population 0 with 10 reads or more, aligned in their clusters."""
-    c = counts.count(fx.reads(spark, sf_dir).where("population = 0").select(F.col("ragged").alias("sequences")))
-    return align.cluster_align(cluster.cluster_led(c, min_reads=10, total_clusters=20, keep_nc=False))
+    """Ragged sequences with 10 reads or more, aligned in their clusters: what each is without gaps, and the number of different lengths in its cluster."""
+    c = counts.count(fx.reads(spark, sf_dir).select(F.col("ragged").alias("sequences")))
+    out = stored(align.cluster_align(cluster.cluster_led(c, min_reads=10, total_clusters=20, keep_nc=False)), "aligned")
+    lengths = out.groupBy("Cluster").agg(F.count_distinct(F.length("sequences")).alias("lengths"))
+    return out.join(lengths, "Cluster").select("ID", "Cluster", "Rank", F.replace("sequences", F.lit("-"), F.lit("")).alias("sequences"), "lengths")
 
 
 @query("SELECT CAST(4 * (instr('ACGT', substring(sequences, 3, 1)) - 1) + instr('ACGT', substring(sequences, 5, 1)) AS INT) AS Cluster, count(DISTINCT length(ragged)) AS lengths, count(DISTINCT length(ragged)) = 1 AS aligned FROM reads GROUP BY 1")
@@ -472,7 +480,7 @@ def column_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.column_entropy(_aligned(spark, sf_dir))
 
 
-@query(""", d AS (SELECT aligned AS seq, count(*)::DOUBLE AS w, row_number() OVER () AS k FROM reads WHERE population = 0 GROUP BY aligned),
+@query(""", d AS (SELECT aligned AS seq, count(*)::DOUBLE AS w, row_number() OVER () AS k FROM reads GROUP BY aligned),
 l AS (SELECT k, w, p, substring(seq, p, 1) AS c FROM (SELECT k, w, seq, unnest(range(1, length(seq) + 1)) AS p FROM d)),
 joint AS (SELECT x.p AS i, y.p AS j, x.c AS a, y.c AS b, sum(x.w) AS n FROM l x JOIN l y USING (k) GROUP BY ALL),
 single AS (SELECT p, c, sum(w) AS n FROM l GROUP BY ALL)
@@ -521,13 +529,13 @@ def profile_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_EMISSIONS + """, steps AS (SELECT col AS a, lead(col) OVER (ORDER BY col) AS b FROM matches),
-tests AS (SELECT substring(aligned, a, 1) <> '-' AS here, substring(aligned, b, 1) <> '-' AS there, length(replace(substring(aligned, a + 1, b - a - 1), '-', '')) > 0 AS inner_ FROM reads, steps WHERE population = 0 AND b IS NOT NULL),
+tests AS (SELECT substring(aligned, a, 1) <> '-' AS here, substring(aligned, b, 1) <> '-' AS there, length(replace(substring(aligned, a + 1, b - a - 1), '-', '')) > 0 AS inner_ FROM reads, steps WHERE b IS NOT NULL),
 n AS (SELECT count_if(here AND there)::DOUBLE AS x, count_if(here AND NOT there)::DOUBLE AS y, count_if(here AND inner_)::DOUBLE AS z FROM tests)
 SELECT x / (x + y + z) AS mm, y / (x + y + z) AS md, z / (x + y + z) AS mi FROM n""")
 def profile_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_transitions(_aligned(spark, sf_dir))
 
 
-@query(_EMISSIONS + "SELECT (SELECT count(*) FROM reads WHERE population = 0) AS num_sequences, (SELECT count(*) FROM cols) AS alignment_length, (SELECT count(*) FROM matches) AS num_match_states")
+@query(_EMISSIONS + "SELECT (SELECT count(*) FROM reads) AS num_sequences, (SELECT count(*) FROM cols) AS alignment_length, (SELECT count(*) FROM matches) AS num_match_states")
 def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_stats(_aligned(spark, sf_dir))

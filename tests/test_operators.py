@@ -111,6 +111,43 @@ def test_pca_explains(spark):
     assert len(got) == 5 and abs(sum(r.PC1 for r in got)) < 1e-9 and got[0].explained1 >= got[0].explained2 > 0
 
 
+@pytest.mark.parametrize("limit", [1024, 0])
+def test_pca_against_numpy(spark, monkeypatch, limit):
+    import itertools
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(kmer, "COVARIANCE_COLUMNS", limit)
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice("AC" if k % 3 else "GT") for _ in range(30)) + "ACGT" for k in range(60)]
+    got = {r.sequences: r for r in kmer.kmer_pca(reads(spark, *seqs), 2).collect()}
+    words = ["".join(w) for w in itertools.product("ATGC", repeat=2)]
+    x = np.array([[sum(s[i : i + 2] == w for i in range(len(s) - 1)) for w in words] for s in seqs], float)
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    values, vectors = np.linalg.eigh(z.T @ z)
+    for c in (0, 1):
+        v = vectors[:, -1 - c] * np.sign(vectors[np.abs(vectors[:, -1 - c]).argmax(), -1 - c])
+        assert [got[s][f"PC{c + 1}"] for s in seqs] == pytest.approx((z @ v).tolist(), abs=1e-4)
+        assert got[seqs[0]][f"explained{c + 1}"] == pytest.approx(100 * values[-1 - c] / values.sum(), abs=0.02)
+
+
+def test_neighbours(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(kmer, "BLOCK_ROWS", 7)
+    rng = random.Random(4)
+    seqs = sorted({"".join(rng.choice("ACGT") for _ in range(20)) for _ in range(60)})
+    df = reads(spark, *seqs).repartition(3)
+    exact = kmer.kmer_neighbors(reads(spark, *seqs[:5]), df, neighbors=6, exact=True).collect()
+    assert len(exact) == 30 and all(r.query != r.neighbor for r in exact)
+    near = kmer.kmer_neighbors(reads(spark, *seqs[:5]), df, neighbors=6).collect()
+    alike = {(r.query, r.neighbor) for r in exact} & {(r.query, r.neighbor) for r in near}
+    assert len(near) == 30 and len(alike) >= 27
+    none = kmer.kmer_neighbors(reads(spark, *seqs[:5]), df, neighbors=6, reach=1e-3).collect()  # nothing in reach: compared with all
+    assert {tuple(r) for r in none} == {tuple(r) for r in exact}
+
+
 def test_enrichment_zeros(spark):
     a = table(spark, [("A", 4), ("C", 6)])
     b = table(spark, [("C", 3), ("G", 7)]).withColumn("RPU", F.when(F.col("sequences") == "C", 0).otherwise(F.col("RPU")).cast("long"))
@@ -154,6 +191,8 @@ def test_ragged_positions(spark):
     assert got == {("A", 1): 1.5, ("C", 2): 1.5, ("G", 3): 1.5, ("T", 4): 2.0, ("-", 4): 1.0}
     with pytest.raises(ValueError):
         align.position_enrichment(df, 7)
+    top = {(r.Residue, r.Position): r.AvEnrich for r in align.position_enrichment(df, 1, max_sequences=1).collect() if r.AvEnrich is not None}
+    assert top == {("A", 1): 2.0, ("C", 2): 2.0, ("G", 3): 2.0, ("T", 4): 2.0}
 
 
 def test_profile(spark):
@@ -169,18 +208,36 @@ def test_profile(spark):
 def test_fastq_ranges(spark, tmp_path):
     path = tmp_path / "x.fastq"
     rows = [(f"r{k}", "ACGT"[k % 4] * (5 + k % 7), ("@+I"[k % 3]) * (5 + k % 7)) for k in range(400)]
-    path.write_text("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in rows))
-    for size in (37, 500, 1 << 20):
-        assert sorted(tuple(r) for r in files.read_fastq(spark, str(path), size).collect()) == sorted(rows)
+    text = "".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in rows)
+    path.write_text(text + "\n")
+    try:
+        for size in (100, 500, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 10)
+            assert sorted(tuple(r) for r in files.read_fastq(spark, str(path)).collect()) == sorted(rows)
+            (tmp_path / f"cut{size}.fq").write_text(text[:-10])
+            with pytest.raises(Exception, match="cut short"):
+                files.read_fastq(spark, str(tmp_path / f"cut{size}.fq")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     with gzip.open(tmp_path / "y.fq.gz", "wt") as f:
-        f.write(path.read_text())
+        f.write(text)
     assert files.read_sequences(spark, str(tmp_path / "y.fq.gz")).count() == 400
+    (tmp_path / "odd.fq").write_text("\n@a\r\nAC\r\n+\r\nII\r\n\n\n@b\n\n+\n\n@c\nG\n+c\n@\n\n")
+    assert [tuple(r) for r in files.read_fastq(spark, str(tmp_path / "odd.fq")).collect()] == [("a", "AC", "II"), ("b", "", ""), ("c", "G", "@")]
+    (tmp_path / "empty.fastq").write_text("")
+    assert files.read_fastq(spark, str(tmp_path / "empty.fastq")).count() == 0
+    with pytest.raises(ValueError, match="no records"):
+        files.read_sequences(spark, str(tmp_path / "empty.fastq"))
 
 
 def test_fasta_headers(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">Rank=2;Reads=5;RPU=1.5;other=x\nAC\nGT\n>plain\r\nTTTT\r\n")
     got = sorted(files.read_sequences(spark, str(tmp_path / "a.fasta")).collect(), key=lambda r: r.sequences)
     assert [(r.sequences, r.Rank, r.Reads, r.RPU, r.Cluster) for r in got] == [("ACGT", 2, 5, 1.5, None), ("TTTT", 2, 0, 0.0, None)]
+    (tmp_path / "c.fasta").write_text(">rank=3;READS=4;Rpu=2\nA\n")
+    assert [(r.Rank, r.Reads, r.RPU) for r in files.read_fasta(spark, str(tmp_path / "c.fasta")).collect()] == [(3, 4, 2.0)]
     (tmp_path / "b.fasta").write_text("")
     with pytest.raises(ValueError):
         files.read_sequences(spark, str(tmp_path / "b.fasta"))
