@@ -9,11 +9,16 @@ the count, and all copies are put in one global random order.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import stored
+
+#: Sources with at least this part (one of so many) of all documents are broadcast.
+LARGE_SOURCES = 10_000
 #: Copies of a document are made in runs of so many, since a run is an array in memory.
 RUN = 1 << 12
 
@@ -57,17 +62,29 @@ def poisson_steps(rate: float) -> list[float]:
     return [*out, 1.0]
 
 
-def repetition_rates(docs: DataFrame, weights: Mapping[str | None, float], default_weight: float, source_col: str) -> list[tuple[str | None, int, float]]:
-    """(source, documents, mean repetitions) of each source, so that the expected total is the number of documents.
+def repetition_rates(docs: DataFrame, weights: Mapping[str | None, float], default_weight: float, source_col: str) -> DataFrame:
+    """(source, n, rate, start, steps) of each source: its documents, mean repetitions, and the thresholds of :func:`poisson_steps`.
 
-    One aggregate; what comes to the driver is a row for each source.
+    The expected total is the number of documents.  One aggregate over ``docs``; nothing of it comes to the driver.
     """
-    counts = [(r[0], r[1]) for r in docs.groupBy(F.col(f"`{source_col}`")).count().collect()]
-    weight = {s: float(weights.get(s, default_weight)) for s, _ in counts}
-    if any(w < 0 for w in weight.values()):
+    if any(w < 0 for w in (default_weight, *weights.values())):
         raise ValueError("weights must not be negative")
-    total, of_weights = sum(n for _, n in counts), sum(weight.values())
-    return sorted(((s, n, weight[s] / of_weights * total / n if of_weights else 0.0) for s, n in counts), key=lambda x: (x[0] is not None, x[0] or ""))
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [float(weights.get(s, default_weight)) for s in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.float64())], ["source", "n", "weight"])
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, n, weight, whole, of_weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rate = weight / of_weights * whole / n if of_weights else 0.0
+                yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([n]), pa.array([rate]), pa.array([poisson_start(rate)], pa.int64()), pa.array([poisson_steps(rate)])], ["source", "n", "rate", "start", "steps"])
+
+    counts = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts.mapInArrow(weighted, "source string, n long, weight double"), "sources")
+    total = counts.agg(F.sum("n").alias("whole"), F.sum("weight").alias("of_weights"))
+    return stored(counts.crossJoin(F.broadcast(total)).mapInArrow(stepped, "source string, n long, rate double, start long, steps array<double>"), "rates")  # one row
 
 
 def mix_sources(
@@ -82,18 +99,25 @@ def mix_sources(
     these names are replaced.  Rows that repeat an id draw the same count; rows with a null id draw one
     count together.  Texts are never looked at, so null, empty and long ones are alike.  An empty table
     stays empty.  A source may be as rare as one row of any number; its documents then repeat that often
-    (``copy_no`` is an int).  The number of sources must fit on the driver; rows of one source never meet in one
-    task, since counts are drawn row by row and the order is by a hash.
+    (``copy_no`` is an int).  Sources may be any number: those with 1 / LARGE_SOURCES of the documents or more, so
+    LARGE_SOURCES at most, are broadcast with their thresholds; only documents of the others are joined with theirs by
+    source.  So no source fills a task: counts are drawn row by row and the order is by a hash.
     """
     rates = repetition_rates(docs, weights or {}, default_weight, source_col)
-    source, u = F.col(f"`{source_col}`"), hashed_uniform(str(seed), F.col(f"`{id_col}`"))
-    copies = F.lit(0)
-    for name, _, rate in rates:
-        steps = poisson_steps(rate)
-        limits = F.split(F.lit(",".join(map(repr, steps))), ",").cast("array<double>")  # one literal, folded by the planner
-        drawn = F.size(F.filter(limits, lambda x: x <= u)) + poisson_start(rate)
-        copies = F.when(source.eqNullSafe(F.lit(name)), drawn).otherwise(copies)
-    out = docs.drop(copy_col, key_col).withColumn(copy_col, copies)
+    source, u = F.col(f"`{source_col}`").cast("string"), hashed_uniform(str(seed), F.col(f"`{id_col}`"))
+    names, name = docs.drop(copy_col, key_col).columns, "_rate"
+    while name in docs.columns:
+        name += "_"
+    total = rates.agg(F.sum("n").alias("_total"))
+    rates = rates.crossJoin(F.broadcast(total)).select(F.struct("source", "start", "steps").alias(name), (F.col("n") * LARGE_SOURCES >= F.col("_total")).alias("_large"))
+    large, small = rates.where("_large").select(name), rates.where("NOT _large").select(name)
+    same = source.eqNullSafe(F.col(f"{name}.source"))
+    drawn = docs.drop(copy_col, key_col).join(F.broadcast(large), same, "left")  # LARGE_SOURCES rows at most
+    if not small.isEmpty():
+        rest = drawn.where(F.col(name).isNull()).select(names).join(small.hint("merge"), same)
+        drawn = drawn.where(F.col(name).isNotNull()).unionByName(rest)
+    copies = (F.size(F.filter(F.col(f"{name}.steps"), lambda x: x <= u)) + F.col(f"{name}.start")).cast("int")
+    out = drawn.withColumn(copy_col, copies).drop(name)
     last, none = F.col(copy_col) - 1, F.array().cast("array<int>")
     out = out.withColumn(key_col, F.explode(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(RUN))).otherwise(none)))  # first copy of each run
     out = out.withColumn(copy_col, F.explode(F.sequence(F.col(key_col), F.least(last, F.col(key_col) + (RUN - 1)))))

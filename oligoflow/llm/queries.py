@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oligoflow.storage import new_path
+
 from . import base, decontam, mixing, near_dedup, oracles, quality, secrets, suffixes, token_counts, toxicity, warc, windows
 
 
@@ -54,9 +56,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for each page: archives written to the shared folder, read back and verified."""
-    archives = base.stored(warc.write_archives(base.table(spark, sf_dir, "pages")), "warc")
-    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """A record for each page: .warc.gz files written to the shared folder, read back and verified."""
+    path = new_path(spark, "warc")
+    warc.save_archives(base.table(spark, sf_dir, "pages"), path, archive_bytes=16 << 20)
+    return warc.load_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {f.__name__: f for f in (

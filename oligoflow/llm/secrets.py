@@ -29,6 +29,9 @@ NOT_ORDINARY = "[0-9+/=]|[A-Z].?[A-Z]"
 #: A token is a span if its log-likelihood ratio is at least this in all, and at least this for each step.
 LEAST_RATIO, LEAST_MEAN_RATIO = 12.0, 0.5
 
+#: A text without any of these strings (in lower case for the first kind) has no match of the kind; a plain search is many times faster.
+NEEDED = {0: ("password", "passwd", "secret", "token", "api"), 1: ("AKIA",)}
+
 _SPAN = "struct<start:int,kind:int,end:int,value:int>"
 
 
@@ -38,7 +41,8 @@ def _spans(text: str, kind: int, pattern: str, group: int, least: int) -> str:
     found = f"aggregate(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})), " \
         f"named_struct('pos', 0, 'out', cast(array() AS array<{_SPAN}>)), (acc, z) -> CASE WHEN z.`1` IS NULL THEN acc ELSE named_struct('pos', acc.pos + length(z.`0`) + length(z.`1`), " \
         f"'out', CASE WHEN length(z.`2`) >= {least} THEN concat(acc.out, array(named_struct('start', acc.pos + length(z.`0`), 'kind', {kind}, 'end', acc.pos + length(z.`0`) + length(z.`1`), 'value', length(z.`2`)))) ELSE acc.out END) END, acc -> acc.out)"
-    return f"CASE WHEN {text} RLIKE {p} THEN {found} ELSE cast(array() AS array<{_SPAN}>) END"
+    needed = " OR ".join(f"contains({f'lower({text})' if kind == 0 else text}, '{x}')" for x in NEEDED.get(kind, ())) or "true"
+    return f"CASE WHEN ({needed}) AND {text} RLIKE {p} THEN {found} ELSE cast(array() AS array<{_SPAN}>) END"
 
 
 def base_spans(text: str) -> Column:
@@ -58,6 +62,11 @@ def _pairs(token: str) -> str:
     return f"transform(sequence(1, length({token}) - 1), i -> (locate(substring({token}, i, 1), '{ALPHABET}') - 1) * {n} + locate(substring({token}, i + 1, 1), '{ALPHABET}'))"
 
 
+def _once(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: a generator of one row keeps the optimizer from copying it into every use."""
+    return df.drop(name).select("*", F.explode(F.array(x)).alias(name))
+
+
 def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratios (random over ordinary) of all character pairs, counted over all of ``docs``.
 
@@ -66,11 +75,11 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     ratios are 0.
     """
     n = len(ALPHABET)
-    spans = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).select("t", base_spans("t").alias("b"))
+    spans = _once(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")), "b", base_spans("t"))
     rest = _redacted("t", "b", " ")
     words = f"filter(regexp_extract_all({rest}, r'{TOKEN % IDENTIFIER_CHARS}', 1), w -> NOT w RLIKE '{NOT_ORDINARY}')"
     secret = "transform(b, s -> regexp_replace(substring(t, s.end - s.value + 1, s.value), '[^A-Za-z0-9+/_=-]', ''))"
-    samples = spans.select(F.expr(f"concat(transform({secret}, x -> named_struct('y', 1, 'w', x)), transform({words}, x -> named_struct('y', 0, 'w', x)))").alias("x")).where("size(x) > 0").select(F.explode("x").alias("x"))
+    samples = spans.select(F.expr(f"concat(transform({secret}, x -> named_struct('y', 1, 'w', x)), transform({words}, x -> named_struct('y', 0, 'w', x)))").alias("x")).select(F.explode("x").alias("x"))
     samples = samples.where("length(x.w) >= 2").select("x.y", F.explode(F.expr(_pairs("x.w"))).alias("pair"))
     counts = {(r["y"], r["pair"]): r["n"] for r in samples.groupBy("y", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not {0, 1} <= {y for y, _ in counts}:
@@ -90,17 +99,19 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", base_col:
     """``docs`` with ``base`` (spans of the fixed patterns) and ``spans`` (those and the models' spans), arrays by start and kind.
 
     Starts count code points from 0, ends are exclusive; kind is a number (0 assign, 1 access, 2 hex,
-    3 markov).  Null and empty texts have no spans.  Columns of ``docs`` with these names are replaced.
+    3 markov).  Null and empty texts have no spans.  Columns of ``docs`` with these names are replaced; :func:`redact` and
+    :func:`secret_report` choose names that clash with none.  Rows that repeat an id or have a null one are rows of their own; no
+    rows give no rows.  A text of any length is matched whole, by a task that holds it.
     """
     text = f"coalesce(`{text_col}`, '')"
     ratios = "split('" + ",".join(f"{x:.5g}" for x in model) + "', ',')"
-    out = docs.withColumn(base_col, base_spans(text))
+    out = _once(docs, base_col, base_spans(text))
     tokens = _spans(text, len(BASE_KINDS), TOKEN % TOKEN_CHARS, 1, TOKEN_CHARS)
     other = f"filter({tokens}, s -> NOT exists(`{base_col}`, b -> b.start < s.end AND s.start < b.end))"
     token = f"substring({text}, s.start + 1, s.end - s.start)"
     score = f"aggregate({_pairs('u.w')}, 0D, (x, i) -> x + element_at(cast({ratios} AS array<double>), i))"
     judged = f"filter(transform({other}, s -> named_struct('s', s, 'w', {token})), u -> {score} >= greatest({LEAST_RATIO}D, {LEAST_MEAN_RATIO}D * (length(u.w) - 1)))"
-    return out.withColumn(spans_col, F.expr(f"array_sort(concat(`{base_col}`, transform({judged}, u -> u.s)))"))
+    return _once(out, spans_col, F.expr(f"array_sort(concat(`{base_col}`, transform({judged}, u -> u.s)))"))
 
 
 def span_text(spans: str) -> Column:

@@ -1,29 +1,36 @@
 """WARC archives: one gzip member per record, and a sequential reader (operator 10).
 
-Archives are rows (archive, content) of bounded size, so any Spark sink and any store can hold them;
-:func:`save_archives` puts them into files, :func:`load_archives` reads files as such rows.
-The reader inflates step by step, frames records by Content-Length and verifies both digests.
+Archives are files, written and read by tasks as streams: :func:`save_archives` is a Spark sink of .warc.gz files of
+about ARCHIVE_BYTES, :func:`load_archives` a Spark source with a partition for each file.  The reader inflates step by step,
+frames records by Content-Length and verifies the digests that a record states.  It reads archives of any origin.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import io
-import os
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 1 << 30
 _STEP = 64 << 10
-_RECORD_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, archive string"
+_RECORD_SCHEMA = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()),
+    ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("date", pa.string()), ("archive", pa.string()),
+])
 
 
 def base32_sha1(data: bytes) -> str:
@@ -37,11 +44,24 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.UUID(int=number)}>"
 
 
-def page_of(identifier: str) -> int | None:
-    """The page id that :func:`record_id` put into an identifier."""
-    number = uuid.UUID(identifier.strip()[10:-1]).int
+def page_of(identifier: str | None) -> int | None:
+    """The page id that :func:`record_id` put into an identifier; None for identifiers of other writers."""
+    try:
+        number = uuid.UUID((identifier or "").strip()[10:-1]).int
+    except ValueError:
+        return None
     low = number & (2**64 - 1)
-    return None if not (number >> 64) & 1 else low - 2**64 if low >= 2**63 else low
+    return None if number >> 64 != 0x6F6C69676F008001 else low - 2**64 if low >= 2**63 else low
+
+
+def digest_matches(said: str, found: dict[str, bytes]) -> bool:
+    """Whether a stated digest (algorithm:value, base 32 or base 16) is the one found; ``found`` holds the data's digests by algorithm.
+    Algorithms that are not at hand are not judged."""
+    name, _, value = said.partition(":")
+    if name.lower() not in found:
+        return True
+    raw = found[name.lower()]
+    return value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=") or value.lower() == binascii.hexlify(raw).decode()
 
 
 def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
@@ -61,11 +81,11 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return z.compress(plain) + z.flush()
 
 
-class Inflater(io.RawIOBase):
-    """The plain bytes of a series of gzip members, inflated a step at a time as they are read."""
+class Inflater:
+    """The plain bytes of a series of gzip members, inflated a step at a time as they are read; a source that isn't gzip is passed on."""
 
-    def __init__(self, source: io.BufferedIOBase) -> None:
-        self.source, self.z, self.rest, self.plain, self.seen = source, zlib.decompressobj(31), b"", bytearray(), False
+    def __init__(self, source) -> None:
+        self.source, self.z, self.rest, self.plain, self.seen, self.zipped = source, zlib.decompressobj(31), b"", bytearray(), False, None
 
     def fill(self) -> bool:
         """Inflate one more step; False at the end of the source."""
@@ -75,6 +95,11 @@ class Inflater(io.RawIOBase):
             if self.seen:
                 raise ValueError("the archive ends inside a gzip member")
             return False
+        if self.zipped is None:
+            self.zipped = data[:2] == b"\x1f\x8b"
+        if not self.zipped:
+            self.plain += data
+            return True
         self.seen = True
         self.plain += self.z.decompress(data, 4 * _STEP)
         if self.z.eof:
@@ -83,49 +108,112 @@ class Inflater(io.RawIOBase):
             self.rest = self.z.unconsumed_tail
         return True
 
-    def take(self, n: int) -> bytes:
-        """Exactly ``n`` bytes."""
-        while len(self.plain) < n:
+    def some(self, most: int) -> bytes:
+        """The next bytes, up to so many; not none."""
+        while not self.plain:
             if not self.fill():
                 raise ValueError("a record is shorter than its Content-Length")
-        out = bytes(self.plain[:n])
-        del self.plain[:n]
+        out = bytes(self.plain[:most])
+        del self.plain[:most]
         return out
 
-    def line(self) -> bytes:
-        """The next line without its end; empty at the end of the archive."""
+    def take(self, n: int) -> bytes:
+        """Exactly ``n`` bytes."""
+        out = bytearray()
+        while len(out) < n:
+            out += self.some(n - len(out))
+        return bytes(out)
+
+    def line(self) -> bytes | None:
+        """The next line without its end; None at the end of the archive."""
         while (k := self.plain.find(b"\n")) < 0:
             if not self.fill():
-                if self.plain:
+                if self.plain.strip(b"\r\n\0"):
                     raise ValueError("the archive ends inside a header line")
-                return b""
+                return None
         return self.take(k + 1).rstrip(b"\r\n")
 
 
-def read_records(source: io.BufferedIOBase) -> Iterator[dict]:
-    """Records of one archive in order; raises ValueError on bad framing or a digest that doesn't match."""
+class Hashes:
+    """Digests of a stream of bytes, and its length."""
+
+    def __init__(self) -> None:
+        self.all, self.size = {x: hashlib.new(x) for x in ("sha1",)}, 0
+
+    def update(self, data: bytes) -> None:
+        self.size += len(data)
+        for h in self.all.values():
+            h.update(data)
+
+    def found(self) -> dict[str, bytes]:
+        return {name: h.digest() for name, h in self.all.items()}
+
+
+def _http_length(head: bytes) -> int | None:
+    """Content-Length of an HTTP head, if it has one."""
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
+
+
+def read_records(source, payloads: bool = True) -> Iterator[dict]:
+    """Response, revisit and resource records of one archive in order, as dicts of _RECORD_SCHEMA without ``archive``.
+
+    Other kinds (warcinfo, request, metadata, ...) are framed, verified and passed over.  Digests are optional; those that are
+    stated with SHA-1 are verified.  An HTTP head may lack a length.  Without ``payloads`` a payload is read in steps and never held,
+    so its length doesn't matter; with them a record must fit in memory.  Raises ValueError on bad framing or a digest that doesn't match.
+    """
     stream = Inflater(source)
-    while first := stream.line():
+    while True:
+        first = stream.line()
+        while first == b"":  # blank lines between records
+            first = stream.line()
+        if first is None:
+            return
         if not first.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
-        head = {}
+        head: dict[str, str] = {}
         while line := stream.line():
-            name, _, value = line.decode().partition(":")
-            head[name.strip().lower()] = value.strip()
-        block = stream.take(int(head["content-length"]))
+            name, colon, value = line.decode("utf-8", "replace").partition(":")
+            if colon:
+                head[name.strip().lower()] = value.strip()
+        if not head.get("content-length", "").isdigit():
+            raise ValueError(f"record {head.get('warc-record-id')} has no Content-Length")
+        kind, left = head.get("warc-type", "").lower(), int(head["content-length"])
+        http = head.get("content-type", "").lower().startswith("application/http")
+        block, payload, kept, start = Hashes(), Hashes(), [], bytearray() if http else None
+        while left:
+            data = stream.some(min(left, _STEP))
+            left -= len(data)
+            block.update(data)
+            if start is not None:  # still in the HTTP head
+                start += data
+                if (at := start.find(b"\r\n\r\n")) < 0:
+                    continue
+                http_head, data, start = bytes(start[:at]), bytes(start[at + 4 :]), None
+            payload.update(data)
+            if payloads:
+                kept.append(data)
+        if start is not None:
+            http_head = bytes(start)
         if stream.take(4) != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its Content-Length says")
-        if head.get("warc-block-digest", "").removeprefix("sha1:") != base32_sha1(block):
-            raise ValueError(f"block digest of {head['warc-record-id']} doesn't match")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        said = head["warc-payload-digest"].removeprefix("sha1:")
-        length = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        revisit = head["warc-type"] == "revisit"
-        if not revisit and (said != base32_sha1(payload) or length != len(payload)):
-            raise ValueError(f"payload digest of {head['warc-record-id']} doesn't match")
+        if not digest_matches(head.get("warc-block-digest", ""), block.found()):
+            raise ValueError(f"block digest of {head.get('warc-record-id')} doesn't match")
+        if kind not in ("response", "revisit", "resource"):
+            continue
+        revisit, said = kind == "revisit", head.get("warc-payload-digest")
+        chunked = http and b"transfer-encoding: chunked" in http_head.lower()
+        if not revisit and not chunked and not digest_matches(said or "", payload.found()):
+            raise ValueError(f"payload digest of {head.get('warc-record-id')} doesn't match")
+        length = (_http_length(http_head) if http else None) if revisit else payload.size
+        said = said.partition(":")[2] if said and said.lower().startswith("sha1:") else None if revisit else base64.b32encode(payload.found()["sha1"]).decode()
         yield {
-            "page_id": page_of(head["warc-record-id"]), "url": head["warc-target-uri"], "record_type": head["warc-type"], "payload_bytes": length, "payload_digest": said,
-            "refers_to": page_of(head["warc-refers-to"]) if revisit else None, "payload": None if revisit else payload,
+            "page_id": page_of(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": kind, "payload_bytes": length, "payload_digest": said,
+            "refers_to": page_of(head.get("warc-refers-to")) if revisit else None, "payload": b"".join(kept) if payloads and not revisit else None,
+            "record_id": head.get("warc-record-id"), "refers_to_id": head.get("warc-refers-to"), "date": head.get("warc-date"),
         }
 
 
@@ -144,67 +232,137 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return p.join(best, "_key", "left").select("page_id", "url", "html", F.when(revisit, F.col("_best")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, content): WARC archives of about ``archive_bytes``, one gzip member for each row of ``pages``.
+@dataclass
+class Written(WriterCommitMessage):
+    """Names of the files of a task that succeeded."""
 
-    Null html is an empty payload; rows that repeat a page_id get a record each (equal payloads of the
-    largest id are all responses); other columns of ``pages`` are not read; no pages, no archives.
-    """
+    files: list[str]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, number, out = TaskContext.get().partitionId(), 0, bytearray()
+class ArchiveWriter(DataSourceArrowWriter):
+    """Writes files of a task under names that no other attempt has; those of attempts that didn't count are removed at the end."""
 
-        def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"archive": [f"part-{part:06d}-{number:06d}.warc.gz"], "content": [bytes(out)]})
+    def __init__(self, options) -> None:
+        self.path, self.bytes, self.date = options["path"], int(options["archiveBytes"]), options["date"]
 
-        for batch in batches:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(self.path)
+        store.create_dir(folder)
+        name, files, out, size = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", [], None, 0
+        for batch in iterator:
             for page_id, url, html, refers in zip(*(batch.column(k) for k in range(4)), strict=True):
-                refers = refers.as_py()
-                out += write_record(page_id.as_py(), url.as_py(), html.as_py().encode(), refers, refers is not None, date)
-                if len(out) >= archive_bytes:
-                    yield archive()
-                    number, out = number + 1, bytearray()
-        if out:
-            yield archive()
+                if out is None:
+                    files.append(f"{name}-{len(files):04d}.warc.gz")
+                    out, size = store.open_output_stream(f"{folder}/{files[-1]}", compression=None), 0
+                record = write_record(page_id.as_py(), url.as_py(), html.as_buffer().to_pybytes(), refers.as_py(), refers.is_valid, self.date)
+                out.write(record)
+                size += len(record)
+                if size >= self.bytes:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return Written(files)
 
-    return plan_revisits(pages, min_bytes).mapInArrow(run, "archive string, content binary")
+    def commit(self, messages: list[Written | None]) -> None:
+        store, folder = fs.FileSystem.from_uri(self.path)
+        store.create_dir(folder)
+        counted = {x for m in messages if m for x in m.files}
+        for f in store.get_file_info(fs.FileSelector(folder)):
+            if f.base_name.endswith(".warc.gz") and f.base_name not in counted:
+                store.delete_file(f.path)
 
+    def abort(self, messages: list[Written | None]) -> None:
+        self.commit([])
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of (archive, content) rows, read sequentially and verified; ``payloads`` False leaves those null."""
-    names = [x.split()[0] for x in _RECORD_SCHEMA.split(", ")]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("archive", pa.string())])
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows: list[dict] = []
-                for r in read_records(io.BytesIO(content.as_buffer())):
-                    rows.append(r | {"archive": name.as_py(), "payload": r["payload"] if payloads else None})
-                    if len(rows) >= 500:
-                        yield pa.RecordBatch.from_pylist(rows, types).select(names)
-                        rows = []
-                yield pa.RecordBatch.from_pylist(rows, types).select(names)
+class ArchiveFile(InputPartition):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+
+class ArchiveReader(DataSourceReader):
+    """A partition for each archive, read from its beginning to its end."""
+
+    def __init__(self, options) -> None:
+        self.path, self.payloads = options["path"], options.get("payloads", "true").lower() == "true"
+
+    def partitions(self) -> list[ArchiveFile]:
+        store, folder = fs.FileSystem.from_uri(self.path)
+        info = store.get_file_info(folder)
+        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder, recursive=True))
+        return [ArchiveFile(f.path) for f in found if f.type == fs.FileType.File and f.base_name.endswith((".warc.gz", ".warc"))]
+
+    def read(self, partition: ArchiveFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's stand-in for no partitions
+            return
+        store, _ = fs.FileSystem.from_uri(self.path)
+        with store.open_input_stream(partition.path, compression=None) as f:
+            yield from _batches(read_records(f, self.payloads), partition.path)
+
+
+def _batches(records: Iterator[dict], archive: str) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for r in records:
+        rows.append(r | {"archive": archive})
+        held += len(r["payload"] or b"")
+        if len(rows) >= 2000 or held > 8 << 20:
+            yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
+
+
+class Archives(DataSource):
+    """.warc.gz files of a folder in a store that Arrow's file systems reach (file, hdfs, s3, gs, abfs)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "oligoflow_warc"
+
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(f.name, {pa.int64(): T.LongType(), pa.binary(): T.BinaryType()}.get(f.type, T.StringType())) for f in _RECORD_SCHEMA])
+
+    def reader(self, schema: T.StructType) -> ArchiveReader:
+        return ArchiveReader(self.options)
 
-    return archives.select("archive", "content").mapInArrow(run, _RECORD_SCHEMA)
+    def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(self.options)
 
 
-def save_archives(archives: DataFrame, folder: str) -> None:
-    """Write each archive to a file of a folder that all executors mount; a repeated task replaces its files whole."""
+def _uri(path: str) -> str:
+    return path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:")
 
-    def run(rows: Iterable) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            part = f"{folder}/.{r.archive}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(r.content)
-            os.replace(part, f"{folder}/{r.archive}")
 
-    archives.foreachPartition(run)
+def save_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write ``pages`` (page_id, url, html) to .warc.gz files in a new folder, one gzip member for each row.
 
+    Null html is an empty payload; rows that repeat a page_id get a record each (equal payloads of the
+    largest id are all responses); a null id is smaller than any; other columns of ``pages`` are not read; no pages, no archives.
+    A payload must fit in a task's memory, an archive needn't.  Tasks write under names of their own attempt, so a lost executor costs
+    its tasks only.
+    """
+    pages.sparkSession.dataSource.register(Archives)
+    plan_revisits(pages, min_bytes).write.format("oligoflow_warc").option("archiveBytes", archive_bytes).option("date", date).mode("append").save(_uri(path))
+
+
+def load_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Page records of the .warc.gz and .warc files under ``path``, read as streams and verified; ``payloads`` False leaves those null.
+
+    ``page_id`` and ``refers_to`` are null for records of other writers; ``record_id`` and ``refers_to_id`` are always there.
+    """
+    spark.dataSource.register(Archives)
+    return spark.read.format("oligoflow_warc").option("payloads", payloads).load(_uri(path))
+
+
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """The same of whole archives as rows (archive, content), for stores that only Spark's binaryFile source reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _batches(read_records(io.BytesIO(content.as_buffer()), payloads), name.as_py())
 
-def load_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, content) of the .warc.gz files under ``path``."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.col("path").alias("archive"), "content")
+    return archives.select("archive", "content").mapInArrow(run, Archives({}).schema())

@@ -183,6 +183,23 @@ def test_markov_model_finds_random_tokens(spark):
     assert not any(re.search("[0-9a-f]{16}", r.text or "") for r in left.values()) and secrets.redact(df).columns == df.columns
 
 
+def test_markov_models_find_planted_tokens(spark):
+    import base64
+
+    rng = random.Random(8)
+    words = ["configuration", "understanding", "antidisestablishment", "internationalisation", "responsibilities_of_users", "characterisation", "well-known-identifier-name"]
+    rows = [(k, f"the {rng.choice(words)} of {rng.choice(words)} password={rng.randbytes(12).hex()} token={''.join(rng.choice(secrets.ALPHABET) for _ in range(30))}") for k in range(300)]
+    kinds = [
+        lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n], lambda n: base64.urlsafe_b64encode(rng.randbytes(n)).decode()[:n],
+        lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)), lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n)),
+    ]
+    planted = [(1000 + k, f"see {kinds[k % 4](20 + k * 44 // 399)} here") for k in range(400)]
+    plain = [(2000 + k, f"see {rng.choice(words)}{rng.choice(words)} here") for k in range(100)]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(frame(spark, [*rows, *planted, *plain])).collect()}
+    assert sum("markov:" in got[d] for d, _ in planted) >= 0.95 * len(planted)
+    assert not any(got[d] for d, _ in plain)
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secrets.secret_report(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
@@ -318,14 +335,21 @@ def test_mix_with_one_row_of_a_source(spark):
     assert (got[None].copies, got[None].first, got[None].last) == (got[None].n, 0, got[None].n - 1)
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, F.lit("big")).otherwise(F.concat(F.lit("s"), F.col("id") % 700)).alias("source"), F.lit("clash").alias("_rate"))
+    want = sorted(map(str, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "LARGE_SOURCES", 10)  # all but one are joined by source
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == want
+
+
 # archives
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://c\r\nX: y", ""), (None, "http://d", "<p>x</p>"), (5, "u", "é" * 400_000), (2, "http://b2", "<p>x</p>")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record_type", F.lit("clash")).repartition(2)
-    archives = warc.write_archives(df, archive_bytes=500)
-    got = warc.read_archives(archives).collect()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record_type", F.lit("clash")).withColumn("_key", F.lit(1)).repartition(2)
+    warc.save_archives(df, f"file://{tmp_path}/a", archive_bytes=500)
+    got = warc.load_archives(spark, f"file://{tmp_path}/a").collect()
     assert len(got) == len(pages)
     for r in got:
         html = [(h or "").encode() for p, _, h in pages if p == r.page_id][0]
@@ -334,14 +358,60 @@ def test_warc_round_trip(spark):
         best = max((p for p in same if p is not None), default=None)
         assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == best else ("revisit", best))
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html
-    assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
-    assert {r.record_type for r in warc.read_archives(warc.write_archives(df, min_bytes=10**7)).collect()} == {"response"}
+    rows = spark.read.format("binaryFile").load(f"{tmp_path}/a/*.warc.gz").select(F.col("path").alias("archive"), "content")
+    names = ["page_id", "record_type", "payload_digest", "record_id"]
+    assert sorted(map(str, warc.read_archives(rows, payloads=False).select(names).collect())) == sorted(map(str, warc.load_archives(spark, f"{tmp_path}/a", payloads=False).select(names).collect()))
+    warc.save_archives(df.limit(0), str(tmp_path / "none"))
+    assert warc.load_archives(spark, str(tmp_path / "none")).count() == 0
+    warc.save_archives(df, str(tmp_path / "large"), min_bytes=10**7)
+    assert {r.record_type for r in warc.load_archives(spark, str(tmp_path / "large")).collect()} == {"response"}
 
 
-def test_warc_files(spark, tmp_path):
+def test_warc_files_are_one_member_a_record(spark, tmp_path):
     df = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}</p>") for k in range(50)], "page_id long, url string, html string")
-    warc.save_archives(warc.write_archives(df, archive_bytes=2000), str(tmp_path / "w"))
-    assert {r.page_id for r in warc.read_archives(warc.load_archives(spark, str(tmp_path / "w"))).collect()} == set(range(50))
+    warc.save_archives(df, str(tmp_path / "w"), archive_bytes=2000)
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    members = 0
+    for f in files:
+        data = f.read_bytes()
+        while data:
+            z = zlib.decompressobj(31)
+            assert z.decompress(data).startswith(b"WARC/1.1\r\n")
+            data, members = z.unused_data, members + 1
+    assert members == 50 and len(files) > 1
+
+
+def member(kind, block, *headers, end=b"\r\n\r\n"):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    head = [f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *headers]
+    return z.compress(b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + end) + z.flush()
+
+
+def test_warc_of_other_writers():
+    http = "Content-Type: application/http; msgtype=response"
+    body = b"<html>body</html>"
+    sha = hashlib.sha1(body)
+    archive = (
+        member("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields", "WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000001>")
+        + member("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request")
+        + member("response", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body, http, "WARC-Target-URI: http://a", "WARC-Record-ID: <urn:uuid:12345678-1234-1234-1234-123456789012>", f"warc-payload-digest: sha1:{sha.hexdigest()}")
+        + member("response", b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n11\r\n" + body + b"\r\n0\r\n\r\n", http, "WARC-Payload-Digest: " + "sha1:" + warc.base32_sha1(body))
+        + member("response", b"127.0.0.1", "Content-Type: text/dns", "WARC-Payload-Digest: md5:00")
+        + member("resource", body, "Content-Type: text/html") + member("metadata", b"a: b\r\n")
+        + member("revisit", b"", "WARC-Refers-To: <urn:uuid:12345678-1234-1234-1234-123456789012>", f"WARC-Payload-Digest: sha1:{warc.base32_sha1(body)}")
+        + member("response", b"HTTP/1.1 204 No Content\r\n\r\n", http)
+    )
+    want = [("response", 17), ("response", 28), ("response", 9), ("resource", 17), ("revisit", None), ("response", 0)]
+    for payloads in (True, False):
+        got = list(warc.read_records(io.BytesIO(archive), payloads))
+        assert [(r["record_type"], r["payload_bytes"]) for r in got] == want and {r["page_id"] for r in got} == {None}
+    assert list(warc.read_records(io.BytesIO(archive)))[0]["payload"] == body
+    assert got[4]["refers_to_id"] == got[0]["record_id"] and got[4]["payload_digest"] == warc.base32_sha1(body)
+    plain = b"".join(zlib.decompress(x, 31) for x in (member("resource", body), member("resource", b"")))
+    assert [r["payload_bytes"] for r in warc.read_records(io.BytesIO(plain))] == [17, 0]
+    for bad in (member("response", b"x", "WARC-Block-Digest: sha1:AAAA"), member("resource", body, f"WARC-Payload-Digest: sha1:{'A' * 32}"), member("resource", body, end=b""), member("resource", body)[:-12]):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(bad)))
 
 
 def test_warc_reader_refuses_bad_archives():
