@@ -6,7 +6,8 @@ precisely and drops candidates far below the threshold; the rest are confirmed o
 
 Large groups never become all pairs.  Documents with equal sets are one class.  First the
 members of a band bucket are compared with one hub each (the member that shares most buckets with others),
-which joins the most of every group.  Buckets that still hold several components are put together to groups; the members
+which joins the most of every group.  Members of buckets that still hold several components form groups, but only over
+the rare shingles that linked texts must share (so a template that many texts have makes no group); the members
 outside a group's main component are its query set, compared with the whole group in blocks of bounded
 size, each pair of blocks in a task of its own.  Odd sketches sieve, full sets decide, and a task returns
 no more links than join its components, however alike a group is.
@@ -29,8 +30,8 @@ from .base import partitions, stored
 from .graph import components
 
 BANDS, ROWS, SAMPLES, BITS = 32, 4, 192, 512
-#: Text of a block that a group's members are compared in.
-BLOCK_BYTES = 2 << 20
+#: Text of a block that a group's members are compared in; most shingles that are looked up in memory.
+BLOCK_BYTES, COMMON = 2 << 20, 20_000
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(71)).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS = BITS // 64
 
@@ -198,13 +199,40 @@ def _block_links(block: pa.Table, n: int, percent: int) -> list[tuple[int, int]]
     return out
 
 
+def _rare_edges(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect all ``members`` (id, component, n_shingles, text) which may be linked across components.
+
+    Shingles are put in one order for all texts: first those that a single component has, then the rest from rare to
+    common.  Two texts of which ``percent`` % of the shingles are common share one of the first (100 - percent) % of each, plus one.  So
+    texts that have something in common, but not nearly enough, and be it the template of a whole site, fall out here: what is first
+    in each is its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in hs.pieces(batches, "text"):
+            bounds, h, _ = _sets(piece.column(3), n)
+            row = pa.array(np.repeat(np.arange(piece.num_rows), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([*[piece.column(k).take(row) for k in range(3)], pa.array(h.view(np.int64))], ["id", "component", "n_shingles", "h"])
+
+    rows = stored(members.select("id", "component", "n_shingles", "text").mapInArrow(run, "id long, component long, n_shingles long, h long"), "shingles")
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    counts = stored(counts.where("lo <> hi").select("h", "n"), "counts")
+    # the commonest are looked up where they are, COMMON of them at most; they would be hot keys of the join
+    common = counts.where(F.col("n") > rows.count() // COMMON)
+    shared = rows.join(F.broadcast(common), "h").unionByName(rows.join(F.broadcast(common), "h", "left_anti").join(counts.hint("merge"), "h"))
+    own = shared.groupBy("id", "component", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("keys"))
+    first = F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1 - (F.col("n_shingles") - F.size("keys"))
+    keys = stored(own.where(first > 0).select("id", "component", F.explode(F.slice("keys", F.lit(1), first.cast("int"))["h"]).alias("h")), "keys")
+    hubs = keys.groupBy("h").agg(F.min("id").alias("b"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h", "b")
+    return keys.join(hubs, "h").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+
+
 def _group_links(bands: DataFrame, nodes: DataFrame, hubs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between the components of groups of split buckets (the queries of a group against all of it)."""
-    # a member's buckets are linked by its smallest hub: at most one edge for each band, few of them different
-    mine = bands.join(hubs, "key").groupBy("id").agg(F.collect_set("hub").alias("hubs")).select("id", "hubs", F.array_min("hubs").alias("b"))
-    edges = mine.select(F.explode(F.array_union("hubs", F.array("id"))).alias("a"), "b").where("a <> b").distinct()
-    groups = components(edges).withColumnRenamed("component", "group")
-    members = stored(groups.join(nodes.drop("score", "rep"), "id").join(texts, "id"), "members")
+    """(a, b): links between the components of groups among the members of split buckets (the queries of a group against all of it)."""
+    split = bands.join(hubs, "key").select("id").distinct()
+    split = stored(split.join(nodes.drop("score", "rep"), "id").join(texts, "id"), "split")
+    groups = components(_rare_edges(split, n, percent)).withColumnRenamed("component", "group")
+    members = stored(groups.join(split, "id"), "members")
     size = F.octet_length("text")
     parts = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(size).alias("bytes"))
     plan = parts.groupBy("group").agg(F.max(F.struct("m", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
@@ -251,7 +279,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     one of those in the component.  Null, empty and blank texts have no set and stand alone.  Rows that
     repeat an id are rows of their own, each in the component of its text.  Rows with a null id are linked
     like others but never name a component that has an id; a null component means there is none.
-    Other columns are not read; an empty table gives an empty result.
+    Other columns are not read; an empty table gives an empty result.  A text of any length is hashed whole, by a task that
+    holds it.
 
     A pair at the threshold shares a band with chance 1 - (1 - 0.8**4)**32 > 1 - 5e-8, above it more.
     """

@@ -98,20 +98,55 @@ def test_drop_keeps_one_of_each(spark):
     assert sum(not shingles(t, 5) for _, t in kept) == 3
 
 
-def test_sketches_sieve_no_links():
+@pytest.mark.parametrize("shingles_", [5, 20, 60, 400])
+def test_sketches_sieve_no_links(shingles_):
+    """Pairs at or just above 0.8, 10,000 for each size: the sieve drops none, and all but a few in a million share a band."""
     import numpy as np
 
     from oligoflow.llm import hashing as hs
 
-    rng = np.random.default_rng(4)
-    a = hs.mix(rng.integers(0, 2**62, 1000).astype(np.uint64))
-    b = np.concatenate([a[:889], hs.mix(rng.integers(0, 2**62, 111).astype(np.uint64))])  # similarity 0.8
-    worst = 0
-    for _ in range(1):
-        m = near_dedup.min_hashes(np.array([0, 1000, 2000]), np.concatenate([a, b]))
-        s = near_dedup.odd_sketches(m).view(np.uint64)
-        worst = int(np.bitwise_count(s[0] ^ s[1]).sum())
-    assert worst <= near_dedup.sketch_limit(0.8)
+    rng = np.random.default_rng(shingles_)
+    pairs = 10_000
+    union = shingles_ if shingles_ > 5 else 5
+    common = -(-4 * union // 5)
+    h = hs.mix(rng.integers(0, 2**62, (pairs, union)).astype(np.uint64))
+    half = common + (union - common) // 2
+    a, b = h[:, :half], np.concatenate([h[:, :common], h[:, half:]], axis=1)
+    found = []
+    for x in (a, b):
+        m = near_dedup.min_hashes(np.arange(0, x.size + 1, x.shape[1]), np.ascontiguousarray(x).ravel())
+        found.append((near_dedup.odd_sketches(m).view(np.uint64), near_dedup.band_keys(m)))
+    apart = np.bitwise_count(found[0][0] ^ found[1][0]).sum(axis=1)
+    assert (apart <= near_dedup.sketch_limit(0.8)).all()
+    assert (found[0][1] == found[1][1]).any(axis=1).all()
+
+
+def test_templates_make_no_groups(spark, monkeypatch):
+    """2,000 texts that share a third of their shingles, none linked: no pair of blocks is compared."""
+    rng = random.Random(6)
+    template = [f"t{k}" for k in range(40)]
+    rows = [(d, " ".join(template + [f"u{d}x{k}" for k in range(80)])) for d in range(2000)]
+    rows += [(5000 + d, t) for d, t in near_copies(8, groups=3, copies=8)]
+    rng.shuffle(rows)
+    seen = []
+    plain = near_dedup._rare_edges
+    monkeypatch.setattr(near_dedup, "_rare_edges", lambda *x: seen.append(near_dedup.stored(plain(*x), "edges")) or seen[-1])
+    _, got = report(spark, rows, 5)
+    got = got.collect()
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id < 2000)
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id >= 5000} == {(d, c) for d, _, c in brute_components([x for x in rows if x[0] >= 5000], 5, 80)}
+    assert seen[0].count() < 30
+
+
+def test_very_long_texts(spark):
+    long = [f"w{k}" for k in range(150_000)]
+    near = long[:70_000] + ["other"] * 3000 + long[73_000:]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long)), (4, "x" * 1_000_000), (5, "")]
+    _, got = report(spark, rows, 5)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(long[-30:]))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contamination(df, items).collect()} == {1, 2, 3}
 
 
 @pytest.mark.parametrize("edges", [[], [(5, 3), (3, 9), (9, 1), (20, 21)], [(k, k + 1) for k in range(40)], [(100, k) for k in range(60)]])
