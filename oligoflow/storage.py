@@ -4,23 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_JOBS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one if it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  If it is unset, a new one on a local master (tests), ValueError on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="oligoflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call has."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call has; inside :func:`job`, in the job's folder."""
+    return f"{_JOBS[-1] if _JOBS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[str]:
+    """A scope whose intermediate tables are deleted at its end; write results elsewhere before it ends.
+
+    Outside of one they stay, since a DataFrame that is still to be computed may read them.
+    """
+    folder = f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+    _JOBS.append(folder)
+    try:
+        yield folder
+    finally:
+        _JOBS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:

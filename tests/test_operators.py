@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from oligoflow.functions import sequences as sq
 from oligoflow.operators import align, browse, cluster, compare, counts, diversity, kmer, preprocess, profile
 from oligoflow.sources import files
-from oligoflow.storage import numbered
+from oligoflow.storage import job, numbered
 
 
 def reads(spark, *seqs):
@@ -32,6 +32,16 @@ def test_empty_counts(spark):
     assert counts.population_totals(table(spark, [("A", 1)]).limit(0)).first().asDict() == {"unique_sequences": 0, "total_reads": 0}
 
 
+def test_jobs_delete_their_tables(spark, tmp_path):
+    import os
+
+    with job(spark) as folder:
+        out = numbered(spark.range(50), [F.col("id").desc()], "n")
+        assert os.listdir(folder.removeprefix("file://"))
+        out.write.parquet(str(tmp_path / "out"))
+    assert not os.path.exists(folder.removeprefix("file://")) and spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
 def test_numbering_equals_a_window(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 101).alias("a"), "id")
     got = {r.id: r.n for r in numbered(df, [F.col("a").desc(), F.col("id")], "n").collect()}
@@ -254,3 +264,14 @@ def test_csv_headers(spark, tmp_path):
 def test_numbers(spark):
     df = spark.createDataFrame([("1.5",), ("x",), ("inf",), ("NaN",), (None,)], "t string")
     assert [r.v for r in df.select(sq.to_number(F.col("t")).alias("v")).collect()] == [1.5, None, None, None, None]
+
+
+def test_clusters_of_greedy_clustering_reach_positions(spark):
+    """cluster_led -> recluster -> position_enrichment on real clusters, by hand."""
+    a = table(spark, [("ACGTACGTAC", 50), ("ACGTACGTAA", 20), ("GGGGGTTTTT", 30)])
+    b = table(spark, [("ACGTACGTAC", 20), ("ACGTACGTAA", 60), ("CCCCCCCCCC", 20)])
+    one, two = (cluster.cluster_led(x, min_reads=1, max_led=3, total_clusters=5) for x in (a, b))
+    got = {r.sequences: (r.Cluster, r.Enrichment) for r in compare.recluster(one, two).collect()}
+    assert got == {"ACGTACGTAC": (1, 0.4), "ACGTACGTAA": (1, 3.0), "GGGGGTTTTT": (2, None), "CCCCCCCCCC": (3, None)}
+    means = {(r.Residue, r.Position): r.AvEnrich for r in align.position_enrichment(compare.recluster(one, two), 1).collect() if r.AvEnrich is not None}
+    assert means[("A", 1)] == 1.7 and means[("C", 10)] == 0.4 and means[("A", 10)] == 3.0
