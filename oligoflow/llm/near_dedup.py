@@ -200,7 +200,7 @@ def _block_links(block: pa.Table, n: int, percent: int) -> list[tuple[int, int]]
 
 
 def _rare_edges(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): edges that connect all ``members`` (id, component, n_shingles, text) which may be linked across components.
+    """(a, b): edges from ``members`` (id, component, n_shingles, text) to shingles, which connect all that may be linked across components.
 
     Shingles are put in one order for all texts: first those that a single component has, then the rest from rare to
     common.  Two texts of which ``percent`` % of the shingles are common share one of the first (100 - percent) % of each, plus one.  So
@@ -222,9 +222,7 @@ def _rare_edges(members: DataFrame, n: int, percent: int) -> DataFrame:
     shared = rows.join(F.broadcast(common), "h").unionByName(rows.join(F.broadcast(common), "h", "left_anti").join(counts.hint("merge"), "h"))
     own = shared.groupBy("id", "component", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("keys"))
     first = F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1 - (F.col("n_shingles") - F.size("keys"))
-    keys = stored(own.where(first > 0).select("id", "component", F.explode(F.slice("keys", F.lit(1), first.cast("int"))["h"]).alias("h")), "keys")
-    hubs = keys.groupBy("h").agg(F.min("id").alias("b"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h", "b")
-    return keys.join(hubs, "h").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    return own.where(first > 0).select(F.col("id").alias("a"), F.explode(F.slice("keys", F.lit(1), first.cast("int"))["h"]).alias("b"))
 
 
 def _group_links(bands: DataFrame, nodes: DataFrame, hubs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -235,7 +233,7 @@ def _group_links(bands: DataFrame, nodes: DataFrame, hubs: DataFrame, texts: Dat
     members = stored(groups.join(split, "id"), "members")
     size = F.octet_length("text")
     parts = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("m"), F.sum(size).alias("bytes"))
-    plan = parts.groupBy("group").agg(F.max(F.struct("m", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
+    plan = parts.groupBy("group").agg(F.max(F.struct("m", "component", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda x: F.ceil(x / BLOCK_BYTES).cast("int")
     plan = stored(plan.select("group", F.col("main.component").alias("main"), blocks(F.col("bytes") + 1).alias("n_other"), blocks(F.col("bytes") - F.col("main.bytes") + 1).alias("n_query")), "plan")
     all_ = members.join(plan, "group").withColumn("h", F.xxhash64("id"))
