@@ -37,8 +37,8 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256
 #: Bytes are pairs of hexadecimal digits here.
 SUFFIX_DEDUP = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-part AS (SELECT doc_id, at, substring(h, 2 * at + 1, 2798) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399, 1000)) AS at FROM d)),
-win AS (SELECT doc_id, at + i AS i, md5(substring(h, 2 * i + 1, 800)) AS key FROM (SELECT doc_id, at, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM part)),
+part AS (SELECT doc_id, since, substring(h, 2 * since + 1, 2798) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399, 1000)) AS since FROM d)),
+win AS (SELECT doc_id, since + i AS i, md5(substring(h, 2 * i + 1, 800)) AS key FROM (SELECT doc_id, since, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM part)),
 twice AS (SELECT key FROM win GROUP BY key HAVING count(*) > 1),
 hit AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS new FROM win JOIN twice USING (key)),
 run AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
