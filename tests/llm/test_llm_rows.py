@@ -426,3 +426,27 @@ def test_warc_reader_refuses_bad_archives():
     broken = z.compress(plain.replace(b"payload\r\n", b"paYload\r\n")) + z.flush()
     with pytest.raises(ValueError, match="digest"):
         list(warc.read_records(io.BytesIO(broken)))
+
+
+def test_toxicity_differences_by_hand(spark):
+    """Counts by text, shared counts and shrunk differences of every word, against plain Python."""
+    import math
+
+    rows = [("grimslur plain plain plain", 1), ("grimslur words", 1), ("vile plainly", 1), ("plain words of texts", 0), ("plain texts texts", 0), ("words of plainness", 0), ("", 0)]
+    model = toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int"))
+    kinds = {w: [sum(w in t.split() for t, y in rows if y == c) for c in (0, 1)] for t, _ in rows for w in t.split()}
+    stem = lambda w: w[: toxicity.STEM_BYTES]
+    stems = {stem(w): [sum(any(stem(x) == stem(w) for x in t.split()) for t, y in rows if y == c) for c in (0, 1)] for w in kinds}
+
+    def log_ratio(n, h, t):
+        shared = min(sum(n) / max(sum(h), 1), 1.0)
+        p = [(max(n[c] - 0.75, 0) + 3.0 + 0.75 * t[c] * shared) / (h[c] * shared + 3.0) for c in (0, 1)]
+        return math.log(p[1] / p[0]) if sum(n) else 0.0
+
+    total, types = [[f(x[c] for x in stems.values()) for c in (0, 1)] for f in (sum, lambda xs: sum(x > 0 for x in xs))]
+    for w, n in kinds.items():
+        inside = [v for x, v in kinds.items() if stem(x) == stem(w)]
+        d = log_ratio(stems[stem(w)], total, types) + log_ratio(n, [sum(v[c] for v in inside) for c in (0, 1)], [sum(v[c] > 0 for v in inside) for c in (0, 1)])
+        want = math.copysign(max(abs(d) - toxicity.MARGIN, 0), d)
+        _, s, h = toxicity._words(pa.array([w]))
+        assert model.held.value.steps(s, h)[0] == pytest.approx(want, abs=1e-6), w
