@@ -17,16 +17,20 @@ from . import hashing as hs
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Largest share of the word characters that may lie inside n-grams of this many words found twice or
+#: Largest percentage of the word characters that may lie inside n-grams of this many words found twice or
 #: more in the text (all places counted), and inside lines that occur twice or more.
-NGRAM_SHARES = {5: 0.50, 8: 0.45, 12: 0.40}
-LINE_SHARE = 0.50
-#: Largest share of symbol characters to word characters.
-SYMBOL_SHARE = 0.10
+NGRAM_PERCENT = {5: 50, 8: 45, 12: 40}
+LINE_PERCENT = 50
+#: The same for texts of this many words or more, in which one repeated sentence is no large share.
+LONG_WORDS = 200
+LONG_NGRAM_PERCENT = {5: 30, 8: 25, 12: 20}
+LONG_LINE_PERCENT = 25
+#: Largest percentage of symbol characters to word characters.
+SYMBOL_PERCENT = 10
 
 _SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_SHARES)
+    "base_failed boolean, kept boolean, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_PERCENT)
 )
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -80,20 +84,21 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     row_of = np.repeat(np.arange(n), n_words)
     row_end = np.repeat(rows[1:], n_words)
     at = np.arange(len(start))
-    for k in sorted({3, *NGRAM_SHARES}):
+    for k in sorted({3, *NGRAM_PERCENT}):
         at = at[at + k <= row_end[at]]
         same, _ = _twice(row_of[at], hs.ranges(word_sums, at, at + k, "word"))
         at = at[same]
         inside = hs.covered(at, k, len(start))
         if k == 3:
             out["n_repeat_words"] = hs.sums_by_row(inside, rows)
-        if k in NGRAM_SHARES:
+        if k in NGRAM_PERCENT:
             out[f"dup_{k}gram_chars"] = hs.sums_by_row(inside * word_points, rows)
     failed = (n_words < MIN_WORDS) | (100 * out["n_repeat_words"] > 50 * n_words)
     chars = np.maximum(out["word_chars"], 1)
-    good = (out["dup_line_chars"] <= LINE_SHARE * chars) & (out["n_symbols"] <= SYMBOL_SHARE * chars)
-    for k, share in NGRAM_SHARES.items():
-        good &= out[f"dup_{k}gram_chars"] <= share * chars
+    long = n_words >= LONG_WORDS
+    good = (100 * out["dup_line_chars"] <= np.where(long, LONG_LINE_PERCENT, LINE_PERCENT) * chars) & (100 * out["n_symbols"] <= SYMBOL_PERCENT * chars)
+    for k, percent in NGRAM_PERCENT.items():
+        good &= 100 * out[f"dup_{k}gram_chars"] <= np.where(long, LONG_NGRAM_PERCENT[k], percent) * chars
     return out | {"base_failed": failed, "kept": ~failed & good}
 
 
@@ -101,7 +106,8 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row of measures and the verdict for each row of ``docs``.
 
     Null and empty texts have no words and fail; repeated ids give one row each; a null id stays null;
-    other columns of ``docs`` are not read; an empty table gives an empty result.
+    other columns of ``docs`` are not read; an empty table gives an empty result.  A share exactly at its limit passes.  A text of any
+    length is measured whole, by a task that holds it.
     """
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
 

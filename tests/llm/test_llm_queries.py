@@ -53,8 +53,9 @@ def test_secrets_of_documents(spark, duck):
 
 def passes(text):
     m = brute_quality(text)
-    chars, shares = max(m[1], 1), quality.NGRAM_SHARES.values()
-    return not m[5] and m[6] <= quality.LINE_SHARE * chars and m[2] <= quality.SYMBOL_SHARE * chars and all(x <= s * chars for x, s in zip(m[7:], shares, strict=True))
+    chars, long = max(m[1], 1), m[0] >= quality.LONG_WORDS
+    limits = (quality.LONG_LINE_PERCENT, *quality.LONG_NGRAM_PERCENT.values()) if long else (quality.LINE_PERCENT, *quality.NGRAM_PERCENT.values())
+    return not m[5] and 100 * m[2] <= quality.SYMBOL_PERCENT * chars and all(100 * x <= s * chars for x, s in zip(m[6:], limits, strict=True))
 
 
 def copies_of(doc_id, rate):

@@ -116,7 +116,7 @@ def brute_quality(text):
     out = [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside), failed]
     counts = collections.Counter(lines)
     out.append(sum(len(x) for y in lines if counts[y] > 1 for x in WORD.findall(y)))
-    for n in quality.NGRAM_SHARES:
+    for n in quality.NGRAM_PERCENT:
         seen = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
         inside = set()
         for i in range(len(w) - n + 1):
@@ -136,7 +136,7 @@ def test_quality(spark):
     assert len(full) == len(rows)
     for d, t in rows:
         want = brute_quality(t)
-        mine = [r for r in full if r.doc_id == d and [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.dup_line_chars, *[r[f"dup_{n}gram_chars"] for n in quality.NGRAM_SHARES]] == want]
+        mine = [r for r in full if r.doc_id == d and [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.dup_line_chars, *[r[f"dup_{n}gram_chars"] for n in quality.NGRAM_PERCENT]] == want]
         assert mine, (d, want, [tuple(r) for r in full if r.doc_id == d])
     assert got[7, 80] is not None
     left = quality.quality_filter(frame(spark, rows))
@@ -144,6 +144,24 @@ def test_quality(spark):
     assert quality.quality_report(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_quality_of_repeats_within_the_base_rule(spark):
+    """Texts that the base rule passes: a passage found twice in a long text, a limit met exactly, and the same in a short text."""
+    fresh = iter(f"w{k:04d}" for k in range(9999))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    line = lambda n: " ".join(new(n))
+    twice, exact, short = new(36), line(25), new(12)
+    rows = [
+        (1, " ".join(new(100) + twice + new(60) + twice + new(8))),  # 72 of 240 words: 30 % inside 12-grams found twice
+        (2, "\n".join([line(100), exact, line(50), exact])),  # 50 of 200 words in repeated lines and n-grams: 25 %
+        (3, " ".join(new(20) + short + new(6) + short + new(20))),  # 24 of 70 words: 34 %, but a short text
+        (4, " ".join(new(300))),
+    ]
+    got = {r.doc_id: r for r in quality.quality_report(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[k].kept for k in (1, 2, 3, 4)] == [False, False, True, True]
+    assert 100 * got[2].dup_line_chars == quality.LONG_LINE_PERCENT * got[2].word_chars  # its 12-grams reject it, not its lines
+
+
 # secrets
 
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile(r"(AKIA[A-Z0-9]+)"), 1, 18), ("hex", re.compile(r"([0-9a-f]+)"), 1, 16)]
@@ -193,8 +211,9 @@ def test_markov_models_find_planted_tokens(spark):
         lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n], lambda n: base64.urlsafe_b64encode(rng.randbytes(n)).decode()[:n],
         lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)), lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n)),
     ]
-    planted = [(1000 + k, f"see {kinds[k % 4](20 + k * 44 // 399)} here") for k in range(400)]
+    planted = [(1000 + k, f"see {kinds[k % 4](12 + k * 52 // 399)} here") for k in range(400)]
     plain = [(2000 + k, f"see {rng.choice(words)}{rng.choice(words)} here") for k in range(100)]
+    plain += [(2100 + k, f"SEE {w.upper()} or {w.title()}") for k, w in enumerate(words) if w.isalpha()]
     got = {r.doc_id: r.spans for r in secrets.secret_report(frame(spark, [*rows, *planted, *plain])).collect()}
     assert sum("markov:" in got[d] for d, _ in planted) >= 0.95 * len(planted)
     assert not any(got[d] for d, _ in plain)
