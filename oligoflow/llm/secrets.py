@@ -23,7 +23,9 @@ BASE_KINDS = [
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "([A-Za-z0-9+/_=-]{%d,})"
 #: Shortest token that the models judge, and shortest ordinary identifier they are trained on.
-TOKEN_CHARS, IDENTIFIER_CHARS = 20, 12
+TOKEN_CHARS, IDENTIFIER_CHARS = 12, 12
+#: Tokens in letters of one case, or capitalised, are words whatever the models say: samples of secrets hold too few letters in a row to tell.
+WORD_SHAPE = "^([A-Z]?[a-z]+|[A-Z]+)$"
 #: Long words count as ordinary identifiers unless they have digits, signs or capitals close together (unknown secrets do).
 NOT_ORDINARY = "[0-9+/=]|[A-Z].?[A-Z]"
 #: A token is a span if its log-likelihood ratio is at least this in all, and at least this for each step.
@@ -110,7 +112,7 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", base_col:
     other = f"filter({tokens}, s -> NOT exists(`{base_col}`, b -> b.start < s.end AND s.start < b.end))"
     token = f"substring({text}, s.start + 1, s.end - s.start)"
     score = f"aggregate({_pairs('u.w')}, 0D, (x, i) -> x + element_at(cast({ratios} AS array<double>), i))"
-    judged = f"filter(transform({other}, s -> named_struct('s', s, 'w', {token})), u -> {score} >= greatest({LEAST_RATIO}D, {LEAST_MEAN_RATIO}D * (length(u.w) - 1)))"
+    judged = f"filter(transform({other}, s -> named_struct('s', s, 'w', {token})), u -> NOT u.w RLIKE '{WORD_SHAPE}' AND {score} >= greatest({LEAST_RATIO}D, {LEAST_MEAN_RATIO}D * (length(u.w) - 1)))"
     return _once(out, spans_col, F.expr(f"array_sort(concat(`{base_col}`, transform({judged}, u -> u.s)))"))
 
 
