@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as hs
+from . import sieve
+from .base import stored
 
-#: Items are broadcast up to this many bytes of text; beyond it shingles are joined instead.
+#: Items are broadcast up to this many bytes of text; beyond it their minima are joined, behind a Bloom filter of fixed size.
 BROADCAST_BYTES = 16 << 20
 _RESULT = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
@@ -77,7 +79,11 @@ def _index(items: DataFrame, n: int, percent: int):
 
 
 def _joined(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, item_id, shared, item_shingles) for many items: shingles meet in a join, by a digest of the text."""
+    """(key, item_id, shared, item_shingles) for many items: shingles meet in a join, by a digest of the text.
+
+    Only shingles that a Bloom filter of the items' minima lets pass are shuffled, and only texts that have a
+    candidate travel to be confirmed.
+    """
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in hs.pieces(batches, "text"):
@@ -87,11 +93,12 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFram
             keep = rank < np.repeat(sketch_lengths(sizes, percent), sizes)
             yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(item[keep])), pa.array(h[keep].view(np.int64))], ["item", "h"])
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in hs.pieces(batches, "text"):
             bounds, h = shingle_sets(piece.column(1), n)
-            row = np.repeat(np.arange(piece.num_rows), np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(h.view(np.int64))], ["key", "h"])
+            maybe = sieve.hash_passes(known.value, h)
+            row = np.repeat(np.arange(piece.num_rows), np.diff(bounds))[maybe]
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(h[maybe].view(np.int64))], ["key", "h"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in hs.pieces(batches, "text"):
@@ -100,11 +107,13 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFram
             keep = pa.array(100 * shared >= percent * np.diff(bi))
             yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (piece.column(0), piece.column(2), pa.array(shared), pa.array(np.diff(bi)))], ["key", "item_id", "shared", "item_shingles"])
 
-    keyed = docs.select(F.sha2("text", 256).alias("key"), "text").where("text IS NOT NULL").dropDuplicates(["key"])
+    keyed = docs.select(F.sha2("text", 256).alias("key"), "text").where("text IS NOT NULL")
     held = items.select(F.sha2("text", 256).alias("item"), "item_id", F.col("text").alias("item_text")).where("item_text IS NOT NULL")
-    small = held.select("item", F.col("item_text").alias("text")).dropDuplicates(["item"]).mapInArrow(minima, "item string, h long")
-    found = keyed.mapInArrow(every, "key string, h long").join(small, "h").select("key", "item").distinct()
-    return found.join(keyed, "key").join(held, "item").select("key", "item", "item_id", "text", "item_text").mapInArrow(verify, "key string, item_id long, shared long, item_shingles long")
+    small = stored(held.select("item", F.col("item_text").alias("text")).dropDuplicates(["item"]).mapInArrow(minima, "item string, h long"), "minima")
+    known = sieve.sieve(small.select("h"), hashed=True)
+    found = stored(keyed.mapInArrow(hits, "key string, h long").distinct().join(small, "h").select("key", "item").distinct(), "candidates")
+    texts = sieve.sieved(keyed, F.col("key"), sieve.sieve(found.select("key"))).dropDuplicates(["key"])
+    return found.join(texts, "key").join(held, "item").select("key", "item", "item_id", "text", "item_text").mapInArrow(verify, "key string, item_id long, shared long, item_shingles long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -113,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 5, percent: int =
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are not read.  Words are runs
     without white space with A-Z lower-cased; an item of fewer than ``n`` words is one shingle.  Null, empty
     and blank texts contain nothing and are contained in nothing.  Rows that repeat an id, and null ids, give
-    rows of their own.  No documents or no items: no rows.
+    rows of their own.  No documents or no items: no rows.  A text of any length is searched whole, by a task that holds it.
     """
     docs, items = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text"), items.selectExpr("cast(item_id AS long) AS item_id", "text")
     index = _index(items, n, percent)
@@ -133,11 +142,14 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 5, percent: int =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text contains no item."""
+    """The rows of ``docs``, with all their columns (whatever their names), whose text contains no item."""
     index = _index(items.selectExpr("cast(item_id AS long) AS item_id", "text"), n, percent)
     if index is None:
-        bad = _joined(docs, items, n, percent).select(F.col("key").alias("_bad")).distinct()
-        return docs.join(bad, F.sha2(docs["text"], 256) == F.col("_bad"), "left_anti")
+        name = "_bad"
+        while name in {x.lower() for x in docs.columns}:
+            name += "_"
+        bad = _joined(docs, items, n, percent).select(F.col("key").alias(name)).distinct()
+        return docs.join(bad, F.sha2("text", 256) == F.col(name), "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in hs.pieces(batches, "text"):

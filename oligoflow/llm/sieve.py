@@ -20,9 +20,15 @@ def places(key: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BITS)).alias(f"_bit{seed}") for seed in (1, 2)]
 
 
-def sieve(keys: DataFrame) -> Broadcast:
+def hash_places(h: Column) -> list[Column]:
+    """The two bits of a key that is a mixed 64-bit hash already: its lowest bits, as :func:`hash_passes` reads them."""
+    return [h.bitwiseAND(BITS - 1), F.shiftrightunsigned(h, 26).bitwiseAND(BITS - 1)]
+
+
+def sieve(keys: DataFrame, hashed: bool = False) -> Broadcast:
     """The filter of the only column of ``keys``; at most BITS / 64 rows of two numbers reach the driver."""
-    bit = keys.select(F.explode(F.array(*places(F.col(keys.columns[0])))).alias("p"))
+    key = F.col(keys.columns[0])
+    bit = keys.select(F.explode(F.array(*(hash_places(key) if hashed else places(key)))).alias("p"))
     words = bit.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
@@ -37,6 +43,14 @@ def passes(bits: np.ndarray, a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def hash_passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of these hashes (unsigned) the filter of a ``hashed`` sieve lets pass."""
+    out = np.ones(len(h), bool)
+    for p in (h & np.uint64(BITS - 1), (h >> np.uint64(26)) & np.uint64(BITS - 1)):
+        out &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def sieved(df: DataFrame, key: Column, bits: Broadcast) -> DataFrame:
     """The rows of ``df`` whose key may be in the filter."""
 

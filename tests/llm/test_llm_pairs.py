@@ -178,7 +178,7 @@ def test_containment(spark, monkeypatch, limit):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
     filler = " ".join(f"f{k}" for k in range(3000))
     docs = [(1, f"{filler} {ITEMS[0][1].upper()} {filler}"), (2, "tiny item"), (3, "a tiny item"), (4, None), (5, ""), (None, "one two three four five six seven"), (6, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (6, "p q r s t u v w x y z"), (7, filler)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("_bad", F.lit("clash"))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id, r.shared, r.item_shingles) for r in decontam.contamination(df, items).collect()), key=str)
     assert got == brute_hits(docs, ITEMS)
