@@ -98,7 +98,7 @@ class Run:
         keys, places, known, bucket = keys[order], places[order], known[order], bucket[order]
         low = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
         found, at = np.unique(bucket, return_index=True)
-        ends = np.append(at[1:], len(bucket))
+        ends = np.append(at[1:], len(bucket))[: len(at)]  # texts too short for a fingerprint fill no bucket
         home = self.number % (1 << self.bits)
         out = [(home, b"", _pack_places(local), b"", pack_docs(self.docs, np.concatenate(self.starts)))]
         held = len(out[0][2])

@@ -34,17 +34,28 @@ LEAST_RATIO, LEAST_MEAN_RATIO = 12.0, 0.5
 #: A text without any of these strings (in lower case for the first kind) has no match of the kind; a plain search is many times faster.
 NEEDED = {0: ("password", "passwd", "secret", "token", "api"), 1: ("AKIA",)}
 
+#: Matches that are put together at a time.
+CHUNK = 512
 _SPAN = "struct<start:int,kind:int,end:int,value:int>"
 
 
-def _spans(text: str, kind: int, pattern: str, group: int, least: int) -> str:
-    """SQL of the array of spans of one pattern: gaps and matches in turn give the places."""
+def _spans(text: str, kind: int, pattern: str, group: int, least: int, words: bool = False) -> str:
+    """SQL of the array of spans of one pattern: gaps and matches in turn give the places.
+
+    With ``words`` the elements are structs of the span (s) and the match (w).  Matches are taken CHUNK at a time, since
+    an array grows by copying.
+    """
     p = "r'" + pattern.replace("'", "\\x27") + "'"
-    found = f"aggregate(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})), " \
-        f"named_struct('pos', 0, 'out', cast(array() AS array<{_SPAN}>)), (acc, z) -> CASE WHEN z.`1` IS NULL THEN acc ELSE named_struct('pos', acc.pos + length(z.`0`) + length(z.`1`), " \
-        f"'out', CASE WHEN length(z.`2`) >= {least} THEN concat(acc.out, array(named_struct('start', acc.pos + length(z.`0`), 'kind', {kind}, 'end', acc.pos + length(z.`0`) + length(z.`1`), 'value', length(z.`2`)))) ELSE acc.out END) END, acc -> acc.out)"
+    kind_of = f"struct<s:{_SPAN},w:string>" if words else _SPAN
+    none = f"cast(array() AS array<{kind_of}>)"
+    span = f"named_struct('start', acc.pos + length(z.`0`), 'kind', {kind}, 'end', acc.pos + length(z.`0`) + length(z.`1`), 'value', length(z.`2`))"
+    item = f"named_struct('s', {span}, 'w', z.`1`)" if words else span
+    zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
+    inner = f"aggregate(slice(all, c * {CHUNK} + 1, {CHUNK}), named_struct('pos', outer.pos, 'out', {none}), (acc, z) -> CASE WHEN z.`1` IS NULL THEN acc ELSE named_struct('pos', acc.pos + length(z.`0`) + length(z.`1`), " \
+        f"'out', CASE WHEN length(z.`2`) >= {least} THEN concat(acc.out, array({item})) ELSE acc.out END) END, acc -> named_struct('pos', acc.pos, 'out', concat(outer.out, array(acc.out))))"
+    found = f"transform(array({zipped}), all -> aggregate(sequence(0, (size(all) - 1) div {CHUNK}), named_struct('pos', 0, 'out', cast(array() AS array<array<{kind_of}>>)), (outer, c) -> {inner}, outer -> flatten(outer.out)))[0]"
     needed = " OR ".join(f"contains({f'lower({text})' if kind == 0 else text}, '{x}')" for x in NEEDED.get(kind, ())) or "true"
-    return f"CASE WHEN ({needed}) AND {text} RLIKE {p} THEN {found} ELSE cast(array() AS array<{_SPAN}>) END"
+    return f"CASE WHEN ({needed}) AND {text} RLIKE {p} THEN {found} ELSE {none} END"
 
 
 def base_spans(text: str) -> Column:
@@ -59,9 +70,10 @@ def _redacted(text: str, spans: str, mark: str) -> str:
 
 
 def _pairs(token: str) -> str:
-    """SQL of the array of character pairs of a token, each as one number."""
-    n = len(ALPHABET)
-    return f"transform(sequence(1, length({token}) - 1), i -> (locate(substring({token}, i, 1), '{ALPHABET}') - 1) * {n} + locate(substring({token}, i + 1, 1), '{ALPHABET}'))"
+    """SQL of the array of character pairs of a token, each as one number, in time that follows its length."""
+    n, chars = len(ALPHABET), f"split({token}, '')"
+    pairs = f"zip_with({chars}, slice({chars}, 2, greatest(length({token}) - 1, 0)), (a, b) -> (locate(a, '{ALPHABET}') - 1) * {n} + locate(b, '{ALPHABET}'))"
+    return f"slice({pairs}, 1, greatest(length({token}) - 1, 0))"  # the last character has no next
 
 
 def _once(df: DataFrame, name: str, x: Column) -> DataFrame:
@@ -82,7 +94,8 @@ def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     words = f"filter(regexp_extract_all({rest}, r'{TOKEN % IDENTIFIER_CHARS}', 1), w -> NOT w RLIKE '{NOT_ORDINARY}')"
     secret = "transform(b, s -> regexp_replace(substring(t, s.end - s.value + 1, s.value), '[^A-Za-z0-9+/_=-]', ''))"
     samples = spans.select(F.expr(f"concat(transform({secret}, x -> named_struct('y', 1, 'w', x)), transform({words}, x -> named_struct('y', 0, 'w', x)))").alias("x")).select(F.explode("x").alias("x"))
-    samples = samples.where("length(x.w) >= 2").select("x.y", F.explode(F.expr(_pairs("x.w"))).alias("pair"))
+    # the pairs are a column of their own, so that rows of one pair don't carry the token they are from
+    samples = samples.where("length(x.w) >= 2").select("x.y", F.expr(_pairs("x.w")).alias("pairs")).select("y", F.explode("pairs").alias("pair"))
     counts = {(r["y"], r["pair"]): r["n"] for r in samples.groupBy("y", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not {0, 1} <= {y for y, _ in counts}:
         return [0.0] * (n * n)
@@ -108,11 +121,9 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", base_col:
     text = f"coalesce(`{text_col}`, '')"
     ratios = "split('" + ",".join(f"{x:.5g}" for x in model) + "', ',')"
     out = _once(docs, base_col, base_spans(text))
-    tokens = _spans(text, len(BASE_KINDS), TOKEN % TOKEN_CHARS, 1, TOKEN_CHARS)
-    other = f"filter({tokens}, s -> NOT exists(`{base_col}`, b -> b.start < s.end AND s.start < b.end))"
-    token = f"substring({text}, s.start + 1, s.end - s.start)"
+    tokens = _spans(text, len(BASE_KINDS), TOKEN % TOKEN_CHARS, 1, TOKEN_CHARS, words=True)
     score = f"aggregate({_pairs('u.w')}, 0D, (x, i) -> x + element_at(cast({ratios} AS array<double>), i))"
-    judged = f"filter(transform({other}, s -> named_struct('s', s, 'w', {token})), u -> NOT u.w RLIKE '{WORD_SHAPE}' AND {score} >= greatest({LEAST_RATIO}D, {LEAST_MEAN_RATIO}D * (length(u.w) - 1)))"
+    judged = f"filter({tokens}, u -> NOT u.w RLIKE '{WORD_SHAPE}' AND NOT exists(`{base_col}`, b -> b.start < u.s.end AND u.s.start < b.end) AND {score} >= greatest({LEAST_RATIO}D, {LEAST_MEAN_RATIO}D * (length(u.w) - 1)))"
     return _once(out, spans_col, F.expr(f"array_sort(concat(`{base_col}`, transform({judged}, u -> u.s)))"))
 
 

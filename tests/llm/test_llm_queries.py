@@ -7,11 +7,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_llm_pairs import brute_components, brute_hits
 from test_llm_rows import brute_bytes, brute_quality, brute_secrets
 
 import corpus_pipeline
-from oligoflow.llm import quality, queries
+from oligoflow.llm import quality, queries, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +52,19 @@ def test_secrets_of_documents(spark, duck):
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (n, hashlib.sha256(spans.encode()).hexdigest())
 
 
+def test_token_counts_of_documents(spark, duck):
+    with open(token_counts.VOCABULARY, "rb") as f:
+        e = token_counts.encoder(f.read(), token_counts.PATTERN)
+    lengths = [len(e.encode_ordinary(t or "")) for (t,) in duck.sql("SELECT text FROM documents").fetchall()]
+    got = queries.QUERIES["op3_token_counts"](spark, SF).collect()
+    assert {r.n_tokens: r.n_docs for r in got} == dict(collections.Counter(lengths))
+    for r in got:
+        n = r.n_tokens
+        over = [x for x in lengths if x > n]
+        assert (r.docs_over, r.tokens_over, r.docs_within, r.tokens_within) == (len(over), sum(over), len(lengths) - len(over), sum(lengths) - sum(over))
+        assert r.truncated_tokens == sum(min(x, n) for x in lengths) and r.share_within == r.docs_within / len(lengths)
+
+
 def passes(text):
     m = brute_quality(text)
     chars, long = max(m[1], 1), m[0] >= quality.LONG_WORDS
@@ -108,3 +122,23 @@ def test_pipeline_runs_on_empty_and_odd_documents(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / f"{k}" / "benchmark.parquet"))
         got = corpus_pipeline.run(spark, str(tmp_path / f"{k}")).collect()
         assert {r.doc_id for r in got} <= {2} and all(r.text == good for r in got)
+
+
+def test_pipeline_keeps_a_callers_columns(spark):
+    """Columns with names that the operators use, ties and a very long text, in each stage but the last two names of mixing."""
+    names = ["_bad", "_set", "_base", "_spans", "_rate", "base", "spans", "kept", "component", "set_id", "group", "id", "key", "h", "n", "x", "label", "item_id", "n_words"]
+    good = " ".join(f"word{k}" for k in range(80))
+    long = " ".join(f"long{k}" for k in range(150_000))
+    rows = [(7, good, "a"), (7, good, "a"), (3, good, None), (None, good, "b"), (4, long, "b"), (5, long + " password=abcdefghijklmnop", "b"), (6, None, "c"), (8, "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(f"own {x}").alias(x) for x in names]).repartition(2)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        kept = docs.collect()
+        assert sorted(r.doc_id for r in kept if r.doc_id is not None) == ([3, 4, 5, 7, 7] if name == "quality_rules" else [3, 4]), name
+        assert all(r[x] == f"own {x}" for r in kept for x in names), name
+        docs = spark.createDataFrame(kept, docs.schema)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert mixed.columns == [*columns, "copy_no", "shuffle_key"]
+    assert all(r.text in (good, long) and r[x] == f"own {x}" for r in mixed.collect() for x in names)

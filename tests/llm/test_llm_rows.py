@@ -242,9 +242,42 @@ def test_histogram_and_sums(spark):
     assert token_counts.with_sums(token_counts.length_histogram(frame(spark, rows).limit(0))).count() == 0
 
 
+def test_runs_of_short_texts_only(spark):
+    """Tasks without a single window or tuple."""
+    rows = [(1, "short"), (2, "short"), (3, "")]
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in windows.remove_repeats(frame(spark, rows), 35).collect()} == {(1, 1, 0), (2, 1, 0), (3, 0, 0)}
+    assert {(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(frame(spark, rows), 400).collect()} == {(1, 5, 0), (2, 5, 0), (3, 0, 0)}
+
+
+def test_very_long_rows(spark):
+    """Texts of 2 MB through the operators that hold one in a task, against brute force."""
+    words = [f"w{k}" for k in range(290_000)]
+    twice = words[1000:1060]
+    long = " ".join(words[:150_000] + twice + ["\n", "password=abcdefghijklmnop", "\n"] + words[150_000:])
+    rows = [(1, long), (2, " ".join(words[200_000:200_050])), (3, "z" * 2_000_000), (4, None), (5, "")]
+    got = windows.remove_repeats(frame(spark, rows), 35).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_windows(rows, 35)
+    for r in quality.quality_report(frame(spark, rows)).collect():
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed] == brute_quality(dict(rows)[r.doc_id])[:6]
+    for r in secrets.secret_report(frame(spark, rows)).collect():
+        n, spans = brute_secrets(dict(rows)[r.doc_id])
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (n, hashlib.sha256(spans.encode()).hexdigest())
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(frame(spark, rows), 200).collect()}
+    passage, part = " ".join(twice), rows[1][1]
+    assert found[2] == (len(part), len(part), 1) and found[3] == (2_000_000, 2_000_000, 1) and found[4] == found[5] == (0, 0, 0)
+    assert found[1][0] == len(long) and found[1][2] == 3 and 0 <= found[1][1] - 2 * len(passage) - len(part) <= 12
+
+
 # toxicity
 
 
+def test_toxicity_at_exactly_one_half(spark):
+    model = toxicity.fit_counts(spark.createDataFrame([("a b", 0), ("c d", 1)], "text string, toxic int"))
+    model.slope, model.middle = 4.0, 0.0  # texts without words have the difference 0
+    got = toxicity.score(frame(spark, [(1, ""), (2, None), (3, " ")]), model).collect()
+    assert [(r.score, r.predicted) for r in got] == [(0.5, 1)] * 3
+
+
 def test_held_out_toxicity(spark):
     rng = random.Random(11)
     plain = [f"{a}{b}{c}" for a in "bcdfgh" for b in ("an", "ol", "im") for c in ("et", "or", "us", "ia")]
