@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oligoflow.storage import new_path
 
-from . import base, decontam, mixing, near_dedup, oracles, quality, secrets, suffixes, token_counts, toxicity, warc, windows
+from . import base, decontam, fingerprints, mixing, near_dedup, oracles, quality, secrets, suffixes, token_counts, toxicity, warc, windows
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.load_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of every document and of its edited text, and their likenesses."""
+    return fingerprints.compare_to_next(base.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_near_duplicates, op3_token_counts, op4_substring_dedup, op5_suffix_dedup,
-    op6_decontaminate, op7_secret_scan, op8_quality_rules, op9_mix_sources, op10_warc,
+    op6_decontaminate, op7_secret_scan, op8_quality_rules, op9_mix_sources, op10_warc, op11_fingerprints,
 )}
 ORACLES = {
     "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_decontaminate": oracles.DECONTAMINATE,
