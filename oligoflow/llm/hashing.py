@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95}
+BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Word separators: space and the five control characters 0x09-0x0D.
@@ -28,7 +28,7 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(kind)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 12)
-        base = _BASES[kind]
+        base = BASES[kind]
         out = []
         for b in (base, pow(base, -1, 2**64)):
             steps = np.full(size, b, dtype=np.uint64)
@@ -40,6 +40,11 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def powers(kind: str, n: int, inverse: bool = False) -> np.ndarray:
+    """At least the first ``n`` powers of a base or of its inverse."""
+    return _powers(kind, n)[1 if inverse else 0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection of 64-bit values that spreads every bit."""
     x = x.astype(np.uint64, copy=True)

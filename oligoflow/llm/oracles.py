@@ -95,3 +95,17 @@ WARC = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 best AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM p JOIN best USING (h)"""
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT)"
+CONVERSATION_TRIE = f"""
+WITH t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (SELECT *, {_CRC} % 4 AS h FROM t),
+r AS (SELECT c.conv_id, list_concat(coalesce(s.turns[1:h], []), c.turns[h + 1:]) AS turns FROM c LEFT JOIN t s ON s.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, turns[1:d] AS key, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY key, d),
+k AS (SELECT key[1:d - 1] AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(key[d].text, '{_WORD}')) END AS saved FROM n LEFT JOIN k USING (key)),
+u AS (SELECT key[1:up] AS key, CAST(count_if(n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM o) GROUP BY 1)
+SELECT o.conv_id, o.d AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM o JOIN u USING (key) LEFT JOIN n q ON o.d > 0 AND q.key = o.key[1:o.d - 1]"""
