@@ -109,3 +109,13 @@ o AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0
 u AS (SELECT key[1:up] AS key, CAST(count_if(n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM o) GROUP BY 1)
 SELECT o.conv_id, o.d AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
 FROM o JOIN u USING (key) LEFT JOIN n q ON o.d > 0 AND q.key = o.key[1:o.d - 1]"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+total AS (SELECT count_if(len(ts) > 0)::BIGINT AS n_all, sum(len(ts))::BIGINT AS l_all FROM d),
+tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_all) // l_all)))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oligoflow.storage import new_path
 
-from . import base, decontam, fingerprints, mixing, near_dedup, oracles, quality, secrets, suffixes, token_counts, toxicity, trie, warc, windows
+from . import base, decontam, fingerprints, mixing, near_dedup, oracles, quality, search, secrets, suffixes, token_counts, toxicity, trie, warc, windows
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +72,17 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(base.table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item among all documents."""
+    return search.search(base.table(spark, sf_dir, "benchmark"), base.table(spark, sf_dir, "documents"), best=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_near_duplicates, op3_token_counts, op4_substring_dedup, op5_suffix_dedup,
-    op6_decontaminate, op7_secret_scan, op8_quality_rules, op9_mix_sources, op10_warc, op11_fingerprints, op12_conversation_trie,
+    op6_decontaminate, op7_secret_scan, op8_quality_rules, op9_mix_sources, op10_warc, op11_fingerprints, op12_conversation_trie, op13_ranked_search,
 )}
 ORACLES = {
     "op2_near_duplicates": oracles.NEAR_DUPLICATES, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_decontaminate": oracles.DECONTAMINATE,
     "op8_quality_rules": oracles.QUALITY, "op9_mix_sources": oracles.MIX_SOURCES, "op10_warc": oracles.WARC,
-    "op12_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op12_conversation_trie": oracles.CONVERSATION_TRIE, "op13_ranked_search": oracles.RANKED_SEARCH,
 }
