@@ -189,8 +189,9 @@ def read_records(source, payloads: bool = True) -> Iterator[dict]:
             left -= len(data)
             block.update(data)
             if start is not None:  # still in the HTTP head
+                since = max(len(start) - 3, 0)
                 start += data
-                if (at := start.find(b"\r\n\r\n")) < 0:
+                if (at := start.find(b"\r\n\r\n", since)) < 0:
                     continue
                 http_head, data, start = bytes(start[:at]), bytes(start[at + 4 :]), None
             payload.update(data)
@@ -240,17 +241,20 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Writes files of a task under names that no other attempt has; those of attempts that didn't count are removed at the end."""
+    """Writes files of a task under names that no other attempt has; those of this job's attempts that didn't count are removed at the end.
+
+    Every name begins with the job's id.  Files of other names, earlier archives above all, are never touched.
+    """
 
     def __init__(self, options) -> None:
-        self.path, self.bytes, self.date = options["path"], int(options["archiveBytes"]), options["date"]
+        self.path, self.bytes, self.date, self.job = options["path"], int(options["archiveBytes"]), options["date"], options["job"]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         store, folder = fs.FileSystem.from_uri(self.path)
         store.create_dir(folder)
-        name, files, out, size = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", [], None, 0
+        name, files, out, size = f"{self.job}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", [], None, 0
         for batch in iterator:
             for page_id, url, html, refers in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if out is None:
@@ -271,7 +275,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         store.create_dir(folder)
         counted = {x for m in messages if m for x in m.files}
         for f in store.get_file_info(fs.FileSelector(folder)):
-            if f.base_name.endswith(".warc.gz") and f.base_name not in counted:
+            if f.base_name.startswith(f"{self.job}-") and f.base_name not in counted:
                 store.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -336,16 +340,25 @@ def _uri(path: str) -> str:
     return path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:")
 
 
-def save_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write ``pages`` (page_id, url, html) to .warc.gz files in a new folder, one gzip member for each row.
+def save_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, append: bool = False) -> None:
+    """Write ``pages`` (page_id, url, html) to .warc.gz files in a folder, one gzip member for each row.
+
+    The folder must be new or empty (FileExistsError); with ``append`` files are added to what it holds.  A write that fails removes its own
+    files; if the driver is killed they stay, and their names all begin with that job's id.
 
     Null html is an empty payload; rows that repeat a page_id get a record each (equal payloads of the
     largest id are all responses); a null id is smaller than any; other columns of ``pages`` are not read; no pages, no archives.
     A payload must fit in a task's memory, an archive needn't.  Tasks write under names of their own attempt, so a lost executor costs
     its tasks only.
     """
+    uri = _uri(path)
+    if not append:
+        store, folder = fs.FileSystem.from_uri(uri)
+        if store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            raise FileExistsError(f"{path} is not empty")
     pages.sparkSession.dataSource.register(Archives)
-    plan_revisits(pages, min_bytes).write.format("oligoflow_warc").option("archiveBytes", archive_bytes).option("date", date).mode("append").save(_uri(path))
+    options = {"archiveBytes": archive_bytes, "date": date, "job": f"part-{uuid.uuid4().hex}"}
+    plan_revisits(pages, min_bytes).write.format("oligoflow_warc").options(**options).mode("append").save(uri)
 
 
 def load_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -502,3 +502,31 @@ def test_toxicity_differences_by_hand(spark):
         want = math.copysign(max(abs(d) - toxicity.MARGIN, 0), d)
         _, s, h = toxicity._words(pa.array([w]))
         assert model.held.value.steps(s, h)[0] == pytest.approx(want, abs=1e-6), w
+
+
+def test_archives_of_other_jobs_stay(spark, tmp_path, monkeypatch):
+    one, two = (spark.createDataFrame([(k, "u", f"page {k}")], "page_id long, url string, html string") for k in (1, 2))
+    path = str(tmp_path / "w")
+    ids = lambda: sorted(r.page_id for r in warc.load_archives(spark, path).collect())
+    warc.save_archives(one, path)
+    with pytest.raises(FileExistsError):
+        warc.save_archives(two, path)
+    assert ids() == [1]
+    warc.save_archives(two, path, append=True)
+    (tmp_path / "w" / "notes.txt").write_text("kept")
+    assert ids() == [1, 2]
+
+    def failing(pages, min_bytes):
+        wrong = F.when(F.col("page_id") >= 5, F.raise_error(F.lit("broken page"))).otherwise(F.lit("x"))
+        return pages.select("page_id", "url", wrong.cast("string").alias("html"), F.lit(None).cast("long").alias("refers_to"))
+
+    monkeypatch.setattr(warc, "plan_revisits", failing)
+    with pytest.raises(Exception, match="broken page"):
+        warc.save_archives(spark.range(8).select(F.col("id").alias("page_id"), F.lit("u").alias("url")).coalesce(1), path, append=True)
+    assert ids() == [1, 2] and len(list((tmp_path / "w").iterdir())) == 3
+
+
+def test_long_heads_are_read_once():
+    block = b"HTTP/1.1 200 OK\r\n" + b"X-Long: 1\r\n" * 300_000 + b"\r\nbody"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    assert [r["payload"] for r in warc.read_records(io.BytesIO(record))] == [b"body"]
