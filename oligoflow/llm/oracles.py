@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LINE_PERCENT, LONG_LINE_PERCENT, LONG_NGRAM_PERCENT, LONG_WORDS, MIN_WORDS, NGRAM_PERCENT, SYMBOL_PERCENT
+from .quality import LINE_PERCENT, MIN_WORDS, NGRAM_PERCENT, SYMBOL_PERCENT
 
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,8 +74,7 @@ lines AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, CAST(sum(CAS
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n3, 0) AS n_repeat_words,
   coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(chars{n}, 0) AS dup_{n}gram_chars" for n in NGRAM_PERCENT)}
   FROM w LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN s{n} USING (doc_id)" for n in _SIZES)})
-SELECT *, NOT base_failed AND 100 * n_symbols <= {SYMBOL_PERCENT} * greatest(word_chars, 1) AND 100 * dup_line_chars <= CASE WHEN n_words >= {LONG_WORDS} THEN {LONG_LINE_PERCENT} ELSE {LINE_PERCENT} END * greatest(word_chars, 1)
-  AND {" AND ".join(f"100 * dup_{n}gram_chars <= CASE WHEN n_words >= {LONG_WORDS} THEN {LONG_NGRAM_PERCENT[n]} ELSE {x} END * greatest(word_chars, 1)" for n, x in NGRAM_PERCENT.items())} AS kept
+SELECT *, NOT base_failed AND 100 * n_symbols <= {SYMBOL_PERCENT} * greatest(word_chars, 1) AND {" AND ".join(f"100 * {x} * n_words <= ({b} * n_words + {(a - b) * MIN_WORDS}) * greatest(word_chars, 1)" for x, (a, b) in [("dup_line_chars", LINE_PERCENT), *((f"dup_{n}gram_chars", y) for n, y in NGRAM_PERCENT.items())])} AS kept
 FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)"""
 
 MIX_SOURCES = """

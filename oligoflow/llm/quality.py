@@ -17,14 +17,11 @@ from . import hashing as hs
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Largest percentage of the word characters that may lie inside n-grams of this many words found twice or
-#: more in the text (all places counted), and inside lines that occur twice or more.
-NGRAM_PERCENT = {5: 50, 8: 45, 12: 40}
-LINE_PERCENT = 50
-#: The same for texts of this many words or more, in which one repeated sentence is no large share.
-LONG_WORDS = 200
-LONG_NGRAM_PERCENT = {5: 30, 8: 25, 12: 20}
-LONG_LINE_PERCENT = 25
+#: Largest percentages of the word characters that may lie inside n-grams of this many words found twice or more in the text (all places
+#: counted), and inside lines that occur twice or more: in a text of MIN_WORDS words, and in one without end.  Between them a limit
+#: falls with 1 / words, so it has no step: one repeated sentence is a large share of a short text only.
+NGRAM_PERCENT = {5: (50, 30), 8: (45, 25), 12: (40, 20)}
+LINE_PERCENT = (50, 25)
 #: Largest percentage of symbol characters to word characters.
 SYMBOL_PERCENT = 10
 
@@ -95,10 +92,9 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             out[f"dup_{k}gram_chars"] = hs.sums_by_row(inside * word_points, rows)
     failed = (n_words < MIN_WORDS) | (100 * out["n_repeat_words"] > 50 * n_words)
     chars = np.maximum(out["word_chars"], 1)
-    long = n_words >= LONG_WORDS
-    good = (100 * out["dup_line_chars"] <= np.where(long, LONG_LINE_PERCENT, LINE_PERCENT) * chars) & (100 * out["n_symbols"] <= SYMBOL_PERCENT * chars)
-    for k, percent in NGRAM_PERCENT.items():
-        good &= 100 * out[f"dup_{k}gram_chars"] <= np.where(long, LONG_NGRAM_PERCENT[k], percent) * chars
+    good = 100 * out["n_symbols"] <= SYMBOL_PERCENT * chars
+    for measured, (short, long) in [("dup_line_chars", LINE_PERCENT), *((f"dup_{k}gram_chars", x) for k, x in NGRAM_PERCENT.items())]:
+        good &= 100 * out[measured] * n_words <= (long * n_words + (short - long) * MIN_WORDS) * chars
     return out | {"base_failed": failed, "kept": ~failed & good}
 
 

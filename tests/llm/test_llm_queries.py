@@ -67,9 +67,8 @@ def test_token_counts_of_documents(spark, duck):
 
 def passes(text):
     m = brute_quality(text)
-    chars, long = max(m[1], 1), m[0] >= quality.LONG_WORDS
-    limits = (quality.LONG_LINE_PERCENT, *quality.LONG_NGRAM_PERCENT.values()) if long else (quality.LINE_PERCENT, *quality.NGRAM_PERCENT.values())
-    return not m[5] and 100 * m[2] <= quality.SYMBOL_PERCENT * chars and all(100 * x <= s * chars for x, s in zip(m[6:], limits, strict=True))
+    chars, limits = max(m[1], 1), (quality.LINE_PERCENT, *quality.NGRAM_PERCENT.values())
+    return not m[5] and 100 * m[2] <= quality.SYMBOL_PERCENT * chars and all(100 * x * m[0] <= (long * m[0] + (short - long) * 50) * chars for x, (short, long) in zip(m[6:], limits, strict=True))
 
 
 def copies_of(doc_id, rate):

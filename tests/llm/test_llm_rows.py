@@ -152,14 +152,29 @@ def test_quality_of_repeats_within_the_base_rule(spark):
     twice, exact, short = new(36), line(25), new(12)
     rows = [
         (1, " ".join(new(100) + twice + new(60) + twice + new(8))),  # 72 of 240 words: 30 % inside 12-grams found twice
-        (2, "\n".join([line(100), exact, line(50), exact])),  # 50 of 200 words in repeated lines and n-grams: 25 %
+        (2, "\n".join([line(100), exact, line(50), exact])),  # 50 of 200 words in repeated lines and 12-grams: 25 %, the limit of the latter
+        (5, "\n".join([line(99), exact, line(50), exact])),  # one fresh word less
         (3, " ".join(new(20) + short + new(6) + short + new(20))),  # 24 of 70 words: 34 %, but a short text
         (4, " ".join(new(300))),
     ]
     got = {r.doc_id: r for r in quality.quality_report(frame(spark, rows)).collect()}
     assert not any(r.base_failed for r in got.values())
-    assert [got[k].kept for k in (1, 2, 3, 4)] == [False, False, True, True]
-    assert 100 * got[2].dup_line_chars == quality.LONG_LINE_PERCENT * got[2].word_chars  # its 12-grams reject it, not its lines
+    assert [got[k].kept for k in (1, 2, 3, 4, 5)] == [False, True, True, True, False]
+
+
+def test_quality_limits_have_no_step(spark):
+    """Texts of 50 to 450 words with one passage twice: how many words it may have falls and rises with the length without a jump."""
+
+    def most(n: int) -> int:
+        """Longest passage (12 words or more) that a text of n words may hold twice."""
+        texts = {k: " ".join([f"a{i:04d}" for i in range(k)] + [f"b{i:04d}" for i in range(n - 2 * k)] + [f"a{i:04d}" for i in range(k)]) for k in range(12, n // 2 - 1)}
+        offsets = np.cumsum([0, *map(len, texts.values())])
+        kept = quality.measure(np.frombuffer("".join(texts.values()).encode(), np.uint8), offsets)["kept"]
+        assert list(kept) == sorted(kept, reverse=True)
+        return 11 + int(kept.sum())
+
+    found = [most(n) for n in range(90, 240)]
+    assert all(abs(a - b) <= 1 for a, b in zip(found, found[1:], strict=False))
 
 
 # secrets
