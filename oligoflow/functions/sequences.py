@@ -13,15 +13,6 @@ IUPAC, COMPLEMENT = "ACGTURYSWKMBDHVNacgturyswkmbdhvn", "TGCAAYRSWMKVHDBNtgcaayr
 ALPHABETS = {"dna": "ACGT-", "protein": "ACDEFGHIKLMNPQRSTVWY-"}
 
 
-def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with more columns that are computed a single time for each row.
-
-    A generator of one row keeps the optimizer from copying an expensive expression into every later
-    expression and filter that uses it.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def reverse_complement(seq: Column) -> Column:
     """Reverse complement, both cases and IUPAC codes; other characters stay."""
     return F.reverse(F.translate(seq, IUPAC, COMPLEMENT))
@@ -71,49 +62,6 @@ def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
     return F.levenshtein(a, b) if most is None else F.levenshtein(a, b, most)
 
 
-def _best_end(seq: Column, const: str, errors: int, end: str) -> Column:
-    """struct(d, off, k) of the prefix or suffix of length k that is nearest to ``const``."""
-    n = len(const)
-
-    def candidate(k: Column) -> Column:
-        part = F.substring(seq, F.lit(1), k) if end == "5" else F.substring(seq, F.greatest(F.length(seq) - k, F.lit(0)) + 1, k)
-        return F.struct(F.levenshtein(part, F.lit(const)).alias("d"), F.abs(k - n).alias("off"), k.alias("k"))
-
-    return F.array_min(F.transform(F.sequence(F.lit(n - errors), F.lit(n + errors)), candidate))
-
-
-def cut_5p(seq: Column, const: str, error_rate: float = 0.1) -> Column:
-    """How many leading characters are the constant region (0 if none matches within floor(rate * length) edits)."""
-    errors = int(len(const) * error_rate)
-    best = _best_end(seq, const, errors, "5")
-    return F.when(best["d"] <= errors, F.least(best["k"], F.length(seq))).otherwise(0) if const else F.lit(0)
-
-
-def cut_3p(seq: Column, const: str, error_rate: float = 0.1) -> Column:
-    """How many trailing characters are the constant region."""
-    errors = int(len(const) * error_rate)
-    best = _best_end(seq, const, errors, "3")
-    return F.when(best["d"] <= errors, F.least(best["k"], F.length(seq))).otherwise(0) if const else F.lit(0)
-
-
-def interior_match(seq: Column, region: str, error_rate: float = 0.1) -> Column:
-    """struct(s, k): start and length of the first stretch within floor(rate * length) + 1 edits of ``region``, else null.
-
-    Of the stretches that begin at the first such place it is the nearest one.
-    """
-    n = len(region)
-    errors = int(n * error_rate) + 1
-
-    def at(s: Column) -> Column:
-        def candidate(k: Column) -> Column:
-            return F.struct(F.levenshtein(F.substring(seq, s, k), F.lit(region)).alias("d"), F.abs(k - n).alias("off"), k.alias("k"), s.alias("s"))
-
-        return F.array_min(F.transform(F.sequence(F.lit(max(1, n - errors)), F.lit(n + errors)), candidate))
-
-    starts = F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq))).otherwise(F.array().cast("array<int>"))
-    return F.try_element_at(F.filter(F.transform(starts, at), lambda c: c["d"] <= errors), F.lit(1))
-
-
 def contains_text(x: Column, text: str) -> Column:
     """Case-insensitive substring test; null counts as no match."""
     return F.coalesce(F.lower(x.cast("string")).contains(text.lower()), F.lit(False))

@@ -129,12 +129,25 @@ def excise_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.excise_region(unique, "ACGTTGCA")
 
 
-@query(_TRIMMED + f""", f AS (SELECT length(both_s) BETWEEN 10 AND 100 AS fits, coalesce(CASE WHEN length(both_q) > 0 THEN {_ERROR.format(q='both_q')} END <= 0.005, false) AS good FROM trimmed)
-SELECT count(*) AS total_reads, count_if(fits)::BIGINT AS length_passed, count_if(fits AND good)::BIGINT AS passed, round_even(count_if(fits AND good) * 100.0::DOUBLE / count(*) * 100, 0) / 100 AS pass_rate FROM f""")
+_REPORT = _TRIMMED + f""", f AS (SELECT length(both_s) BETWEEN 10 AND 100 AS fits, coalesce(CASE WHEN length(both_q) > 0 THEN {_ERROR.format(q='both_q')} END <= 0.005, false) AS good FROM trimmed)
+SELECT count(*) AS total_reads, count_if(fits)::BIGINT AS length_passed, count_if(fits AND good)::BIGINT AS passed, round_even(count_if(fits AND good) * 100.0::DOUBLE / count(*) * 100, 0) / 100 AS pass_rate FROM f"""
+
+
+@query(_REPORT)
 def preprocess_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess_report(_raw(spark, sf_dir), fx.CONST_5P, fx.CONST_3P)
 
 
+@query(_REPORT.replace("SELECT count(*) AS total_reads", "SELECT count_if(fits AND good)::BIGINT AS written, count(*) AS total_reads"))
+def preprocess_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report gathered by the job that writes the filtered reads, and how many it wrote."""
+    path = new_path(spark, "filtered")
+    reads, seen = preprocess.preprocess_observed(_raw(spark, sf_dir), fx.CONST_5P, fx.CONST_3P)
+    reads.write.parquet(path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written"))
+    return preprocess.report_of(spark, seen).crossJoin(F.broadcast(written))  # one row each
+
+
 @query(_TRIMMED + f"SELECT l_orderkey, l_linenumber, both_s AS sequences, both_q AS quality FROM trimmed WHERE length(both_s) BETWEEN 10 AND 100 AND {_ERROR.format(q='both_q')} <= 0.005")
 def preprocess_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess(_raw(spark, sf_dir), fx.CONST_5P, fx.CONST_3P)
