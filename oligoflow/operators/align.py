@@ -1,73 +1,140 @@
-"""Alignment of clusters to their seeds, and statistics of alignment columns."""
+"""Multiple alignment of clusters, and statistics of alignment columns."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import progressive
 from ..functions import sequences as sq
 from ..functions.sequences import rint_to
-from ..storage import stored
+from ..storage import numbered_within, stored
 from .browse import top_enriched
 
-MATCH, MISMATCH, GAP = 2, -1, -2
+#: Most sequences, and most characters of them, that are aligned in one task; aligned groups that are merged at a time.
+GROUP_ROWS, GROUP_CHARS, FAN = 192, 1 << 14, 48
+_GROUP = "Cluster int, node long, parent long, symbols string, profile array<double>, columns array<int>, seqs array<string>"
 
 
-def pairwise(seq: str, seed: str) -> tuple[str, list[str]]:
-    """Global alignment of ``seq`` to ``seed``: the residue (or gap) at each seed position, and the inserted residues before each slot.
+def _codes(text: str, place: dict[str, int]) -> np.ndarray:
+    return np.array([place[c] for c in text], np.int64)
 
-    Returns (aligned to seed positions, insertions as a list of strings for slots 0..len(seed)).
-    """
-    n, m = len(seed), len(seq)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    score[:, 0], score[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
-    b = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
-    steps = GAP * np.arange(m + 1)
-    for i, c in enumerate(seed, 1):
-        best = np.maximum(score[i - 1, 1:] + GAP, score[i - 1, :-1] + np.where(b == ord(c), MATCH, MISMATCH))
-        row = np.concatenate([[score[i, 0]], best]) - steps
-        score[i] = np.maximum.accumulate(row) + steps  # gaps in the seed, along the row
-    kept, inserted = ["-"] * n, [""] * (n + 1)
-    i, j = n, m
-    while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (MATCH if seed[i - 1] == seq[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-            kept[i] = seq[j]
-        elif i and score[i, j] == score[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-            inserted[i] = seq[j] + inserted[i]
-    return "".join(kept), inserted
+
+def _merged(cluster: int | None, parent: int, names: list[int], symbols: str, profiles: list[np.ndarray], seqs: list[list[str] | None]) -> list[tuple]:
+    """Rows of a group that was aligned: each input with the columns it takes, and the group's profile as an input of the next level."""
+    at = progressive.align(profiles)
+    columns = max((int(x.max(initial=-1)) for x in at), default=-1) + 1
+    total = np.zeros((columns, len(symbols) + 1))
+    for p, x in zip(profiles, at, strict=True):
+        total[:, -1] += p.sum(axis=1).max(initial=0)
+        total[x, -1] -= p.sum(axis=1)
+        total[x] += p
+    out = [(cluster, n, parent, None, None, x.tolist(), s) for n, x, s in zip(names, at, seqs, strict=True)]
+    return [*out, (cluster, parent, None, symbols, total.ravel().tolist(), None, None)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _GROUP.split(", ")])
+
+
+def _first_groups(table: pa.Table) -> pa.Table:
+    """A group of sequences, aligned; its sequences stand in one row for each."""
+    texts = table.column("seq").to_pylist()
+    symbols = "".join(sorted(set("".join(texts))))
+    place = {c: k for k, c in enumerate(symbols)}
+    profiles = [progressive.one_hot(_codes(t, place), len(symbols) + 1) for t in texts]
+    cluster, group = table.column("Cluster")[0].as_py(), table.column("group")[0].as_py()
+    return _table(_merged(cluster, group, list(range(len(texts))), symbols, profiles, [[t] for t in texts]))
+
+
+def _next_groups(table: pa.Table) -> pa.Table:
+    """Profiles of several groups, aligned."""
+    rows = sorted(table.select(["Cluster", "node", "symbols", "profile", "group"]).to_pylist(), key=lambda r: r["node"])
+    symbols = "".join(sorted(set("".join(r["symbols"] for r in rows))))
+    place = {c: k for k, c in enumerate(symbols)}
+    profiles = []
+    for r in rows:
+        mine = np.array(r["profile"]).reshape(-1, len(r["symbols"]) + 1)
+        wide = np.zeros((len(mine), len(symbols) + 1))
+        wide[:, [place[c] for c in r["symbols"]] + [-1]] = mine
+        profiles.append(wide)
+    return _table(_merged(rows[0]["Cluster"], rows[0]["group"], [r["node"] for r in rows], symbols, profiles, [None] * len(rows)))
+
+
+def _sketch(seq: Column) -> list[Column]:
+    """Two small numbers that similar sequences are likely to share: the smallest hashes of their words."""
+    n = progressive.WORD
+    words = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - n + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(n)))
+    return [F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))) for seed in (1, 2)]
 
 
 def cluster_align(clustered: DataFrame) -> DataFrame:
-    """``clustered`` with gapped sequences of equal length in each cluster (center-star on the seed), sorted by Cluster and Rank.
+    """``clustered`` with gapped sequences of equal length in each cluster, sorted by Cluster and Rank.
 
-    Each row is aligned to its seed on its own; the longest insertion of each slot, an aggregate, gives the
-    cluster's columns.  So a cluster of any size never meets in one task.
+    A multiple alignment by sum of pairs (:mod:`..functions.progressive`).  Distinct sequences of a cluster are sorted by what
+    similar ones share and dealt to groups of at most GROUP_ROWS; a task aligns a group along its guide tree.  The groups' profiles are
+    then aligned in the same way, FAN at a time, level by level, until a cluster has one; columns are handed down from there.  So a
+    cluster of any size never meets in one task, and one of up to GROUP_ROWS sequences is aligned whole.
+
+    Gaps in the input are removed first; null sequences stay null; a single sequence passes; rows that repeat a sequence get the same
+    row; an empty sequence is all gaps; rows without a Cluster are a cluster of their own.
     """
-    seeds = clustered.where("RankInCluster = 1").select(F.col("Cluster").alias("_c"), F.col("sequences").alias("_seed"))
-    joined = clustered.join(seeds, F.col("Cluster") == F.col("_c")).drop("_c")
-    schema = T.StructType([*joined.schema.fields, T.StructField("_kept", T.StringType()), T.StructField("_ins", T.ArrayType(T.StringType()))])
+    bare = F.replace("sequences", F.lit("-"), F.lit(""))
+    distinct = stored(clustered.select(F.col("Cluster").cast("int").alias("Cluster"), bare.alias("seq")).where("seq <> ''").distinct(), "distinct")
+    longest = distinct.agg(F.max(F.length("seq"))).first()[0] or 1
+    rows = max(2, min(GROUP_ROWS, GROUP_CHARS // longest))
+    dealt = numbered_within(distinct.select("*", *[x.alias(f"k{k}") for k, x in enumerate(_sketch(F.col("seq")))]), "Cluster", [F.col("k0"), F.col("k1"), F.col("seq")], "n")
+    dealt = dealt.select("Cluster", "seq", F.floor((F.col("n") - 1) / rows).cast("long").alias("group"))
+    level = stored(dealt.groupBy("Cluster", "group").applyInArrow(_first_groups, _GROUP), "groups")
+    leaves, maps = level.where("seqs IS NOT NULL"), []
+    while True:
+        tops = level.where("profile IS NOT NULL")
+        if (tops.agg(F.max("node")).first()[0] or 0) == 0:
+            break
+        level = stored(tops.withColumn("group", F.floor(F.col("node") / FAN).cast("long")).groupBy("Cluster", "group").applyInArrow(_next_groups, _GROUP), "groups")
+        maps.append(level.where("columns IS NOT NULL"))
+    wide = F.size("profile").cast("long") / (F.length("symbols") + 1)
+    own = F.when(wide > 0, F.sequence(F.lit(0), wide.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    final = tops.select("Cluster", "node", own.alias("to"), wide.cast("int").alias("wide"))
+    for down in reversed(maps):
+        above = final.select(F.col("Cluster").alias("_c"), F.col("node").alias("_p"), "to", "wide")
+        both = down.join(above, F.col("Cluster").eqNullSafe(F.col("_c")) & (F.col("parent") == F.col("_p")))
+        final = stored(both.select("Cluster", "node", F.transform("columns", lambda c: F.get("to", c)).alias("to"), "wide"), "columns")
+    above = final.select(F.col("Cluster").alias("_c"), F.col("node").alias("_p"), "to", "wide")
+    placed = leaves.join(above, F.col("Cluster").eqNullSafe(F.col("_c")) & (F.col("parent") == F.col("_p"))).select("Cluster", F.col("seqs")[0].alias("seq"), "columns", "to", "wide")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seq, columns, to, wide in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
+                row = np.full(wide.as_py(), "-")
+                row[to.values.to_numpy()[columns.values.to_numpy()]] = list(seq.as_py())
+                out.append("".join(row))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["_c", "_s", "_aligned"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            pairs = [pairwise(a, b) for a, b in zip(pdf["sequences"], pdf["_seed"], strict=True)]
-            yield pdf.assign(_kept=[p[0] for p in pairs], _ins=[p[1] for p in pairs])
+    aligned = stored(placed.mapInArrow(spread, "_c int, _s string, _aligned string"), "aligned")
+    both = clustered.withColumn("_bare", bare).join(aligned, F.col("Cluster").eqNullSafe(F.col("_c")) & (F.col("_bare") == F.col("_s")), "left")
+    widths = final.groupBy(F.col("Cluster").alias("_cw")).agg(F.max("wide").alias("_wide"))  # a row for each cluster, for sequences that are empty
+    both = both.join(widths, F.col("Cluster").eqNullSafe(F.col("_cw")), "left")
+    gaps = F.when(F.col("_bare") == "", F.repeat(F.lit("-"), F.coalesce("_wide", F.lit(0))))
+    return both.withColumn("sequences", F.coalesce("_aligned", gaps)).select(clustered.columns).orderBy("Cluster", "Rank")
 
-    aligned = stored(joined.mapInPandas(run, schema), "aligned")
-    slots = aligned.select("Cluster", F.posexplode("_ins").alias("slot", "x")).groupBy("Cluster", "slot").agg(F.max(F.length("x")).alias("width"))
-    widths = slots.groupBy("Cluster").agg(F.array_sort(F.collect_list(F.struct("slot", "width"))).alias("_w")).withColumnRenamed("Cluster", "_c")  # a row for each seed position
-    both = aligned.join(widths, F.col("Cluster") == F.col("_c"))
-    pieces = F.transform("_w", lambda w: F.concat(F.rpad(F.get("_ins", w["slot"]), w["width"], "-"), F.coalesce(F.substring("_kept", w["slot"] + 1, F.lit(1)), F.lit(""))))
-    return both.withColumn("sequences", F.array_join(pieces, "")).select(clustered.columns).orderBy("Cluster", "Rank")
+
+def alignment_score(df: DataFrame) -> DataFrame:
+    """(Cluster, score): sum of pairs over all rows and columns of each cluster's alignment, from the counts of each column.
+
+    Two equal residues MATCH, two others MISMATCH, a residue and a gap GAP, two gaps 0 (see :mod:`..functions.progressive`).
+    """
+    n = residue_positions(df.select("Cluster", "sequences")).groupBy("Cluster", "Position", "Residue").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    gap = F.col("Residue") == "-"
+    column = n.groupBy("Cluster", "Position").agg(F.coalesce(F.sum(F.when(~gap, F.col("n"))), F.lit(0.0)).alias("r"), F.coalesce(F.sum(F.when(gap, F.col("n"))), F.lit(0.0)).alias("g"), F.coalesce(F.sum(F.when(~gap, F.col("n") * F.col("n"))), F.lit(0.0)).alias("q"))
+    same, pairs = (F.col("q") - F.col("r")) / 2, F.col("r") * (F.col("r") - 1) / 2
+    return column.groupBy("Cluster").agg(F.sum(progressive.MATCH * same + progressive.MISMATCH * (pairs - same) + progressive.GAP * F.col("r") * F.col("g")).alias("score"))
 
 
 def msa_check(df: DataFrame) -> DataFrame:
@@ -144,9 +211,7 @@ def position_enrichment(df: DataFrame, cluster: int, seq_type: str = "dna", max_
     if lengths["lo"] is None:
         raise ValueError(f"no valid sequences in cluster {cluster}")
     if lengths["lo"] != lengths["hi"]:
-        first = x.agg(F.min_by("sequences", F.struct((-F.col("Enrichment")).alias("e"), "sequences")).alias("s")).first()["s"]
-        ranked = x.withColumn("RankInCluster", F.when(F.col("sequences") == first, 1).otherwise(2)).dropDuplicates(["sequences"])
-        x = cluster_align(ranked.withColumn("Rank", F.lit(1)))
+        x = cluster_align(x.dropDuplicates(["sequences"]).withColumn("Rank", F.lit(1)))
     length = x.agg(F.max(F.length("sequences")).alias("n")).first()["n"]
     means = residue_positions(x.select("sequences", "Enrichment")).groupBy("Residue", "Position").agg(rint_to(F.avg("Enrichment"), 3).alias("AvEnrich"))
     spark = df.sparkSession

@@ -477,6 +477,17 @@ def cluster_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(lengths, "Cluster").select("ID", "Cluster", "Rank", F.replace("sequences", F.lit("-"), F.lit("")).alias("sequences"), "lengths")
 
 
+@query(""", l AS (SELECT Cluster, p, substring(aligned, p, 1) AS c FROM (SELECT CAST(4 * (instr('ACGT', substring(sequences, 3, 1)) - 1) + instr('ACGT', substring(sequences, 5, 1)) AS INT) AS Cluster, aligned, unnest(range(1, length(aligned) + 1)) AS p FROM reads)),
+n AS (SELECT Cluster, p, c, count(*)::DOUBLE AS n FROM l GROUP BY ALL),
+pairs AS (SELECT a.Cluster, sum(CASE WHEN a.c = '-' AND b.c = '-' THEN 0 WHEN a.c = '-' OR b.c = '-' THEN -2 * a.n * b.n WHEN a.c = b.c THEN a.n * (a.n - 1) ELSE -a.n * b.n END) AS score
+  FROM n a JOIN n b ON b.p = a.p AND b.Cluster = a.Cluster AND a.c <= b.c GROUP BY a.Cluster)
+SELECT Cluster, score::DOUBLE AS score FROM pairs""")
+def alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum-of-pairs score of the aligned reads of each cluster."""
+    base = lambda k: F.expr(f"instr('ACGT', substring(sequences, {k}, 1))")
+    return align.alignment_score(fx.reads(spark, sf_dir).select((4 * (base(3) - 1) + base(5)).cast("int").alias("Cluster"), F.col("aligned").alias("sequences")))
+
+
 @query("SELECT CAST(4 * (instr('ACGT', substring(sequences, 3, 1)) - 1) + instr('ACGT', substring(sequences, 5, 1)) AS INT) AS Cluster, count(DISTINCT length(ragged)) AS lengths, count(DISTINCT length(ragged)) = 1 AS aligned FROM reads GROUP BY 1")
 def msa_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lambda k: F.expr(f"instr('ACGT', substring(sequences, {k}, 1))")
