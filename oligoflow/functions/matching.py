@@ -100,6 +100,39 @@ def anchored(reads: Reads, start: np.ndarray, length: np.ndarray, pattern: str,
     return best // ((errors + 1) * (2 * n + 2)), taken
 
 
+def distances(reads: Reads, rows: np.ndarray, pattern: str) -> np.ndarray:
+    """Edit distance of ``pattern`` to each of these reads as a whole."""
+    length, start = reads.length[rows], reads.start[rows]
+    if not pattern:
+        return length
+    table = _table(pattern, len(rows))
+    for k in range(int(length.max(initial=0))):
+        on = length > k
+        table.step(reads.at(start + k, on), on)
+    return table.score
+
+
+def first_within(reads: Reads, patterns: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first pattern within ``most`` edits or -1, edits to it) of each read; a read that has one is not compared further."""
+    found, edits, open_ = np.full(len(reads.length), -1, np.int64), np.zeros(len(reads.length), np.int64), np.arange(len(reads.length))
+    for k, p in enumerate(patterns):
+        near = open_[np.abs(reads.length[open_] - len(p)) <= most]
+        d = distances(reads, near, p)
+        hit = near[d <= most]
+        found[hit], edits[hit] = k, d[d <= most]
+        open_ = open_[found[open_] < 0]
+    return found, edits
+
+
+def greedy_seeds(reads: Reads, texts: list[str], most: int, room: int) -> list[str]:
+    """Of reads in order, those farther than ``most`` edits from every one taken before, at most ``room``."""
+    out, open_ = [], np.arange(len(texts))
+    while len(open_) and len(out) < room:
+        out.append(texts[open_[0]])
+        open_ = open_[distances(reads, open_, out[-1]) > most]
+    return out
+
+
 def prefix_cuts(reads: Reads, pattern: str, errors: int) -> np.ndarray:
     """How many leading characters are ``pattern`` within ``errors`` edits (0 if none)."""
     edits, k = anchored(reads, reads.start, reads.length, pattern, errors)

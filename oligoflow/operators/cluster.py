@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import matching as m
 from ..functions import sequences as sq
 from ..storage import numbered, numbered_within, stored
 
-#: Rows looked at for seeds in one pass, and seeds taken in one pass.
-HEAD_ROWS, PASS_SEEDS = 128, 32
+#: Rows without a cluster that are looked at for seeds at a time.
+HEAD_ROWS = 2048
 
 
 def cluster_input(counts: DataFrame, min_reads: int = 10) -> DataFrame:
@@ -17,60 +20,51 @@ def cluster_input(counts: DataFrame, min_reads: int = 10) -> DataFrame:
     return numbered(counts.where(F.col("Reads") >= min_reads), [F.col("RPU").desc(), F.col("Rank").asc(), F.col("sequences").asc()], "_pos")
 
 
-def _seeds(rest: DataFrame, max_led: int, room: int) -> list[str]:
-    """The next seeds in order: rows of the head that are farther than ``max_led`` from every seed before them.
+def find_seeds(rows: DataFrame, max_led: int, total_clusters: int) -> list[str]:
+    """The first seeds in order of ``_pos`` (dense from 1): rows farther than ``max_led`` edits from every seed before them.
 
-    Exact, because whether a row is a seed depends on earlier rows only.  The head is bounded, so are its pairs.
+    Whether a row is a seed depends on earlier rows only, so the first HEAD_ROWS rows that no seed so far reaches decide about
+    themselves.  These and the seeds are what the driver holds.  A further look is needed only if they had too few seeds and left rows
+    without one, so the number of passes doesn't follow the number of clusters.
     """
-    head = rest.orderBy("_pos").limit(HEAD_ROWS).select("_pos", "sequences")
-    rows = head.collect()
-    small = rest.sparkSession.createDataFrame(rows, head.schema)
-    a, b = small.select(F.col("_pos").alias("p"), F.col("sequences").alias("s")), small.select(F.col("_pos").alias("q"), F.col("sequences").alias("t"))
-    near: dict[int, set[int]] = {}
-    for r in a.join(b, F.col("p") < F.col("q")).where(F.levenshtein("s", "t", max_led) >= 0).select("p", "q").collect():
-        near.setdefault(r["q"], set()).add(r["p"])
-    taken: dict[int, str] = {}
-    for r in rows:
-        if len(taken) == min(room, PASS_SEEDS):
+    seeds: list[str] = []
+    rest = rows.where(F.col("_pos") <= HEAD_ROWS)
+    while len(seeds) < total_clusters:
+        head = rest.select("_pos", "sequences").orderBy("_pos").limit(HEAD_ROWS).collect()
+        texts = [r["sequences"] for r in head]
+        seeds += m.greedy_seeds(m.Reads(pa.array(texts, pa.string())), texts, max_led, total_clusters - len(seeds))
+        if len(head) < HEAD_ROWS:
             break
-        if not near.get(r["_pos"], set()) & taken.keys():
-            taken[r["_pos"]] = r["sequences"]
-    return list(taken.values())
+        rest = rows.where(F.col("_pos") > head[-1]["_pos"]).where(_reach(seeds, max_led)["Cluster"].isNull())
+    return seeds
 
 
-def _nearest(seeds: list[str], max_led: int, first: int):
-    """struct(Cluster, LED) of the lowest-numbered seed within reach, else null; lengths are compared before distances."""
-    seq = F.col("sequences")
-    tests = []
-    for k, seed in enumerate(seeds):
-        led = F.levenshtein(seq, F.lit(seed), max_led)
-        reach = (F.abs(F.length(seq) - len(seed)) <= max_led) & (led >= 0)
-        tests.append(F.when(reach, F.struct(F.lit(first + k).alias("Cluster"), led.alias("LED"))))
-    return F.coalesce(*tests)
+def _reach(seeds: list[str], max_led: int) -> Column:
+    """struct(Cluster, LED) of the first seed within ``max_led`` edits of ``sequences``, numbered from 1; both null if there is none."""
+
+    def run(sequences: pa.Array) -> pa.Array:
+        found, edits = m.first_within(m.Reads(sequences), seeds, max_led)
+        none = found < 0
+        return pa.StructArray.from_arrays([pa.array(x.astype(np.int32), mask=none) for x in (found + 1, edits)], ["Cluster", "LED"])
+
+    return F.arrow_udf(run, "struct<Cluster:int,LED:int>").asNondeterministic()(F.col("sequences"))  # so that the optimizer doesn't copy it
 
 
 def cluster_led(counts: DataFrame, min_reads: int = 10, max_led: int = 7, total_clusters: int = 30, keep_nc: bool = True) -> DataFrame:
     """Clustered table: greedily, the first unassigned sequence is a seed and takes all unassigned ones within ``max_led`` edits.
 
-    Seeds are found for a batch at a time; every row then takes the lowest-numbered seed in its reach, which is what
-    one seed after the other gives.  After ``total_clusters`` the rest is cluster 0 (with ``keep_nc``), else dropped.
+    All seeds are found first; then every row takes the lowest-numbered seed in its reach, which is what one seed after the other
+    gives, in a single pass.  After ``total_clusters`` the rest is cluster 0 (with ``keep_nc``), else dropped.
     """
-    rest, parts, n = stored(cluster_input(counts, min_reads), "cluster"), [], 0
-    while n < total_clusters:
-        seeds = _seeds(rest, max_led, total_clusters - n)
-        if not seeds:
-            break
-        passed = stored(rest.withColumn("_c", _nearest(seeds, max_led, n + 1)), "cluster")
-        parts.append(passed.where("_c IS NOT NULL"))
-        rest = passed.where("_c IS NULL").drop("_c")
-        n += len(seeds)
+    rows = stored(cluster_input(counts, min_reads), "cluster")
+    seeds = find_seeds(rows, max_led, total_clusters)
+    found = stored(rows.withColumn("_c", _reach(seeds, max_led)), "cluster")
+    out = found.where("_c.Cluster IS NOT NULL")
     if keep_nc:
+        rest = found.where("_c.Cluster IS NULL")
         first = rest.orderBy("_pos").limit(1).select(F.col("sequences").alias("_first"))
-        rest = rest.crossJoin(F.broadcast(first))  # one row
-        parts.append(rest.withColumn("_c", F.struct(F.lit(0).alias("Cluster"), F.levenshtein("sequences", "_first").alias("LED"))).drop("_first"))
-    out = parts[0] if parts else rest.withColumn("_c", F.lit(None).cast("struct<Cluster:int,LED:int>")).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        left = rest.crossJoin(F.broadcast(first))  # one row
+        out = out.unionByName(left.withColumn("_c", F.struct(F.lit(0).alias("Cluster"), F.levenshtein("sequences", "_first").alias("LED"))).drop("_first"))
     return rank_in_cluster(out.select("Rank", "Reads", "RPU", F.col("_c.Cluster").alias("Cluster"), F.col("_c.LED").alias("LED"), "sequences", "_pos"), [F.col("_pos").asc()]).drop("_pos").transform(with_ids)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import rint_to
 from ..storage import numbered_within, stored
+from . import selection
+from .similarity import similar_pairs
 
 #: What infinite values become (fixed values).
 MOST_ENRICHED, MOST_LOG2 = 999.999, 20.0
@@ -31,10 +33,15 @@ def enrich(a: DataFrame, b: DataFrame, keep_na: bool = False) -> DataFrame:
 
 
 def enrich_stats(enriched: DataFrame) -> DataFrame:
-    """One row of statistics of an enriched table; standard deviations are of a sample, values of no rows are 0."""
+    """One row of statistics of an enriched table; standard deviations are of a sample, values of no rows are 0.
+
+    Medians are exact and found by selection (:mod:`.selection`), so no task holds a column's values.
+    """
+    enriched = stored(enriched.select("RPU_a", "RPU_b", "Enrichment", "log2E"), "enriched")
+    middle = selection.medians(enriched, ["Enrichment", "log2E"])
     out = []
     for c, name in (("Enrichment", "enrichment"), ("log2E", "log2e")):
-        for f, kind in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (F.median, "median"), (F.stddev_samp, "std")):
+        for f, kind in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (lambda c: selection.literal(middle[c]), "median"), (F.stddev_samp, "std")):
             out.append(F.coalesce(f(c), F.lit(0.0)).alias(f"{name}_{kind}"))
     out += [F.count_if(F.col("RPU_b") == 0).alias("only_a"), F.count_if(F.col("RPU_a") == 0).alias("only_b"), F.count_if((F.col("RPU_a") > 0) & (F.col("RPU_b") > 0)).alias("in_both")]
     return enriched.agg(*out, F.count_if(F.col("Enrichment") > 10).alias("highly_enriched"), F.count_if(F.col("Enrichment") < 0.1).alias("highly_depleted"))
@@ -50,10 +57,15 @@ def led_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def led_matrix_stats(matrix: DataFrame, threshold: int) -> DataFrame:
-    """One row: min, max, mean, median, population deviation, and cells of at most ``threshold``."""
-    led = F.col("led")
-    few = F.count_if(led <= threshold)
-    return matrix.agg(F.min(led).alias("min"), F.max(led).alias("max"), F.avg(led).alias("mean"), F.median(led).alias("median"), F.stddev_pop(led).alias("std"), few.alias("below_count"), (few * 100.0 / F.count(led)).alias("below_percent"))
+    """One row: min, max, mean, median, population deviation, and cells of at most ``threshold``.
+
+    The matrix becomes a count of cells for each distance first, which holds all that is asked for.
+    """
+    led, n = F.col("led"), F.col("n")
+    counted = matrix.where("led IS NOT NULL").groupBy("led").agg(F.count(F.lit(1)).alias("n"))  # a row for each distance
+    few = F.coalesce(F.sum(F.when(led <= threshold, n)), F.lit(0))
+    mean = F.sum(led * n) / F.sum(n)
+    return counted.agg(F.min(led).alias("min"), F.max(led).alias("max"), mean.alias("mean"), F.expr("percentile(led, 0.5D, n)").alias("median"), F.sqrt(F.greatest(F.sum(led * led * n) / F.sum(n) - mean * mean, F.lit(0.0))).alias("std"), few.alias("below_count"), F.try_divide(few * 100.0, F.sum(n)).alias("below_percent"))
 
 
 def merge_candidates(matrix: DataFrame, threshold: int = 7) -> DataFrame:
@@ -62,6 +74,15 @@ def merge_candidates(matrix: DataFrame, threshold: int = 7) -> DataFrame:
     return best.select("c1", F.col("_b.c2").alias("c2"), F.col("_b.led").alias("led"))
 
 
+def nearest_clusters(a: DataFrame, b: DataFrame, threshold: int = 7) -> DataFrame:
+    """What :func:`merge_candidates` gives for the seeds of two clustered populations, by a similarity join instead of their matrix."""
+    if threshold <= 0:
+        return merge_candidates(led_matrix(a, b), threshold)
+    seeds = [x.where("RankInCluster = 1").select(F.col("Cluster").alias(i), F.col("sequences").alias(t)) for x, i, t in ((a, "i", "s"), (b, "j", "t"))]
+    best = similar_pairs(*seeds, threshold - 1).groupBy("i").agg(F.min(F.struct("led", "j")).alias("_b"))
+    return best.select(F.col("i").alias("c1"), F.col("_b.j").alias("c2"), F.col("_b.led").alias("led"))
+
+
 def merge_clusters(a: DataFrame, b: DataFrame, candidates: DataFrame) -> DataFrame:
     """Both populations with common cluster ids and ``Population`` 1 or 2.
 
@@ -102,5 +123,5 @@ def recluster_led(ranked: DataFrame) -> DataFrame:
 
 def recluster(a: DataFrame, b: DataFrame, threshold: int = 7) -> DataFrame:
     """Merge the clusters of two populations by their seeds and rank sequences by enrichment."""
-    candidates = merge_candidates(led_matrix(a, b), threshold)
+    candidates = nearest_clusters(a, b, threshold)
     return recluster_led(stored(recluster_rank(recluster_enrich(merge_clusters(a, b, candidates))), "recluster"))

@@ -429,13 +429,13 @@ def led_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RECLUSTER + "SELECT c1, c2, led FROM candidates")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.merge_candidates(compare.led_matrix(*_pair(spark, sf_dir)))
+    return compare.nearest_clusters(*_pair(spark, sf_dir))
 
 
 @query(_RECLUSTER + "SELECT *, 1 AS Population FROM cluster0 UNION ALL SELECT *, 2 FROM moved")
 def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _pair(spark, sf_dir)
-    return compare.merge_clusters(a, b, compare.merge_candidates(compare.led_matrix(a, b)))
+    return compare.merge_clusters(a, b, compare.nearest_clusters(a, b))
 
 
 @query(_RECLUSTER + "SELECT * FROM joined")

@@ -70,14 +70,12 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ranged = stored(ranged.select("*", F.shiftright(mark, 33).alias("_part"), mark.bitwiseAND(2**33 - 1).alias("_row")), "numbered")
     sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    offset, shift = 0, F.lit(0).cast("long")
-    pairs = []
+    before, offsets = 0, []
     for part, size in sizes:
-        pairs += [F.lit(part), F.lit(offset)]
-        offset += size
-    if pairs:
-        shift = F.element_at(F.create_map(*pairs), F.col("_part")).cast("long")
-    return ranged.withColumn(name, shift + F.col("_row") + 1).drop("_part", "_row")
+        offsets.append((part, before))
+        before += size
+    offsets = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")  # a row for each partition
 
 
 def numbered_within(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
