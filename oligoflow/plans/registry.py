@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..operators import align, browse, cluster, compare, counts, diversity, kmer, preprocess, profile
+from ..operators import align, browse, cluster, compare, counts, diversity, kmer, layout, preprocess, profile
 from ..sources import files
 from ..storage import new_path, stored
 from . import fixtures as fx
@@ -359,6 +359,13 @@ def kmer_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer.kmer_neighbors(df.where("Rank % 100 = 0"), df, exact=True)
 
 
+@query()
+def kmer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of all sequences that clustering takes, with their clusters."""
+    clustered = stored(cluster_keep_nc(spark, sf_dir), "clustered")
+    return layout.kmer_layout(clustered, 4, epochs=20, exact=True).join(clustered.select("sequences", "Cluster"), "sequences")
+
+
 @query("SELECT Cluster, count(*) AS count FROM clustera WHERE Cluster IN (1, 2, 3) GROUP BY Cluster")
 def kmer_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer.kmer_cluster_summary(fx.clustered(spark, sf_dir), [1, 2, 3])
