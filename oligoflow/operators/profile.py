@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .align import residue_positions
+from ..storage import stored
+from .align import require_aligned, residue_positions
 
 #: Emission alphabet, and pseudo-counts: added to a count, added to the total (fixed values).
 ALPHABET = "acgtn"
@@ -33,8 +39,6 @@ def profile_emissions(df: DataFrame, method: str = "laplace") -> DataFrame:
     if method not in PSEUDOCOUNTS:
         raise ValueError(f"unknown pseudocount method {method!r}")
     one, total = PSEUDOCOUNTS[method]
-    from pyspark.sql import Window
-
     match = _columns(df).where(F.col("gaps") / F.col("all") < GAP_SHARE)
     match = match.withColumn("match_state", F.row_number().over(Window.orderBy("Position")))  # a row for each column
     pairs = ", ".join(f"'{x}', {x}" for x in ALPHABET)
@@ -65,3 +69,85 @@ def profile_stats(df: DataFrame) -> DataFrame:
     columns = _columns(df)
     states = columns.agg(F.max("all").alias("num_sequences"), F.count(F.lit(1)).alias("alignment_length"), F.count_if(F.col("gaps") / F.col("all") < GAP_SHARE).alias("num_match_states"))
     return states.select(F.coalesce("num_sequences", F.lit(0)).alias("num_sequences"), "alignment_length", "num_match_states")
+
+
+class _HasMethod(Params):
+    """How pseudo-counts are added: laplace, background or none."""
+
+    method = Param(Params._dummy(), "method", "laplace, background or none", TypeConverters.toString)
+
+
+class Profile(Estimator, _HasMethod, DefaultParamsReadable, DefaultParamsWritable):
+    """Estimates a profile of aligned ``sequences``; null ones don't count, and those of several lengths are refused."""
+
+    def __init__(self, method: str = "laplace") -> None:
+        super().__init__()
+        self._setDefault(method="laplace")
+        self._set(method=method)
+
+    def _fit(self, dataset: DataFrame) -> ProfileModel:
+        rows = require_aligned(dataset.where("sequences IS NOT NULL").select("sequences"))
+        tables = (profile_emissions(rows, self.getOrDefault("method")), profile_transitions(rows), profile_stats(rows))
+        return self._copyValues(ProfileModel(*[stored(t, "profile") for t in tables]))
+
+
+class ProfileModel(Model, _HasMethod, MLReadable, MLWritable):
+    """A fitted profile: the tables ``emissions``, ``transitions`` and ``stats``.
+
+    ``transform`` adds ``log_likelihood`` to aligned sequences: the sum of ln p (of 0: minus infinity) over match columns with a residue of the alphabet;
+    null for null sequences and for those without such a residue.
+    """
+
+    def __init__(self, emissions: DataFrame | None = None, transitions: DataFrame | None = None, stats: DataFrame | None = None) -> None:
+        super().__init__()
+        self._setDefault(method="laplace")
+        self.emissions, self.transitions, self.stats = emissions, transitions, stats
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        # a number for each match column and residue: bounded by the alignment's length
+        logs = {(r["col"], r["residue"]): math.log(r["p"]) if r["p"] > 0 else -math.inf for r in self.emissions.select("col", "residue", "p").collect()}
+        columns = sorted({c for c, _ in logs})
+        if not columns:
+            return dataset.withColumn("log_likelihood", F.lit(None).cast("double"))
+        table = F.array(*[F.struct(F.lit(c).alias("col"), *[F.lit(logs.get((c, x))).cast("double").alias(x) for x in ALPHABET]) for c in columns])
+
+        def at(e):
+            residue = F.lower(F.substring("sequences", e["col"], F.lit(1)))
+            return F.coalesce(*[F.when(residue == x, e[x]) for x in ALPHABET])
+
+        seen = F.filter(F.transform(table, at), lambda x: x.isNotNull())
+        return dataset.withColumn("log_likelihood", F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, x: a + x)))
+
+    def write(self) -> MLWriter:
+        return _ProfileWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ProfileReader(cls)
+
+
+class _ProfileWriter(MLWriter):
+    """A folder with the parameters and a Parquet table for each of the model's."""
+
+    def __init__(self, model: ProfileModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        for name in ("emissions", "transitions", "stats"):
+            getattr(self.model, name).write.parquet(f"{path}/{name}")
+
+
+class _ProfileReader(MLReader):
+    def __init__(self, cls: type) -> None:
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> ProfileModel:
+        spark: SparkSession = self.sparkSession
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        model = ProfileModel(*[spark.read.parquet(f"{path}/{name}") for name in ("emissions", "transitions", "stats")])
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model

@@ -72,11 +72,20 @@ def read_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_fastq(spark, path)
 
 
-@query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, length, sequences FROM count1")
+@query("SELECT concat(l_orderkey, '-', l_linenumber) AS id, sequences, quality FROM reads")
+def read_fastq_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads written as FASTQ with lines of 20 characters and read back."""
+    path = new_path(spark, "fastq-wrapped")
+    wrapped = [F.regexp_replace(c, "(.{20})(?=.)", "$1\n") for c in ("sequences", "quality")]
+    fx.reads(spark, sf_dir).select(F.concat_ws("\n", F.concat(F.lit("@"), F.concat_ws("-", "l_orderkey", "l_linenumber")), wrapped[0], F.lit("+"), wrapped[1])).write.text(path)
+    return files.read_fastq(spark, path)
+
+
+@query("SELECT ID, Rank, Reads, CAST(RPU AS DOUBLE) AS RPU, length, sequences FROM counta")
 def read_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counts table written as gzipped FASTA and read back."""
     path = new_path(spark, "fasta-gz")
-    rows = fx.population(spark, sf_dir, 1)
+    rows = fx.population(spark, sf_dir)
     rows.select(F.concat(F.lit(">"), F.col("ID"), F.lit("\n"), F.col("sequences"))).write.option("compression", "gzip").text(path)
     return files.read_fasta(spark, path).select("ID", "Rank", "Reads", "RPU", "length", "sequences")
 
@@ -210,7 +219,7 @@ def count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS unique_sequences, CAST(sum(Reads) AS BIGINT) AS total_reads FROM ua")
 def population_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.population_totals(fx.population(spark, sf_dir))
+    return counts.population_totals(counts.count_unique(fx.reads(spark, sf_dir)))
 
 
 @query(", um AS (SELECT sequences, CAST(sum(Reads) AS BIGINT) AS Reads FROM (SELECT * FROM u0 UNION ALL SELECT * FROM u1) GROUP BY sequences), " + fx.finished_sql("um", "merged") + " SELECT * FROM merged")
@@ -231,7 +240,7 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT bin, sum(Reads)::DOUBLE / (SELECT sum(Reads) FROM ua)::DOUBLE AS fraction, count(*) AS unique_count FROM (
 SELECT Reads, CASE WHEN Reads = 1 THEN 'Singleton' WHEN Reads < 10 THEN '1 < Reads < 10' WHEN Reads < 100 THEN '10 ≤ Reads < 100' WHEN Reads < 1000 THEN '100 ≤ Reads < 1000' ELSE '1000 ≤ Reads' END AS bin FROM ua) GROUP BY bin""")
 def abundance_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.abundance_bins(fx.population(spark, sf_dir))
+    return counts.abundance_bins(counts.count_unique(fx.reads(spark, sf_dir)))
 
 
 # browsing
@@ -567,6 +576,23 @@ def profile_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_transitions(_aligned(spark, sf_dir))
 
 
+@query(_EMISSIONS + "SELECT match_state, col, residue, p::DOUBLE AS p, round_even(p / sum(p) OVER (PARTITION BY match_state) * 1e9, 0) / 1e9 AS p_normalized FROM emitted")
+def profile_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emissions of a fitted profile that was saved and loaded."""
+    path = new_path(spark, "profile")
+    profile.Profile().fit(_aligned(spark, sf_dir)).save(path)
+    return profile.ProfileModel.load(path).emissions.withColumn("p_normalized", sq.rint_to(F.col("p_normalized"), 9))
+
+
+@query(_EMISSIONS + """, d AS (SELECT aligned AS seq, count(*) AS n FROM reads GROUP BY aligned)
+SELECT seq AS sequences, n, round_even(sum(ln(e.p)) * 1e6, 0) / 1e6 AS log_likelihood FROM d, emitted e WHERE lower(substring(seq, e.col, 1)) = e.residue GROUP BY seq, n""")
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of each distinct aligned read under the profile of all."""
+    reads = _aligned(spark, sf_dir)
+    scored = profile.Profile().fit(reads).transform(reads.groupBy("sequences").agg(F.count(F.lit(1)).alias("n")))
+    return scored.withColumn("log_likelihood", sq.rint_to(F.col("log_likelihood"), 6))
+
+
 @query(_EMISSIONS + "SELECT (SELECT count(*) FROM reads) AS num_sequences, (SELECT count(*) FROM cols) AS alignment_length, (SELECT count(*) FROM matches) AS num_match_states")
 def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_stats(_aligned(spark, sf_dir))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import strip_cr
-from ..storage import numbered, partitions
+from ..storage import numbered
+from .fastq import read_fastq
+
+__all__ = ["read_counts_csv", "read_fasta", "read_fastq", "read_sequences", "write_csv", "write_fasta", "write_fastq", "write_profile"]
 
 #: Header keys and their types; other keys are ignored.
 KEYS = {"Rank": "long", "Reads": "long", "RPU": "double", "Cluster": "int", "RankInCluster": "int", "LED": "int"}
@@ -35,142 +33,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return out.select("ID", *KEYS, "length", "sequences")
 
 
-def _start(lines: list[str]) -> int | None:
-    """The first line of a block at which a record begins: it starts with @ and the next but one with +."""
-    return next((k for k in range(len(lines) - 2) if lines[k].startswith("@") and lines[k + 2].startswith("+")), None)
-
-
-def _stripped(lines: list[str]) -> list[str]:
-    """Without blank lines at the end."""
-    while lines and not lines[-1].strip():
-        lines = lines[:-1]
-    return lines
-
-
-def _records(lines: pa.Array, path: str) -> list[pa.Array]:
-    """id, sequence and quality of whole records of four lines each; blank lines before a record are passed over."""
-    at = np.arange(0, len(lines) - 3, 4)
-    head = lines.take(pa.array(at))
-    if not pc.all(pc.starts_with(head, "@")).as_py() or not pc.all(pc.starts_with(lines.take(pa.array(at + 2)), "+")).as_py():
-        raise ValueError(f"{path}: not a FASTQ record of four lines")
-    return [pc.utf8_slice_codeunits(head, 1), lines.take(pa.array(at + 1)), lines.take(pa.array(at + 3))]
-
-
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of the blocks of a task, and of each block the lines before its first and after its last whole record."""
-    block, held, open_ = None, [], False
-
-    def out(columns: list[pa.Array], part: tuple | None = None) -> pa.RecordBatch:
-        n = len(columns[0])
-        path, start, side, lines = part or (None, None, None, None)
-        return pa.RecordBatch.from_arrays([*columns, pa.array([path] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array([lines] * n, pa.list_(pa.string()))], ["id", "sequences", "quality", "path", "start", "side", "lines"])
-
-    def piece(side: int, lines: list[str]) -> Iterator[pa.RecordBatch]:
-        if lines:
-            yield out([pa.array([None], pa.string())] * 3, (*block[:2], side, lines))
-
-    def settled(end: bool) -> Iterator[pa.RecordBatch]:
-        """Whole records of the lines that are held; at the end of the block also what is left."""
-        nonlocal held, open_
-        lines = pa.concat_arrays(held) if held else pa.array([], pa.string())
-        if not open_:
-            few = lines.slice(0, 16).to_pylist()
-            blank = next((k for k, x in enumerate(few) if x.strip()), len(few)) if not block[1] else 0
-            at = blank if not block[1] else _start(few)
-            if at is None:
-                if end or len(lines) >= 16:
-                    if not end:
-                        raise ValueError(f"{block[0]}: no FASTQ record begins near byte {block[1]}")
-                    yield from piece(0, lines.to_pylist())
-                    held = []
-                else:
-                    held = [lines]
-                return
-            yield from piece(0, few[:at] if block[1] else [])
-            lines, open_ = lines.slice(at), True
-        n = len(lines) // 4 * 4
-        whole = lines.slice(0, n)
-        if n and not all(x.startswith("@") for x in whole.take(pa.array(np.arange(0, n, 4))).to_pylist()):
-            whole = [x for x in lines.to_pylist()]
-            kept, k = [], 0
-            while k < len(whole):  # blank lines between records
-                if not whole[k].strip():
-                    k += 1
-                else:
-                    kept += whole[k : k + 4]
-                    k += 4
-            lines = pa.array(kept, pa.string())
-            n = len(lines) // 4 * 4
-            whole = lines.slice(0, n)
-        if n:
-            yield out(_records(whole, block[0]))
-        held = [lines.slice(n)]
-        if end:
-            rest = lines.slice(n).to_pylist()
-            rest = _stripped(rest) if block[2] else rest
-            if rest and block[2] and not block[1]:
-                raise ValueError(f"{block[0]}: the last record is cut short")
-            yield from piece(1, rest)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lines = batch.column(0)
-        start, path = batch.column(2).to_numpy(), batch.column(1)
-        new = np.flatnonzero((start[1:] != start[:-1]) | pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False)) + 1
-        cuts = [0, *new.tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            this = (path[lo].as_py(), int(start[lo]), bool(batch.column(3)[lo].as_py()))
-            if this != block:
-                if block is not None:
-                    yield from settled(True)
-                block, held, open_ = this, [], False
-            held.append(lines.slice(lo, hi - lo))
-            yield from settled(False)
-    if block is not None:
-        yield from settled(True)
-
-
-def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records that lie across blocks, from the pieces of each file in order."""
-    path, held = None, []
-
-    def checked() -> None:
-        if _stripped(held):
-            raise ValueError(f"{path}: the last record is cut short")
-
-    for batch in batches:
-        for this, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if this != path:
-                checked()
-                path, held = this, []
-            held += lines
-            n = len(held) // 4 * 4
-            if n:
-                yield pa.RecordBatch.from_arrays(_records(pa.array(held[:n], pa.string()), path), ["id", "sequences", "quality"])
-                held = held[n:]
-    checked()
-
-
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, sequences, quality) of FASTQ files of four lines a record, in any store that Spark reads; a .gz is read by one task.
-
-    Files are read as lines, block by block; a record across two blocks is put together from the lines at their ends
-    (a few for each block; for this, files of several blocks are read a second time).  An empty file has no records; a record that is cut
-    short is refused.
-    """
-    meta = {k: F.col(f"_metadata.{k}") for k in ("file_path", "file_block_start", "file_block_length", "file_size")}
-    raw = spark.read.text(path)
-    last = meta["file_block_start"] + meta["file_block_length"] >= meta["file_size"]
-    lines = lambda df: df.select("value", meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), last.alias("last"))
-    schema = "id string, sequences string, quality string, path string, start long, side int, lines array<string>"
-    whole = lines(raw).mapInArrow(_scanned, schema).where("lines IS NULL").select("id", "sequences", "quality")
-    split = (meta["file_block_length"] < meta["file_size"]) & ~F.lower(meta["file_path"]).endswith(".gz")
-    parts = lines(raw.where(split)).mapInArrow(_scanned, schema).where("lines IS NOT NULL")
-    pieces = parts.select("path", "lines", "start", "side").repartition(partitions(spark), "path").sortWithinPartitions("path", "start", "side")
-    return whole.unionByName(pieces.mapInArrow(_stitched, "id string, sequences string, quality string"))
-
-
 def read_counts_csv(spark: SparkSession, path: str) -> DataFrame:
     """A counts table of CSV files: headers in any case, missing Rank, Reads and RPU as in :func:`read_fasta`."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"')

@@ -215,6 +215,27 @@ def test_profile(spark):
     assert profile.profile_stats(df).first().asDict() == {"num_sequences": 4, "alignment_length": 3, "num_match_states": 2}
 
 
+def test_profile_is_fitted_saved_and_loaded(spark, tmp_path):
+    df = reads(spark, "A-C", "A-C", "AGC", "--C")
+    model = profile.Profile(method="none").fit(df.withColumn("p", F.lit("clash")).unionByName(df.limit(1).withColumns({"sequences": F.lit(None).cast("string"), "p": F.lit("x")})))
+    model.save(str(tmp_path / "m"))
+    with pytest.raises(Exception, match="exist"):
+        model.save(str(tmp_path / "m"))
+    model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = profile.ProfileModel.load(str(tmp_path / "m"))
+    assert loaded.uid == model.uid and loaded.getOrDefault("method") == "none"
+    for name in ("emissions", "transitions", "stats"):
+        assert sorted(map(tuple, getattr(loaded, name).collect())) == sorted(map(tuple, getattr(model, name).collect()))
+    got = {r.sequences: r.log_likelihood for r in loaded.transform(reads(spark, "A-C", "a-G", "---", "AAC")).collect()}
+    assert got == {"A-C": 0.0, "a-G": -math.inf, "---": None, "AAC": 0.0}
+    laplace = profile.Profile().fit(df).transform(reads(spark, "A-C")).first().log_likelihood
+    assert laplace == pytest.approx(math.log(4 / 8) + math.log(5 / 9))
+    with pytest.raises(ValueError, match="not aligned"):
+        profile.Profile().fit(reads(spark, "AC", "A"))
+    files.write_profile(model.emissions, model.transitions, str(tmp_path / "json"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "json/transitions")).select("md", "mi", "mm").collect()] == [tuple(r) for r in model.transitions.select("md", "mi", "mm").collect()]
+
+
 def test_fastq_ranges(spark, tmp_path):
     path = tmp_path / "x.fastq"
     rows = [(f"r{k}", "ACGT"[k % 4] * (5 + k % 7), ("@+I"[k % 3]) * (5 + k % 7)) for k in range(400)]
