@@ -6,8 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sequences as sq
+from ..storage import new_path, partitions
 
 
 def search_any(df: DataFrame, text: str) -> DataFrame:
@@ -28,6 +30,38 @@ def page(df: DataFrame, order: list, number: int = 1, size: int = 10) -> DataFra
     return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(pages))  # one row
 
 
+class Pages:
+    """A table sorted once for many pages: ranges of rows in folders of their own, and the number of rows of each, so any page reads the few ranges it lies in.
+
+    Rows that tie in ``order`` may stand in any order, but in the same for all pages.  The table stays in the shared folder (see :mod:`..storage`).
+    """
+
+    def __init__(self, df: DataFrame, order: list) -> None:
+        spark, path = df.sparkSession, new_path(df.sparkSession, "pages")
+        n = partitions(spark)
+        mark = F.monotonically_increasing_id()
+        ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        ranged.select("*", F.shiftright(mark, 33).alias("_part"), mark.bitwiseAND(2**33 - 1).alias("_row")).write.partitionBy("_part").parquet(path)
+        self.columns = df.columns
+        self.ranges: list[tuple[int, int, int]] = []  # number, rows before, rows
+        schema = T.StructType([*df.schema.fields, T.StructField("_row", T.LongType()), T.StructField("_part", T.LongType())])
+        self.rows = spark.read.schema(schema).parquet(path)
+        before = 0
+        for part, size in sorted((r["_part"], r["n"]) for r in self.rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each range
+            self.ranges.append((part, before, size))
+            before += size
+        self.total = before
+
+    def page(self, number: int, size: int = 10) -> DataFrame:
+        """Rows of page ``number`` (from 1) in order, with ``total_pages``; none beyond the last."""
+        low, high = (number - 1) * size, number * size
+        pages = F.lit(-(-self.total // size)).cast("long").alias("total_pages")
+        inside = [(p, b) for p, b, n in self.ranges if b < high and b + n > low]
+        at = F.coalesce(*[F.when(F.col("_part") == p, F.col("_row") + b) for p, b in inside], F.lit(-1).cast("long"))
+        found = self.rows.where(F.col("_part").isin([p for p, _ in inside]) if inside else F.lit(False)).withColumn("_at", at)
+        return found.where((F.col("_at") >= low) & (F.col("_at") < high)).orderBy("_at").select(*[F.col(f"`{c}`") for c in self.columns], pages)
+
+
 def cluster_list(clustered: DataFrame) -> DataFrame:
     """Distinct clusters in order; rows without one don't count."""
     return clustered.where("Cluster IS NOT NULL").select("Cluster").distinct().orderBy("Cluster")

@@ -236,6 +236,18 @@ def test_profile_is_fitted_saved_and_loaded(spark, tmp_path):
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "json/transitions")).select("md", "mi", "mm").collect()] == [tuple(r) for r in model.transitions.select("md", "mi", "mm").collect()]
 
 
+def test_pages_of_a_table_sorted_once(spark):
+    df = spark.createDataFrame([(k * 37 % 101, f"s{k}") for k in range(101)], "total_pages int, `a.b` string")
+    pages = browse.Pages(df.withColumnRenamed("total_pages", "k"), [F.col("k").desc()])
+    for number in (1, 2, 5, 11, 12):
+        got = pages.page(number, 10)
+        assert [r.k for r in got.collect()] == [100 - x for x in range((number - 1) * 10, min(number * 10, 101))]
+        assert all(r.total_pages == 11 for r in got.collect())
+    plan = pages.page(5, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan or "_part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(pages.ranges) > 1 and browse.Pages(df.limit(0), ["total_pages"]).page(1).collect() == []
+
+
 def test_fastq_ranges(spark, tmp_path):
     path = tmp_path / "x.fastq"
     rows = [(f"r{k}", "ACGT"[k % 4] * (5 + k % 7), ("@+I"[k % 3]) * (5 + k % 7)) for k in range(400)]
