@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import partitions, stored
+from .bgzf import read_text
 
 #: Records in a row that must parse before a line counts as the beginning of one.
 SURE = 4
@@ -227,16 +228,15 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, sequences, quality) of FASTQ files, records wrapped or not, in any store that Spark reads; a .gz is read by one task.
+    """(id, sequences, quality) of FASTQ files, records wrapped or not, in any store that Spark reads; a .gz is read by one task unless it is
+    block-compressed.
 
     Lines of a record are joined; blank lines between records are passed over.  An empty file has no records.  A file
     with a record that is cut short or has more quality symbols than bases is refused (ValueError in the job that reads it).  Files of
     several blocks are scanned once at the call, for the lines at the ends of blocks, and once when records are used.
     """
-    meta = {k: F.col(f"_metadata.{k}") for k in ("file_path", "file_block_start", "file_block_length", "file_size")}
-    raw = spark.read.text(path)
-    lines = lambda df: df.select("value", meta["file_path"].alias("path"), meta["file_block_start"].alias("start"))
-    found = lines(raw).mapInArrow(_scanned, _SCANNED)
+    raw = read_text(spark, path)
+    found = raw.mapInArrow(_scanned, _SCANNED)
     # ends of files of one block too: a record that is cut short
     pieces = found.where("lines IS NOT NULL").select("path", "side", "lines", "sure", "start").repartition(partitions(spark), "path").sortWithinPartitions("path", "start", "side")
     met = stored(pieces.select("path", "side", "lines", "sure").mapInArrow(_stitched, "id string, sequences string, quality string, path string, wrong boolean"), "stitched")
@@ -245,7 +245,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     whole = found.where("lines IS NULL")
     if not wrong:
         return whole.select(out).unionByName(met.select(out))
-    again = raw.where(meta["file_path"].isin(wrong)).select("value", meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("n"))
+    again = raw.where(F.col("path").isin(wrong)).withColumn("n", F.monotonically_increasing_id())
     again = again.repartition(len(wrong), "path").sortWithinPartitions("path", "start", "n").select("value", "path")
     kept = whole.where(~F.col("path").isin(wrong)).select(out).unionByName(met.where("NOT wrong").select(out))
     return kept.unionByName(again.mapInArrow(_in_order, "id string, sequences string, quality string"))

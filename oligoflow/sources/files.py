@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import strip_cr
 from ..storage import numbered
+from .bgzf import read_text
 from .fastq import read_fastq
 
 __all__ = ["read_counts_csv", "read_fasta", "read_fastq", "read_sequences", "write_csv", "write_fasta", "write_fastq", "write_profile"]
@@ -16,12 +17,12 @@ KEYS = {"Rank": "long", "Reads": "long", "RPU": "double", "Cluster": "int", "Ran
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records of FASTA files (a .gz is read by one task): ID, the typed ``key=value`` pairs of the header (keys in any case), length, sequences.
+    """Records of FASTA files (a .gz is read by one task unless it is block-compressed): ID, the typed ``key=value`` pairs of the header (keys in any case), length, sequences.
 
     Missing keys: Rank is the place in file order, Reads and RPU are 0, the others null.  Lines of a record
     are joined and white space is removed.  Records without a header are left out.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    raw = read_text(spark, path, "\n>").select(F.regexp_replace("value", "^>", "").alias("r"), F.col("path").alias("_f"), F.col("start").alias("_b"))
     head = F.trim(strip_cr(F.substring_index("r", "\n", 1)))
     body = F.regexp_replace(F.substring(F.col("r"), F.length(F.substring_index("r", "\n", 1)) + 1, F.length("r")), r"\s", "")
     keyed = raw.withColumns({"ID": head, "sequences": body, "_m": F.monotonically_increasing_id()}).where("ID <> '' OR sequences <> ''")
@@ -47,7 +48,7 @@ def read_counts_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """Reader by extension (.fa .fasta .fq .fastq with or without .gz, .csv); ValueError for others and for empty input."""
-    name = path.lower().rstrip("/").removesuffix(".gz")
+    name = path.lower().rstrip("/").removesuffix(".gz").removesuffix(".bgz")
     if name.endswith((".fa", ".fasta")):
         out = read_fasta(spark, path)
     elif name.endswith((".fq", ".fastq")):
