@@ -86,7 +86,7 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFram
     """
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             bounds, h = shingle_sets(piece.column(1), n)
             sizes = np.diff(bounds)
             rank, item = np.arange(len(h)) - np.repeat(bounds[:-1], sizes), np.repeat(np.arange(len(sizes)), sizes)
@@ -94,14 +94,14 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(item[keep])), pa.array(h[keep].view(np.int64))], ["item", "h"])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             bounds, h = shingle_sets(piece.column(1), n)
             maybe = sieve.hash_passes(known.value, h)
             row = np.repeat(np.arange(piece.num_rows), np.diff(bounds))[maybe]
             yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(h[maybe].view(np.int64))], ["key", "h"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             (b, h), (bi, hi) = shingle_sets(piece.column(3), n), shingle_sets(piece.column(4), n)
             shared = np.array([len(np.intersect1d(h[b[k] : b[k + 1]], hi[bi[k] : bi[k + 1]], assume_unique=True)) for k in range(piece.num_rows)], np.int64)
             keep = pa.array(100 * shared >= percent * np.diff(bi))
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 5, percent: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             row, item, shared = x.search(piece.column(1))
             size = np.diff(x.bounds)[item]
             yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(x.ids[item], mask=x.no_id[item]), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1))], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
@@ -152,7 +152,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, percent: in
         return docs.join(bad, F.sha2("text", 256) == F.col(name), "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             keep = np.ones(piece.num_rows, bool)
             keep[index.value.search(piece.column(piece.schema.get_field_index("text")))[0]] = False
             yield piece.filter(pa.array(keep))

@@ -147,7 +147,11 @@ def sums_by_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total[rows[1:]] - total[rows[:-1]]
 
 
-def pieces(batches, text_col: str = "text", size: int = 1 << 20):
+#: Slice for work that makes many arrays of each text at a time.
+SMALL_SLICE = 1 << 20
+
+
+def pieces(batches, text_col: str = "text", size: int = 4 << 20):
     """Slices of Arrow batches with about ``size`` bytes of text each; one longer text stands alone."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, id, bands, sketch) of each row; id: 64-bit digest of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             bounds, h, ids = _sets(piece.column(1), n)
             minima = min_hashes(bounds, h)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel())) for x in (band_keys(minima).view(np.int64), odd_sketches(minima))]
@@ -101,7 +101,7 @@ def with_ids(texts: DataFrame, n: int) -> DataFrame:
     """(doc_id, id, text): the digest of each text's set beside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             yield pa.RecordBatch.from_arrays([piece.column(0), _sets(piece.column(1), n)[2], piece.column(1)], ["doc_id", "id", "text"])
 
     return texts.mapInArrow(run, "doc_id long, id long, text string")
@@ -111,7 +111,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     """Those of ``pairs`` (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text_a"):
+        for piece in hs.pieces(batches, "text_a", hs.SMALL_SLICE):
             size, sets = piece.num_rows, []
             for k in (2, 3):
                 raw, offsets = hs.utf8(piece.column(k))
@@ -209,7 +209,7 @@ def _rare_edges(members: DataFrame, n: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             bounds, h, _ = _sets(piece.column(3), n)
             row = pa.array(np.repeat(np.arange(piece.num_rows), np.diff(bounds)))
             yield pa.RecordBatch.from_arrays([*[piece.column(k).take(row) for k in range(3)], pa.array(h.view(np.int64))], ["id", "component", "n_shingles", "h"])
@@ -331,7 +331,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
         name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, text_col):
+        for piece in hs.pieces(batches, text_col, hs.SMALL_SLICE):
             at = piece.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([*piece.columns, _sets(piece.column(at), n)[2]], [*piece.schema.names, name])
 

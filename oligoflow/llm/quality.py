@@ -108,7 +108,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, "text"):
+        for piece in hs.pieces(batches, "text", hs.SMALL_SLICE):
             m = measure(*hs.utf8(piece.column(1)))
             yield pa.RecordBatch.from_arrays([piece.column(0)] + [pa.array(m[x] if m[x].dtype == bool else m[x].astype(np.int64)) for x in names[1:]], names)
 
@@ -119,7 +119,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text passes, with all their columns (whatever their names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in hs.pieces(batches, text_col):
+        for piece in hs.pieces(batches, text_col, hs.SMALL_SLICE):
             m = measure(*hs.utf8(piece.column(piece.schema.get_field_index(text_col))))
             yield piece.filter(pa.array(m["kept"]))
 
