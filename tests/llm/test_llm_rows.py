@@ -545,3 +545,33 @@ def test_long_heads_are_read_once():
     block = b"HTTP/1.1 200 OK\r\n" + b"X-Long: 1\r\n" * 300_000 + b"\r\nbody"
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
     assert [r["payload"] for r in warc.read_records(io.BytesIO(record))] == [b"body"]
+
+
+LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+KINDS = {"base 64": LETTERS + CAPITALS + DIGITS + "+/", "capitals and digits": CAPITALS + DIGITS, "letters and digits": LETTERS + DIGITS, "letters": LETTERS, "capitals": CAPITALS}
+HARMLESS = "20240115103000 +442079460958 2024-01-15-report ISBN-9780306406157 ISO-8859-1-latin RFC-2616-section-14 COVID-19-vaccine README-v2-final MAX_CONNECTION_POOL_SIZE 1987-07-04T12 2019-11-23-minutes MIN_RETRY_DELAY_MS invoice-2023-0042 000000000000"
+
+
+def test_random_strings_of_every_kind_are_found(spark):
+    """Models of sf0.01: recall by kind and length, harmless tokens, and the table's own words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train(docs)
+    rng = random.Random(12)
+    rows = [(f"{kind} {n}", "key " + "".join(rng.choice(a) for _ in range(n)) + " end", n) for kind, a in KINDS.items() for n in (12, 20, 64) for _ in range(100)]
+    rows += [("harmless", f"key {w} end", len(w)) for w in HARMLESS.split()]
+    found = secrets.scan(spark.createDataFrame(rows, "kind string, text string, n int"), model)
+    hit = F.expr("size(filter(spans, s -> s.start = 4 AND s.end = 4 + n)) > 0")
+    got = {r.kind: r.share for r in found.groupBy("kind").agg(F.avg(hit.cast("double")).alias("share")).collect()}
+    assert got.pop("harmless") == 0.0
+    assert all(share >= (0.8 if kind.endswith(" 12") else 0.9) for kind, share in got.items()), got
+    assert secrets.scan(docs, model).where("exists(spans, s -> s.kind = 3)").count() <= 5
+
+
+def test_ratios_of_counted_pairs():
+    n, at = len(secrets.ALPHABET), {c: k for k, c in enumerate(secrets.ALPHABET)}
+    assert secrets._ratios([]) == secrets._ratios([(1, 1, True, 5)]) == [0.0] * (n * n)
+    pair = lambda a, b: at[a] * n + at[b] + 1
+    got = secrets._ratios([(0, pair("t", "h"), True, 1000), (0, pair("h", "-"), False, 1000), (1, pair("x", "9"), True, 700)])
+    ratio = lambda a, b: got[at[a] * n + at[b]]
+    assert ratio("t", "h") < -2 and ratio("T", "H") < ratio("T", "Q") and ratio("T", "h") < ratio("T", "q") and ratio("h", "-") < -2
+    assert ratio("x", "9") > 2 and ratio("q", "7") > 0 > ratio("2", "0")
