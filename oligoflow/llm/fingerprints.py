@@ -31,6 +31,8 @@ from .base import partitions, stored
 GRAM, WINDOW = 16, 32
 #: Code points hashed at a time; text of a slice of rows; text of a range of ids, about.
 CHUNK, SLICE_BYTES, RANGE_BYTES = 1 << 20, 1 << 20, 64 << 20
+#: Ranges at most (then they hold more text each): their borders are part of the plan.
+MOST_RANGES = 4096
 #: Keys looked at for each range to choose its borders.
 KEYS_PER_RANGE = 20
 
@@ -201,11 +203,14 @@ def compare_to_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     keys = stored(rows.select("id", "h", F.octet_length("text").alias("size")), "keys")
     n_bytes = keys.agg(F.sum("size")).first()[0] or 0
-    borders, firsts = _ranges(keys, max(partitions(docs.sparkSession), math.ceil(n_bytes / RANGE_BYTES)))
-    # the smallest key of each range is a guest at the end of the range before; that of the first, of the last
-    places = ", ".join(f"named_struct('i', {_long(i)}, 'k', {_long(h)}, 'to', {firsts[k - 1][0]})" for k, (_, i, h) in enumerate(firsts))
-    own = F.struct(F.lit(False).alias("guest"), _range_of(borders).alias("range"))
-    guest = F.expr(f"transform(filter(array({places}), p -> p.i <=> id AND p.k = h), p -> named_struct('guest', true, 'range', p.to))") if firsts else F.array().cast("array<struct<guest:boolean,range:int>>")
+    borders, firsts = _ranges(keys, min(MOST_RANGES, max(partitions(docs.sparkSession), math.ceil(n_bytes / RANGE_BYTES))))
+    # the smallest key of each range is a guest at the end of the range before that has rows; that of the first, of the last
+    before = {r: (i, h, firsts[k - 1][0]) for k, (r, i, h) in enumerate(firsts)}
+    kind = "struct<id:bigint,h:bigint,to:int>"
+    places = ", ".join(f"named_struct('id', {_long(before[r][0])}, 'h', {_long(before[r][1])}, 'to', {before[r][2]})" if r in before else f"cast(null AS {kind})" for r in range(len(borders) + 1))
+    rows = rows.withColumn("range", _range_of(borders)).withColumn("first", F.expr(f"get(array({places}), range)"))
+    own = F.struct(F.lit(False).alias("guest"), F.col("range").alias("range"))
+    guest = F.when(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")), F.array(F.struct(F.lit(True).alias("guest"), F.col("first.to").alias("range")))).otherwise(F.array().cast("array<struct<guest:boolean,range:int>>"))
     dealt = rows.select("id", "h", "text", F.explode(F.concat(F.array(own), guest)).alias("p")).select("p.range", "p.guest", "id", "h", "text")
     ordered = dealt.repartition(max(partitions(docs.sparkSession), len(borders) + 1), "range").sortWithinPartitions("range", "guest", "id", "h").select("guest", "id", "text")
 
