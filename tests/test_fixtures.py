@@ -1,5 +1,6 @@
 """Reads derived from the test tables: the same as their SQL, and made once."""
 
+from oligoflow.operators import counts
 from oligoflow.plans import fixtures, registry
 
 
@@ -13,3 +14,9 @@ def test_reads_are_those_of_the_sql_and_made_once(spark, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     plan = registry.length_filter(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("% 40") == 1 and "md5" not in plan  # the filter had copies of both
+
+
+def test_reads_of_a_population_are_made_once(spark):
+    unique = counts.count_unique(fixtures.reads(spark, "/root/testdata/sf0.001").where("population = 0").select("sequences"))
+    plan = unique._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("% 40") == 1 and "md5" not in plan
