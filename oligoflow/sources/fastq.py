@@ -88,14 +88,35 @@ def _columns(records: list[tuple]) -> list[pa.Array]:
     return [pa.array(x, pa.string()) for x in zip(*records, strict=True)] if records else [pa.array([], pa.string())] * 3
 
 
-def _plain(lines: pa.Array) -> list[pa.Array] | None:
-    """Columns of records of four lines each, if all of ``lines`` are such."""
-    at = np.arange(0, len(lines), 4)
-    part = [lines.take(pa.array(at + k)) for k in range(4)]
-    same = pc.equal(pc.utf8_length(part[1]), pc.utf8_length(part[3]))
-    if not all(pc.all(x, min_count=0).as_py() for x in (pc.starts_with(part[0], "@"), pc.starts_with(part[2], "+"), same)):
+def _shape(lines: list[str]) -> tuple[int, int] | None:
+    """How many lines of sequence and of quality the first record has; None if it isn't whole or has none of them."""
+    grammar = Grammar()
+    try:
+        for k, line in enumerate(lines):
+            if grammar.feed(line):
+                bases, marks = len(grammar.sequence), len(grammar.quality)
+                return (bases, marks) if bases and marks else None
+    except ValueError:
+        pass
+    return None
+
+
+def _regular(lines: pa.Array, bases: int, marks: int) -> list[pa.Array] | None:
+    """Columns of records of ``bases`` lines of sequence and ``marks`` of quality each, if all of ``lines`` are such."""
+    at = np.arange(0, len(lines), bases + marks + 2)
+    part = [lines.take(pa.array(at + k)) for k in range(bases + marks + 2)]
+    sequence, quality = part[1 : bases + 1], part[bases + 2 :]
+    if not all(pc.all(x, min_count=0).as_py() for x in (pc.starts_with(part[0], "@"), pc.starts_with(part[bases + 1], "+"))):
         return None
-    return [pc.utf8_slice_codeunits(part[0], 1), part[1], part[3]]
+    if any(pc.any(pc.starts_with(x, c)).as_py() for x in sequence for c in "@+"):
+        return None
+    need = sum(pc.utf8_length(x).to_numpy().astype(np.int64) for x in sequence)
+    for k, x in enumerate(quality):  # the last line brings as many symbols as there are bases, none before does
+        need = need - pc.utf8_length(x).to_numpy()
+        if not ((need > 0) if k < marks - 1 else (need == 0)).all():
+            return None
+    joined = [x[0] if len(x) == 1 else pc.binary_join_element_wise(*x, "") for x in (sequence, quality)]
+    return [pc.utf8_slice_codeunits(part[0], 1), *joined]
 
 
 class Block:
@@ -104,6 +125,7 @@ class Block:
     def __init__(self, path: str, start: int) -> None:
         self.path, self.start, self.grammar = path, start, Grammar()
         self.sure, self.wrong, self.held, self.open, self.rest = start == 0, False, [], [], pa.array([], pa.string())
+        self.shape = 1, 1
 
     def take(self, lines: pa.Array, end: bool) -> Iterator[pa.RecordBatch]:
         """Records and pieces that these lines complete."""
@@ -123,10 +145,14 @@ class Block:
                 yield self.piece(0, [], True)
             self.sure, lines, self.held = True, pa.array(self.held[at:], pa.string()), []
         records = []
-        if not self.open:  # whole records of four lines, as almost all files have them
+        if not self.open:  # whole records of as many lines each, as almost all files have them
             lines = pa.concat_arrays([self.rest, lines])
-            n = len(lines) // 4 * 4
-            columns = _plain(lines.slice(0, n))
+            for learn in (False, True):
+                self.shape = learn and _shape(lines.slice(0, 4096).to_pylist()) or self.shape
+                n = len(lines) // (sum(self.shape) + 2) * (sum(self.shape) + 2)
+                columns = _regular(lines.slice(0, n), *self.shape)
+                if columns is not None:
+                    break
             if columns is not None:
                 if n:
                     yield self.batch(columns)
@@ -232,11 +258,11 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     block-compressed.
 
     Lines of a record are joined; blank lines between records are passed over.  An empty file has no records.  A file
-    with a record that is cut short or has more quality symbols than bases is refused (ValueError in the job that reads it).  Files of
-    several blocks are scanned once at the call, for the lines at the ends of blocks, and once when records are used.
+    with a record that is cut short or has more quality symbols than bases is refused (ValueError at the call).  Files are parsed once, at
+    the call; records are stored, so the lines at the ends of blocks and the records between them come from the same blocks.
     """
     raw = read_text(spark, path)
-    found = raw.mapInArrow(_scanned, _SCANNED)
+    found = stored(raw.mapInArrow(_scanned, _SCANNED), "scanned")
     # ends of files of one block too: a record that is cut short
     pieces = found.where("lines IS NOT NULL").select("path", "side", "lines", "sure", "start").repartition(partitions(spark), "path").sortWithinPartitions("path", "start", "side")
     met = stored(pieces.select("path", "side", "lines", "sure").mapInArrow(_stitched, "id string, sequences string, quality string, path string, wrong boolean"), "stitched")

@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 
 from oligoflow.sources import fastq, files
@@ -69,3 +70,20 @@ def test_broken_files_are_refused(spark, tmp_path, text):
 def test_odd_lines(spark, tmp_path):
     (tmp_path / "x.fq").write_bytes(b"\r\n\n@a\r\nAC\r\nGT\r\n+a\r\n@+\r\nII\r\n\n@b\r\n\r\n+\r\n\r\n@c d\nG\n+\n@")
     assert sorted(map(tuple, files.read_sequences(spark, str(tmp_path / "x.fq")).collect())) == [("a", "ACGT", "@+II"), ("b", "", ""), ("c d", "G", "@")]
+
+
+def test_wrapped_records_are_parsed_by_columns(monkeypatch):
+    """Records of as many lines each don't go through the grammar line by line, but for the first."""
+    rows = [(f"r{k}", "ACGTACGTAC"[k % 2 :] + "GGTTA", "@+I#IIIIII"[k % 2 :] + "+@III") for k in range(1000)]
+    lines = [x for i, s, q in rows for x in (f"@{i}", s[:10], s[10:], "+", q[:10], q[10:])]
+    fed, feed = [], fastq.Grammar.feed
+    monkeypatch.setattr(fastq.Grammar, "feed", lambda self, line: fed.append(line) or feed(self, line))
+    block = fastq.Block("x", 0)
+    batches = [b for lo in range(0, len(lines), 700) for b in block.take(pa.array(lines[lo : lo + 700]), False)] + list(block.take(pa.array([], pa.string()), True))
+    assert [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)] == rows and len(fed) < 20
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    (tmp_path / "x.fq").write_text("@a\nAC\n+\nII\n")
+    got = fastq.read_fastq(spark, str(tmp_path / "x.fq"))
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in got.collect()] == [("a", "AC", "II")]
