@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import strip_cr
-from ..storage import numbered
+from ..storage import numbered, stored
 from .bgzf import read_text
 from .fastq import read_fastq
 
@@ -25,15 +25,27 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     raw = read_text(spark, path, "\n>").select(F.regexp_replace("value", "^>", "").alias("r"), F.col("path").alias("_f"), F.col("start").alias("_b"))
     head = F.trim(strip_cr(F.substring_index("r", "\n", 1)))
     body = F.regexp_replace(F.substring(F.col("r"), F.length(F.substring_index("r", "\n", 1)) + 1, F.length("r")), r"\s", "")
-    keyed = raw.withColumns({"ID": head, "sequences": body, "_m": F.monotonically_increasing_id()}).where("ID <> '' OR sequences <> ''")
+    keyed = raw.withColumns({"ID": head, "sequences": body}).where("ID <> '' OR sequences <> ''").drop("r").withColumn("_m", F.monotonically_increasing_id())
     value = lambda k: F.nullif(F.regexp_extract("ID", f"(?i)(?:^|;){k}=([^;]*)", 1), F.lit(""))
-    out = keyed.withColumns({k: value(k).try_cast(t) for k, t in KEYS.items()})
+    keys = {k: value(k).try_cast(t) for k, t in KEYS.items()}
+    out = keyed.withColumns(keys)
     if out.where("Rank IS NULL").limit(1).count():
-        out = numbered(out, [F.col("_f"), F.col("_b"), F.col("_m")], "_n").withColumn("Rank", F.coalesce("Rank", "_n"))
+        out = _in_file_order(stored(keyed, "records")).withColumns(keys).withColumn("Rank", F.coalesce("Rank", "_n"))
     out = out.withColumns({"Reads": F.coalesce("Reads", F.lit(0).cast("long")), "RPU": F.coalesce("RPU", F.lit(0.0)), "length": F.length("sequences")})
     return out.select("ID", *KEYS, "length", "sequences")
 
 
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` (_f, _b, _m) with their number ``_n`` from 1 in order of file, block and mark, without sorting them.
+
+    A task reads a block from its beginning to its end, so marks are dense in a block; only blocks, a row for each, are put in order.
+    """
+    blocks = rows.groupBy("_f", "_b").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_f", "_b", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return rows.join(F.broadcast(blocks), ["_f", "_b"]).withColumn("_n", F.col("_m") + F.col("_shift"))
+
+
 def read_counts_csv(spark: SparkSession, path: str) -> DataFrame:
     """A counts table of CSV files: headers in any case, missing Rank, Reads and RPU as in :func:`read_fasta`."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"')
