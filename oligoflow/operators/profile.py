@@ -19,16 +19,25 @@ PSEUDOCOUNTS = {"laplace": (1.0, 5.0), "background": (0.25, 1.0), "none": (0.0,
 GAP_SHARE = 0.5
 
 
-def _columns(df: DataFrame) -> DataFrame:
-    """One row for each alignment column: symbols, gaps, and counts of the alphabet."""
+def _counted(df: DataFrame) -> DataFrame:
+    """(sequences, n): distinct sequences and their copies, so that a copy is not split into residues again."""
+    return df.groupBy("sequences").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _columns(counted: DataFrame) -> DataFrame:
+    """One row for each alignment column of (sequences, n): symbols, gaps, and counts of the alphabet."""
     c = F.lower("Residue")
-    counts = [F.count_if(c == x).alias(x) for x in ALPHABET]
-    return residue_positions(df.select("sequences")).groupBy("Position").agg(F.count(F.lit(1)).alias("all"), F.count_if(c == "-").alias("gaps"), *counts)
+    of = lambda x: F.coalesce(F.sum(F.when(c == x, F.col("n"))), F.lit(0))
+    return residue_positions(counted).groupBy("Position").agg(F.sum("n").alias("all"), of("-").alias("gaps"), *[of(x).alias(x) for x in ALPHABET])
+
+
+def _match(columns: DataFrame) -> list[int]:
+    return sorted(r["Position"] for r in columns.where(F.col("gaps") / F.col("all") < GAP_SHARE).select("Position").collect())
 
 
 def match_columns(df: DataFrame) -> list[int]:
     """Positions (from 1) where gaps are under half; bounded by the alignment's length."""
-    return sorted(r["Position"] for r in _columns(df).where(F.col("gaps") / F.col("all") < GAP_SHARE).select("Position").collect())
+    return _match(_columns(_counted(df)))
 
 
 def profile_emissions(df: DataFrame, method: str = "laplace") -> DataFrame:
@@ -36,10 +45,14 @@ def profile_emissions(df: DataFrame, method: str = "laplace") -> DataFrame:
 
     Characters outside the alphabet stay in the total, so p need not add up to 1; p_normalized does.
     """
+    return _emissions(_columns(_counted(df)), method)
+
+
+def _emissions(columns: DataFrame, method: str) -> DataFrame:
     if method not in PSEUDOCOUNTS:
         raise ValueError(f"unknown pseudocount method {method!r}")
     one, total = PSEUDOCOUNTS[method]
-    match = _columns(df).where(F.col("gaps") / F.col("all") < GAP_SHARE)
+    match = columns.where(F.col("gaps") / F.col("all") < GAP_SHARE)
     match = match.withColumn("match_state", F.row_number().over(Window.orderBy("Position")))  # a row for each column
     pairs = ", ".join(f"'{x}', {x}" for x in ALPHABET)
     long = match.selectExpr("match_state", "Position AS col", "all - gaps AS present", f"stack({len(ALPHABET)}, {pairs}) AS (residue, n)")
@@ -50,15 +63,19 @@ def profile_emissions(df: DataFrame, method: str = "laplace") -> DataFrame:
 
 def profile_transitions(df: DataFrame) -> DataFrame:
     """One row (mm, md, mi): shares of match to match, to delete and to insert steps; .9, .05, .05 without any."""
-    cols = match_columns(df)
+    counted = stored(_counted(df), "counted")
+    return _transitions(counted, _match(_columns(counted)))
+
+
+def _transitions(counted: DataFrame, cols: list[int]) -> DataFrame:
     steps = [(a, b) for a, b in zip(cols, cols[1:], strict=False)]
     if not steps:
-        return df.sparkSession.range(1).select(F.lit(0.9).alias("mm"), F.lit(0.05).alias("md"), F.lit(0.05).alias("mi"))
+        return counted.sparkSession.range(1).select(F.lit(0.9).alias("mm"), F.lit(0.05).alias("md"), F.lit(0.05).alias("mi"))
     here = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])
     at = lambda k: F.substring("sequences", k, F.lit(1)) != "-"
-    n = lambda test: F.sum(F.size(F.filter(here, test)).cast("long"))
+    n = lambda test: F.sum(F.size(F.filter(here, test)) * F.col("n"))
     inner = lambda s: F.length(F.replace(F.substring("sequences", s["a"] + 1, s["b"] - s["a"] - 1), F.lit("-"), F.lit(""))) > 0
-    counts = df.agg(n(lambda s: at(s["a"]) & at(s["b"])).alias("x"), n(lambda s: at(s["a"]) & ~at(s["b"])).alias("y"), n(lambda s: at(s["a"]) & (s["b"] - s["a"] > 1) & inner(s)).alias("z"))
+    counts = counted.agg(n(lambda s: at(s["a"]) & at(s["b"])).alias("x"), n(lambda s: at(s["a"]) & ~at(s["b"])).alias("y"), n(lambda s: at(s["a"]) & (s["b"] - s["a"] > 1) & inner(s)).alias("z"))
     total = F.coalesce(F.col("x") + F.col("y") + F.col("z"), F.lit(0))
     share = lambda c, default: F.when(total == 0, F.lit(default)).otherwise(F.try_divide(F.col(c).cast("double"), total))
     return counts.select(share("x", 0.9).alias("mm"), share("y", 0.05).alias("md"), share("z", 0.05).alias("mi"))
@@ -66,7 +83,10 @@ def profile_transitions(df: DataFrame) -> DataFrame:
 
 def profile_stats(df: DataFrame) -> DataFrame:
     """One row: sequences, alignment length, match states."""
-    columns = _columns(df)
+    return _stats(_columns(_counted(df)))
+
+
+def _stats(columns: DataFrame) -> DataFrame:
     states = columns.agg(F.max("all").alias("num_sequences"), F.count(F.lit(1)).alias("alignment_length"), F.count_if(F.col("gaps") / F.col("all") < GAP_SHARE).alias("num_match_states"))
     return states.select(F.coalesce("num_sequences", F.lit(0)).alias("num_sequences"), "alignment_length", "num_match_states")
 
@@ -86,8 +106,9 @@ class Profile(Estimator, _HasMethod, DefaultParamsReadable, DefaultParamsWritabl
         self._set(method=method)
 
     def _fit(self, dataset: DataFrame) -> ProfileModel:
-        rows = require_aligned(dataset.where("sequences IS NOT NULL").select("sequences"))
-        tables = (profile_emissions(rows, self.getOrDefault("method")), profile_transitions(rows), profile_stats(rows))
+        counted = require_aligned(stored(_counted(dataset.where("sequences IS NOT NULL")), "counted"))  # the only pass over all rows
+        columns = stored(_columns(counted), "columns")
+        tables = (_emissions(columns, self.getOrDefault("method")), _transitions(counted, _match(columns)), _stats(columns))
         return self._copyValues(ProfileModel(*[stored(t, "profile") for t in tables]))
 
 

@@ -308,3 +308,28 @@ def test_clusters_of_greedy_clustering_reach_positions(spark):
     assert got == {"ACGTACGTAC": (1, 0.4), "ACGTACGTAA": (1, 3.0), "GGGGGTTTTT": (2, None), "CCCCCCCCCC": (3, None)}
     means = {(r.Residue, r.Position): r.AvEnrich for r in align.position_enrichment(compare.recluster(one, two), 1).collect() if r.AvEnrich is not None}
     assert means[("A", 1)] == 1.7 and means[("C", 10)] == 0.4 and means[("A", 10)] == 3.0
+
+
+def test_profile_splits_distinct_sequences_once(spark, monkeypatch):
+    df = spark.createDataFrame([(s,) for s in ("AC-T", "AC-T", "ACGT", "A-GN", None) for _ in range(3)], "sequences string")
+    seen, split = [], profile.residue_positions
+    monkeypatch.setattr(profile, "residue_positions", lambda rows: seen.append(rows.count()) or split(rows))
+    model = profile.Profile().fit(df)
+    assert seen == [3]  # was three times all 12 rows
+    got = {(r.col, r.residue): r.p for r in model.emissions.collect()}
+    assert got[1, "a"] == 13 / 17 and got[2, "c"] == 10 / 14 and got[4, "n"] == 4 / 17 and model.stats.first()["num_sequences"] == 12
+
+
+def test_fasta_places_in_file_order_without_a_sort(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x\nAC\n\n>\n\n>y;Rank=9\nGG\n" + "".join(f">a{k}\nA\n" for k in range(200)))
+    (tmp_path / "b.fa").write_text("".join(f">b{k}\nT\n" for k in range(100)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = files.read_fasta(spark, str(tmp_path))
+        rows = {r.ID: r.Rank for r in got.collect()}
+        assert rows == {"x": 1, "y;Rank=9": 9} | {f"a{k}": k + 3 for k in range(200)} | {f"b{k}": k + 203 for k in range(100)}
+        assert "_part" not in got._jdf.queryExecution().analyzed().toString()  # the columns of a sorted numbering
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
