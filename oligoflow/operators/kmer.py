@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import rint_to
-from ..storage import stored
+from ..storage import partitions, stored
 
 #: Order of residues in the vocabulary (fixed).
 RESIDUES = "ATGC"
-#: Columns up to which a covariance is formed; vectors and most passes of the iteration beyond; rows of a block of neighbours.
-COVARIANCE_COLUMNS, PASS_VECTORS, PASSES, BLOCK_ROWS = 1024, 8, 60, 4096
+#: Columns up to which a covariance is formed; vectors and most passes of the iteration beyond.
+COVARIANCE_COLUMNS, PASS_VECTORS, PASSES = 1024, 8, 60
+#: Bytes of a block of vectors, queries that are compared with a block at a time, vectors that are subtracted at a time.
+BLOCK_BYTES, QUERY_ROWS, EXACT_ROWS = 4 << 20, 256, 8192
 
 
 def _kmers(k: int):
@@ -172,17 +174,49 @@ def _nearest(pairs: DataFrame, neighbors: int) -> DataFrame:
 
 
 def _blocks(df: DataFrame, name: str) -> DataFrame:
-    """One row for every BLOCK_ROWS rows of a partition at most: their sequences and vectors, packed."""
+    """One row for every BLOCK_BYTES of vectors of a partition at most: their sequences and vectors, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
+            if not batch.num_rows:
+                continue
+            rows = max(1, BLOCK_BYTES * batch.num_rows // (8 * max(1, len(batch.column(1).flatten()))))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([part.column(1).flatten().to_numpy().tobytes()], pa.binary())], [f"{name}s", f"{name}_vectors"])
 
     return df.select("sequences", vector_to_array("scaled").alias("v")).mapInArrow(run, f"{name}s array<string>, {name}_vectors binary")
 
 
+def _block_nearest(queries: list[str], a: np.ndarray, rows: np.ndarray, b: np.ndarray, neighbors: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the query, place of the row, distance) of the ``neighbors`` rows nearest to each query, other names only.
+
+    Products of matrices tell which rows may be among them; their error is far below ``slack``, so none is lost, and the distances of
+    these rows are then taken from their differences.
+    """
+    own: dict[str, list[int]] = {}
+    for k, name in enumerate(rows):
+        own.setdefault(name, []).append(k)
+    texts, squares, m = rows.astype(str), np.square(b).sum(axis=1), min(neighbors, len(rows))
+    for lo in range(0, len(queries), QUERY_ROWS):
+        part = a[lo : lo + QUERY_ROWS]
+        mine = np.square(part).sum(axis=1)
+        near = mine[:, None] + squares - 2 * (part @ b.T)
+        slack = 1e-11 * (mine + squares.max())
+        for i, name in enumerate(queries[lo : lo + QUERY_ROWS]):
+            near[i, own.get(name, [])] = np.inf
+        edge = np.sqrt(np.maximum(np.partition(near, m - 1, axis=1)[:, m - 1], 0) + slack) + 2e-6  # distances are rounded to 6 decimals
+        q, r = np.nonzero((near <= (np.square(edge) + slack)[:, None]) & np.isfinite(near))
+        far = np.empty(len(q))
+        for k in range(0, len(q), EXACT_ROWS):
+            s = slice(k, k + EXACT_ROWS)
+            far[s] = np.rint(np.sqrt(np.square(b[r[s]] - part[q[s]]).sum(axis=1)) * 1e6) / 1e6
+        order = np.lexsort((texts[r], far, q))
+        q, r, far = q[order], r[order], far[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < neighbors
+        yield q[kept] + lo, r[kept], far[kept]
+
+
 def _compared(asked: DataFrame, scaled: DataFrame, neighbors: int) -> DataFrame:
     """(query, neighbor, distance): of each pair of blocks, the ``neighbors`` nearest rows of each query."""
 
@@ -191,15 +225,12 @@ def _compared(asked: DataFrame, scaled: DataFrame, neighbors: int) -> DataFrame:
             for queries, q, rows, d in zip(*batch.columns, strict=True):
                 queries, rows = queries.as_py(), np.array(rows.as_py(), object)
                 a, b = (np.frombuffer(x.as_py()).reshape(len(names), -1) for x, names in ((q, queries), (d, rows)))
-                for name, v in zip(queries, a, strict=True):
-                    far = np.rint(np.sqrt(np.square(b - v).sum(axis=1)) * 1e6) / 1e6
-                    far[rows == name] = np.inf
-                    edge = np.partition(far, min(neighbors, len(far)) - 1)[min(neighbors, len(far)) - 1]
-                    at = np.flatnonzero((far <= edge) & np.isfinite(far))
-                    at = at[np.lexsort((rows[at].astype(str), far[at]))][:neighbors]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(rows[at], pa.string()), pa.array(far[at])], ["query", "neighbor", "distance"])
-
-    pairs = _blocks(asked, "query").crossJoin(_blocks(scaled, "row"))
+                names = np.array(queries, object)
+                for i, j, far in _block_nearest(queries, a, rows, b, neighbors):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i], pa.string()), pa.array(rows[j], pa.string()), pa.array(far)], ["query", "neighbor", "distance"])
+
+    # stored, so that blocks aren't packed again for every partition they meet, and dealt to all tasks
+    pairs = stored(_blocks(asked.repartition(partitions(asked.sparkSession)), "query"), "blocks").crossJoin(stored(_blocks(scaled, "row"), "blocks"))
     return pairs.mapInArrow(run, "query string, neighbor string, distance double")
 
 

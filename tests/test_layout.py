@@ -65,3 +65,22 @@ def test_small_maps(spark):
     far = lambda p, q: math.dist(one[p][1:], one[q][1:])
     assert far(0, 1) < far(0, 2)
     assert len(layout.layout(graph, start.limit(1), epochs=3).collect()) == 1 and layout.layout(graph, start.limit(0), epochs=3).collect() == []
+
+
+def test_nearest_of_blocks_are_those_of_brute_force():
+    """Products of matrices only choose the rows; ties, copies, near ties and far larger vectors change nothing."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 3, (700, 20)) * 0.37
+    rows[50:150], rows[600:] = rows[50], rows[600:] * 1e4
+    rows[150:160] += rng.uniform(-1e-7, 1e-7, (10, 20))
+    names = np.array([f"r{k % 690}" for k in rng.permutation(700)], object)
+    queries = list(names[:300])
+    got = {}
+    for i, j, far in kmer._block_nearest(queries, rows[:300], names, rows, 7):
+        assert len(i) > 300  # many queries at a time
+        for x in zip(i.tolist(), far.tolist(), names[j], strict=True):
+            got.setdefault(x[0], []).append(x[1:])
+        break
+    for i in range(kmer.QUERY_ROWS):
+        far = np.rint(np.sqrt(np.square(rows - rows[i]).sum(axis=1)) * 1e6) / 1e6
+        assert got[i] == sorted((d, n) for d, n in zip(far.tolist(), names, strict=True) if n != queries[i])[:7]
