@@ -14,9 +14,9 @@ from ..storage import numbered
 BREAKS = (10, 100, 1000)
 
 
-def count_unique(reads: DataFrame) -> DataFrame:
-    """(sequences, Reads): copies of each sequence, carriage returns removed; null sequences are left out."""
-    return reads.select(sq.strip_cr(F.col("sequences")).alias("sequences")).where("sequences IS NOT NULL").groupBy("sequences").agg(F.count(F.lit(1)).alias("Reads"))
+def count_unique(reads: DataFrame, *by: str) -> DataFrame:
+    """(sequences, Reads): copies of each sequence, carriage returns removed; null sequences are left out.  With columns ``by``, for each of their values."""
+    return reads.select(*by, sq.strip_cr(F.col("sequences")).alias("sequences")).where("sequences IS NOT NULL").groupBy(*by, "sequences").agg(F.count(F.lit(1)).alias("Reads"))
 
 
 def count_rank(counts: DataFrame) -> DataFrame:

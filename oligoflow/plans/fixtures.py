@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster, counts
+from ..storage import stored
 
 #: Constant regions of the raw reads.
 CONST_5P, CONST_3P = "ACGTTACGTA", "GGATCCTTAA"
@@ -54,16 +55,21 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_once(), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def population(spark: SparkSession, sf_dir: str, number: int | None = None) -> DataFrame:
-    """Counts table of population 0 or 1, or of all reads."""
-    mine = F.lit(True) if number is None else F.col("population") == number
-    return counts.count(reads(spark, sf_dir).where(mine).select("sequences"))
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts table of all reads."""
+    return counts.count(reads(spark, sf_dir).select("sequences"))
 
 
-def clustered(spark: SparkSession, sf_dir: str, number: int | None = None) -> DataFrame:
-    """The population (or all reads) in 16 clusters by the third and fifth base (a quick stand-in for clustering), ranked, with distances to the seeds."""
+def populations(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Counts tables of populations 0 and 1, whose copies are counted in one pass over all reads."""
+    both = stored(counts.count_unique(reads(spark, sf_dir), "population"), "populations")
+    return [counts.finished(both.where(F.col("population") == k).drop("population")) for k in (0, 1)]
+
+
+def clustered(counted: DataFrame) -> DataFrame:
+    """A counts table in 16 clusters by the third and fifth base (a quick stand-in for clustering), ranked, with distances to the seeds."""
     base = lambda k: F.expr(f"instr('ACGT', substring(sequences, {k}, 1))")
-    ranked = cluster.rank_in_cluster(population(spark, sf_dir, number).withColumn("Cluster", (4 * (base(3) - 1) + base(5)).cast("int")))
+    ranked = cluster.rank_in_cluster(counted.withColumn("Cluster", (4 * (base(3) - 1) + base(5)).cast("int")))
     seeds = ranked.where("RankInCluster = 1").select(F.col("Cluster").alias("_c"), F.col("sequences").alias("_s"))
     return cluster.with_ids(ranked.join(seeds, F.col("Cluster") == F.col("_c")).withColumn("LED", F.levenshtein("sequences", "_s")))
 

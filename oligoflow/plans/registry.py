@@ -94,7 +94,7 @@ def read_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_counts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clustered table written as CSV and read back."""
     path = new_path(spark, "csv")
-    files.write_csv(fx.clustered(spark, sf_dir), path)
+    files.write_csv(fx.clustered(fx.population(spark, sf_dir)), path)
     return files.read_counts_csv(spark, path)
 
 
@@ -224,7 +224,7 @@ def population_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", um AS (SELECT sequences, CAST(sum(Reads) AS BIGINT) AS Reads FROM (SELECT * FROM u0 UNION ALL SELECT * FROM u1) GROUP BY sequences), " + fx.finished_sql("um", "merged") + " SELECT * FROM merged")
 def recount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.recount(fx.population(spark, sf_dir, 0), fx.population(spark, sf_dir, 1))
+    return counts.recount(*fx.populations(spark, sf_dir))
 
 
 @query("SELECT Rank, Reads FROM counta WHERE Reads >= 10 AND Rank <= 1000")
@@ -269,12 +269,12 @@ def page_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT Cluster FROM clustera")
 def cluster_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.cluster_list(fx.clustered(spark, sf_dir))
+    return browse.cluster_list(fx.clustered(fx.population(spark, sf_dir)))
 
 
 @query("SELECT * FROM clustera WHERE Cluster IN (2, 7)")
 def cluster_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse.cluster_filter(fx.clustered(spark, sf_dir), [2, 7])
+    return browse.cluster_filter(fx.clustered(fx.population(spark, sf_dir)), [2, 7])
 
 
 # clustering and diversity
@@ -314,7 +314,7 @@ def cluster_keep_nc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sequences, Cluster, RankInCluster FROM clustera")
 def rank_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.clustered(spark, sf_dir).select("sequences", "Cluster", "RankInCluster")
+    return fx.clustered(fx.population(spark, sf_dir)).select("sequences", "Cluster", "RankInCluster")
 
 
 _SID = "CASE WHEN sum(Reads) <= 1 THEN 0.0 ELSE round_even((1 - sum(Reads::DOUBLE * (Reads - 1)) / (sum(Reads)::DOUBLE * (sum(Reads)::DOUBLE - 1))) * 100, 0) / 100 END"
@@ -324,22 +324,22 @@ max(CASE WHEN RankInCluster = 1 THEN ID END) AS ID, max(CASE WHEN RankInCluster
 
 @query(_DIVERSITY)
 def cluster_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diversity.cluster_diversity(fx.clustered(spark, sf_dir))
+    return diversity.cluster_diversity(fx.clustered(fx.population(spark, sf_dir)))
 
 
 @query(f"SELECT Cluster, {_SID} AS SID FROM clustera GROUP BY Cluster")
 def simpson_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.clustered(spark, sf_dir).groupBy("Cluster").agg(diversity.simpson_index(F.col("Reads")).alias("SID"))
+    return fx.clustered(fx.population(spark, sf_dir)).groupBy("Cluster").agg(diversity.simpson_index(F.col("Reads")).alias("SID"))
 
 
 @query("SELECT Cluster, ID, sequences FROM clustera WHERE RankInCluster = 1")
 def cluster_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_seeds(fx.clustered(spark, sf_dir))
+    return cluster.cluster_seeds(fx.clustered(fx.population(spark, sf_dir)))
 
 
 @query(f"SELECT Cluster, TotalSequences, TotalReads, AverageLED FROM ({_DIVERSITY})")
 def cluster_metaplot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diversity.cluster_metaplot(fx.clustered(spark, sf_dir))
+    return diversity.cluster_metaplot(fx.clustered(fx.population(spark, sf_dir)))
 
 
 @query("SELECT sequences, kmer, count(*) AS n FROM (SELECT sequences, unnest([substring(sequences, i, 4) FOR i IN range(1, length(sequences) - 2)]) AS kmer FROM ua) GROUP BY ALL")
@@ -383,7 +383,7 @@ def kmer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT Cluster, count(*) AS count FROM clustera WHERE Cluster IN (1, 2, 3) GROUP BY Cluster")
 def kmer_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer.kmer_cluster_summary(fx.clustered(spark, sf_dir), [1, 2, 3])
+    return kmer.kmer_cluster_summary(fx.clustered(fx.population(spark, sf_dir)), [1, 2, 3])
 
 
 # two populations
@@ -395,7 +395,7 @@ FROM count0 a {join} JOIN count1 b USING (sequences)"""
 
 
 def _enriched(spark: SparkSession, sf_dir: str, keep_na: bool) -> DataFrame:
-    return compare.enrich(fx.population(spark, sf_dir, 0), fx.population(spark, sf_dir, 1), keep_na)
+    return compare.enrich(*fx.populations(spark, sf_dir), keep_na)
 
 
 @query(_ENRICHED.format(join="INNER"))
@@ -436,7 +436,8 @@ led AS (SELECT r.*, CAST(levenshtein(r.sequences, s.sequences) AS INT) AS LED FR
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return stored(fx.clustered(spark, sf_dir, 0), "a"), stored(fx.clustered(spark, sf_dir, 1), "b")
+    a, b = fx.populations(spark, sf_dir)
+    return stored(fx.clustered(a), "a"), stored(fx.clustered(b), "b")
 
 
 @query(f"SELECT * FROM {_MATRIX}")

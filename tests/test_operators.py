@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from oligoflow.functions import sequences as sq
 from oligoflow.operators import align, browse, cluster, compare, counts, diversity, kmer, preprocess, profile
 from oligoflow.sources import files
-from oligoflow.storage import job, numbered
+from oligoflow.storage import job, numbered, numbered_within
 
 
 def reads(spark, *seqs):
@@ -49,6 +49,19 @@ def test_numbering_equals_a_window(spark):
     assert [got[i] for i in want] == list(range(1, 5001))
 
 
+def test_numbering_within_groups_writes_its_rows_once(spark):
+    import os
+
+    df = spark.range(3000).select(F.expr("nullif(id % 7, 3)").alias("g"), (F.col("id") * 7919 % 101).alias("a"), "id")
+    with job(spark) as folder:
+        got = [tuple(r) for r in numbered_within(df, "g", [F.col("a").desc(), F.col("id")], "n").collect()]
+        assert len(os.listdir(folder.removeprefix("file://"))) == 1
+    assert len(got) == 3000
+    for g in (None, 0, 1, 2, 4, 5, 6):
+        mine = sorted((n, -a, i) for h, a, i, n in got if h == g)
+        assert [x[0] for x in mine] == list(range(1, len(mine) + 1)) and mine == sorted(mine, key=lambda x: x[1:])
+
+
 def test_reverse_complement_iupac(spark):
     got = reads(spark, "ACGTURYSWKMBDHVN", "acgn-").select(sq.reverse_complement(F.col("sequences")).alias("x")).collect()
     assert [r.x for r in got] == ["NBDHVKMWSRYAACGT", "-ncgt"]
